@@ -3,8 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from auricle.llm import mixing, pii, simhash, toxicity, unigram
+
+#: Sources weigh as their size times these, repeating by name. Whatever the sizes, at 150 % of the words
+#: each source is then taken between once and twice, so mixing repeats documents but loses none.
+TILT = (4, 3, 3)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that score THRESHOLD or more."""
+    model = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_documents(spark, docs, model)
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group."""
+    return simhash.one_per_group(spark, docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind."""
+    return pii.redact_personal_data(spark, docs)
+
+
+def tilted(sources: DataFrame) -> DataFrame:
+    return mixing.repeating_weights(sources, TILT).withColumn("weight", F.col("weight") * F.greatest(F.col("size"), F.lit(1)))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents so that the sources come near their target weights."""
+    return mixing.mix_documents(spark, docs, tilted)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document: the columns of documents without the text, n_ids, ids."""
+    return unigram.encode_documents(spark, docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_dedup", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("mix_sources", mix_sources),
+    ("sentencepiece", encode),
+]
 
 #: Trained and iterative stages have no SQL form; tests check them against brute force.
 ORACLE_SQL = None
