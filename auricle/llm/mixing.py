@@ -95,11 +95,14 @@ def plan_mix(spark: SparkSession, docs: DataFrame, weigh=repeating_weights, budg
     return repetition_plan(spark, sizes, targets, scratch)
 
 
-def with_copies(docs: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies. The plan has a row per source; Spark picks the join by its size."""
-    keyed = docs.withColumns({"_key": source_key(), "_size": word_count(), "_draw": draw(seed)})
-    plan = plan.select(F.col("key").alias("_key"), F.col("size").alias("_source_size"), F.col("target").alias("_target"), "whole", "cut")
-    return keyed.join(plan, "_key").withColumn("_copies", F.col("whole") + (F.col("_draw") <= F.col("cut")).cast("int"))
+def with_copies(docs: DataFrame, plan: DataFrame, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
+    """(doc, size, source_size, target, copies), ``doc`` being a struct of a row's columns (all, or those to ``keep``).
+
+    The plan has a row per source; Spark picks the join by its size.
+    """
+    keyed = docs.select(F.struct(*(keep or docs.columns)).alias("doc"), source_key().alias("key"), word_count().alias("words"), draw(seed).alias("u"))
+    copies = (F.col("whole") + (F.col("u") <= F.col("cut")).cast("int")).alias("copies")
+    return keyed.join(plan, "key").select("doc", F.col("words").alias("size"), F.col("size").alias("source_size"), "target", copies)
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, weigh=repeating_weights, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: int = 42) -> DataFrame:
@@ -109,14 +112,14 @@ def mix_documents(spark: SparkSession, docs: DataFrame, weigh=repeating_weights,
     rows equal in doc_id and text are taken alike; an empty table stays empty.
     """
     planned = with_copies(docs, plan_mix(spark, docs, weigh, budget, max_epochs, seed), seed)
-    return planned.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return planned.where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: doc_id, size, source_size, target, taken."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    planned = with_copies(docs, plan_mix(spark, docs))
-    return planned.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    planned = with_copies(docs, plan_mix(spark, docs), keep=["doc_id"])
+    return planned.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 MIX_SQL = r"""

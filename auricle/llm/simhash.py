@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auricle.llm.common import Scratch, column_bytes, connected_components, map_batches
+from auricle.llm.common import Scratch, column_bytes, connected_components, fresh, map_batches
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -121,16 +121,17 @@ def one_per_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
     keys = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     best = keys.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("best"))
     keep = Scratch(spark, "simhash-keep").save(best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.text_hash").alias("keep_hash"), F.col("best.n").alias("n")), "keep")
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
+    own_hash, nth = fresh(docs, "hash"), fresh(docs, "nth")
+    marked = docs.withColumn(own_hash, F.xxhash64("text"))
 
     def among(rows: DataFrame) -> DataFrame:
-        return marked.join(rows, marked["doc_id"].eqNullSafe(rows["keep_id"]) & (marked["_text_hash"] == rows["keep_hash"]), "left_semi")
+        return marked.join(rows, marked["doc_id"].eqNullSafe(rows["keep_id"]) & (marked[own_hash] == rows["keep_hash"]), "left_semi")
 
     repeated = keep.where("n > 1")
     if repeated.isEmpty():
         return among(keep).select(*docs.columns)
-    order = Window.partitionBy("doc_id", "_text_hash").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(1))
-    first = among(repeated).withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    order = Window.partitionBy("doc_id", own_hash).orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(1))
+    first = among(repeated).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
     return among(keep.where("n = 1")).select(*docs.columns).unionByName(first.select(*docs.columns))
 
 

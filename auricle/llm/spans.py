@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auricle.llm.common import map_batches
+from auricle.llm.common import fresh, map_batches
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
@@ -63,11 +63,14 @@ def redact(docs: DataFrame, found: DataFrame, kinds: tuple[str, ...]) -> DataFra
     Spans that overlap are replaced as one, by the first's kind. Rows are matched on doc_id
     and text hash, so rows repeated in full are all redacted.
     """
-    marks = found.where(F.size("all_spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_mark"), F.col("all_spans").alias("_spans")).dropDuplicates(["_id", "_mark"])
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = hashed.join(marks, hashed["doc_id"].eqNullSafe(marks["_id"]) & (hashed["_hash"] == marks["_mark"]), "left").select(*docs.columns, "_spans")
-    at = docs.columns.index("text")
-    size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    own_hash, spans = fresh(docs, "hash"), fresh(docs, "spans")
+    marks = found.where(F.size("all_spans") > 0).select(F.col("doc_id").alias("mark_id"), F.col("text_hash").alias("mark_hash"), F.col("all_spans").alias(spans)).dropDuplicates(["mark_id", "mark_hash"])
+    hashed = docs.withColumn(own_hash, F.xxhash64("text"))
+    joined = hashed.join(marks, hashed["doc_id"].eqNullSafe(marks["mark_id"]) & (hashed[own_hash] == marks["mark_hash"]), "left")
+    joined = joined.select(*(hashed[c] for c in docs.columns), marks[spans])
+    columns_out = docs.columns
+    at = columns_out.index("text")
+    size_at = columns_out.index("n_chars") if "n_chars" in columns_out else None
 
     def make():
         def on_batch(batch: pa.RecordBatch):
@@ -82,7 +85,7 @@ def redact(docs: DataFrame, found: DataFrame, kinds: tuple[str, ...]) -> DataFra
             columns[at] = pa.array(texts, pa.string())
             if sizes is not None:
                 columns[size_at] = pa.array(sizes, columns[size_at].type)
-            yield pa.RecordBatch.from_arrays(columns[:-1], docs.columns)
+            yield pa.RecordBatch.from_arrays(columns[:-1], columns_out)
 
         return on_batch
 
