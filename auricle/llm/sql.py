@@ -17,11 +17,12 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
 """
 
 NEAR_VECTORS = """
-WITH RECURSIVE v AS (
-  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e,
+WITH RECURSIVE u AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding,
     label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
   FROM embeddings),
+v AS (SELECT r, vec_id, label, usable, CASE WHEN usable THEN embedding::DOUBLE[] END AS e FROM u),
 l AS (
   SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND a.usable AND b.usable AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
