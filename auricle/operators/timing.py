@@ -10,7 +10,9 @@ MAX_SEGMENT_WORDS = 15
 MARK = "▁"
 TRIM = "(?U)^\\s+|\\s+$"
 
-BY_POS = Window.partitionBy("clip_id").orderBy("pos")
+
+def by_pos():
+    return Window.partitionBy("clip_id").orderBy("pos")
 
 
 def explode_tokens(results: DataFrame, strict: bool = False) -> DataFrame:
@@ -28,7 +30,7 @@ def explode_tokens(results: DataFrame, strict: bool = False) -> DataFrame:
 def token_intervals(tokens: DataFrame) -> DataFrame:
     """``tokens`` with start and end: a token ends where the next starts, the last after 0.1 s. Null tokens are then dropped."""
     start = F.col("ts").cast("double")
-    end = F.coalesce(F.lead("ts").over(BY_POS).cast("double"), start + LAST_TOKEN_S)
+    end = F.coalesce(F.lead("ts").over(by_pos()).cast("double"), start + LAST_TOKEN_S)
     return tokens.withColumns({"start": start, "end": end}).where("token is not null")
 
 
@@ -36,7 +38,7 @@ def build_words(intervals: DataFrame) -> DataFrame:
     """(clip_id, word_id, word, start, end): tokens with a leading space open a word, blank ones are skipped."""
     kept = intervals.withColumn("clean", F.regexp_replace("token", TRIM, "")).where("clean <> ''")
     opens = F.col("token").startswith(" ").cast("int")
-    number = F.sum(opens).over(BY_POS.rowsBetween(Window.unboundedPreceding, 0))
+    number = F.sum(opens).over(by_pos().rowsBetween(Window.unboundedPreceding, 0))
     parts = kept.withColumn("n", number)
     words = parts.groupBy("clip_id", "n").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "clean"))), lambda t: t["clean"]), "").alias("word"),
