@@ -137,19 +137,22 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_positive:
     return Classifier(names[kept], w, b)
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, model: Classifier) -> DataFrame:
-    """``docs`` with ``score`` double from whole texts (null: empty); no other column is an input."""
+def score_documents(spark: SparkSession, docs: DataFrame, model: Classifier, column: str = "score") -> DataFrame:
+    """``docs`` with ``column`` double, the score of the whole text (null: empty); no other column is an input.
+
+    A column of that name is replaced; repeated rows each get their score; an empty table stays empty.
+    """
     shared = spark.sparkContext.broadcast(model)
-    rest = [f for f in docs.schema.fields if f.name != "score"]
+    rest = [f for f in docs.schema.fields if f.name != column]
     names = [f.name for f in rest]
     at = names.index("text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{column}` double"])
 
     def make():
         score = shared.value.scorer()
 
         def on_batch(batch: pa.RecordBatch):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([score(x) for x in column_bytes(batch.column(at))], pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([score(x) for x in column_bytes(batch.column(at))], pa.float64())], [*names, column])
 
         return on_batch
 

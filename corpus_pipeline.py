@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auricle.llm import mixing, pii, simhash, toxicity, unigram
+from auricle.llm.common import fresh
 
 #: Sources weigh as their size times these, repeating by name. Whatever the sizes, at 150 % of the words
 #: each source is then taken between once and twice, so mixing repeats documents but loses none.
@@ -15,8 +16,8 @@ TILT = (4, 3, 3)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score THRESHOLD or more."""
     model = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score_documents(spark, docs, model)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = fresh(docs, "score")
+    return toxicity.score_documents(spark, docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
