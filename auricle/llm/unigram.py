@@ -1,12 +1,18 @@
-"""Unigram tokenization over a SentencePiece vocabulary: counts, ids and decoding.
+"""SentencePiece tokenization by Viterbi search: counts, ids and decoding.
 
 Pieces and scores come from a ``.model`` file. A text is normalised as the model says
 (identity normalisation only), then split where no piece can reach across, which leaves
-every best path unchanged; segments are memoised, as most recur.
+the ids unchanged; segments are memoised, as most recur.
 
-Tie rule, the tokenizer's own: candidates for a boundary are taken by ascending start, and
-a later one replaces an earlier one only if its score is strictly higher. Scores are added
-in double precision from the last committed boundary, so a text's length costs no accuracy.
+The search runs over the vocabulary matches that an Aho-Corasick automaton lists by their end, and
+keeps one path for each boundary. Which match continues a path depends on the model's type:
+
+- Unigram: the best sum of scores. Tie rule, the tokenizer's own: candidates for a boundary are
+  taken by ascending start, and a later one replaces an earlier one only if its score is strictly
+  higher. Scores are added in double precision from the last committed boundary.
+- BPE: sums of scores don't give a BPE tokenizer's ids. Ids are those of the merges if and only
+  if every two neighbours are what the merges make of their joined text, so the match
+  that fits the path's last piece continues it; there is one for each boundary.
 """
 
 from __future__ import annotations
@@ -28,11 +34,14 @@ UNKNOWN_PENALTY = 10.0
 #: Segments up to this many characters are memoised, up to MEMO entries a Python worker.
 MEMO_CHARS = 48
 MEMO = 600_000
+#: Pairs of pieces whose fit is remembered.
+PAIRS = 400_000
+UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
 class Vocabulary:
-    """Pieces of a SentencePiece model with what unigram search needs."""
+    """Pieces of a SentencePiece model with what the search needs."""
 
     def __init__(self, model: bytes) -> None:
         from sentencepiece import sentencepiece_model_pb2
@@ -40,6 +49,9 @@ class Vocabulary:
         proto = sentencepiece_model_pb2.ModelProto.FromString(model)
         if proto.normalizer_spec.precompiled_charsmap:
             raise ValueError("only models with identity normalisation are supported")
+        self.bpe = proto.trainer_spec.model_type == BPE
+        if not self.bpe and proto.trainer_spec.model_type != UNIGRAM:
+            raise ValueError("only unigram and BPE models are supported")
         self.dummy_prefix = proto.normalizer_spec.add_dummy_prefix
         self.squeeze = proto.normalizer_spec.remove_extra_whitespaces
         self.pieces = [p.piece for p in proto.pieces]
@@ -52,7 +64,14 @@ class Vocabulary:
         self.automaton = ahocorasick.Automaton()
         alphabet, crossing = set(), False
         self.longest = 1
+        if self.bpe:
+            self.merges = {p.piece: (p.score, i) for p, i in kinds if p.type == NORMAL and p.piece}
+            if any(p.type in (USER_DEFINED, UNUSED) for p, _ in kinds):
+                raise ValueError("BPE models with user-defined or unused pieces are not supported")
+        self.pairs: dict[int, bool] = {}
         for p, i in kinds:
+            if self.bpe and p.type == NORMAL and len(p.piece) > 1 and self.merged(p.piece) != [p.piece]:
+                continue  # no merges lead to it
             if p.type in (NORMAL, USER_DEFINED) and p.piece:
                 score = len(p.piece.encode()) * max(normal) - 0.1 if p.type == USER_DEFINED else p.score
                 self.automaton.add_word(p.piece, (len(p.piece), score, i))
@@ -70,6 +89,27 @@ class Vocabulary:
             text = re.sub(" +", " ", text.strip(" "))
         return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
 
+    def merged(self, text: str) -> list[str]:
+        """Symbols that BPE merges make of a short text: the best-scored neighbours first, from the left."""
+        parts = list(text)
+        while True:
+            best, at = None, -1
+            for k in range(len(parts) - 1):
+                hit = self.merges.get(parts[k] + parts[k + 1])
+                if hit is not None and (best is None or hit[0] > best):
+                    best, at = hit[0], k
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def fits(self, left: int, right: int) -> bool:
+        """Whether the merges keep two pieces apart that follow each other; remembered in ``pairs``."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        a, b = self.pieces[left], self.pieces[right]
+        known = self.pairs[left << 20 | right] = self.merged(a + b) == [a, b]
+        return known
+
     def unknown_ids(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown_id]
 
@@ -80,85 +120,101 @@ def vocabulary(model: bytes) -> Vocabulary:
 
 
 def count_pieces(vocab: Vocabulary, segment: str) -> int:
-    """Number of ids of a segment: Viterbi that carries best score and piece count only.
-
-    The automaton lists the matches ending at each character, longest first; only the last
-    ``longest`` boundaries are kept.
-    """
+    """Number of ids of a segment: Viterbi that carries only score (or last piece) and piece count, for the last ``longest`` boundaries."""
     size = vocab.longest + 1
-    scores, counts = [0.0] * size, [0] * size
-    unknown, at = vocab.unknown_score, 0  # ``at``: boundary that is complete
+    state, counts, at = [0.0 if not vocab.bpe else None] * size, [0] * size, 0  # ``at``: boundary that is complete
 
-    def skip(to: int) -> None:
+    def close(best, number: int, single: bool) -> None:
         nonlocal at
-        while at < to:  # characters where no match ends
-            scores[(at + 1) % size] = scores[at % size] + unknown
-            counts[(at + 1) % size] = counts[at % size] + len(vocab.unknown_ids(segment[at]))
-            at += 1
+        here = at % size
+        if not single and (best is None or (not vocab.bpe and state[here] + vocab.unknown_score > best)):
+            best = None if vocab.bpe else state[here] + vocab.unknown_score
+            number = counts[here] + len(vocab.unknown_ids(segment[at]))
+        at += 1
+        state[at % size], counts[at % size] = best, number
 
     best, number, single = None, 0, False
-    for end, (length, score, _) in vocab.automaton.iter(segment):
-        if end != at or best is None:
-            if best is not None:
-                at = _close(vocab, segment, scores, counts, size, at, best, number, single)
-            skip(end)
+    bpe, pairs = vocab.bpe, vocab.pairs
+    for end, (length, score, piece) in vocab.automaton.iter(segment):
+        while at < end:
+            close(best, number, single)
             best, number, single = None, 0, False
-        start = end + 1 - length
-        total = scores[start % size] + score
-        if best is None or total > best:
-            best, number = total, counts[start % size] + 1
+        start = (end + 1 - length) % size
+        if bpe:
+            if best is None:
+                before = state[start]
+                ok = before is None or pairs.get(before << 20 | piece)
+                if ok or (ok is None and vocab.fits(before, piece)):
+                    best, number = piece, counts[start] + 1
+        elif best is None or state[start] + score > best:
+            best, number = state[start] + score, counts[start] + 1
         single |= length == 1
-    if best is not None:
-        at = _close(vocab, segment, scores, counts, size, at, best, number, single)
-    skip(len(segment))
+    while at < len(segment):
+        close(best, number, single)
+        best, number, single = None, 0, False
     return counts[at % size]
 
 
-def _close(vocab: Vocabulary, segment: str, scores: list[float], counts: list[int], size: int, at: int, best: float, number: int, single: bool) -> int:
-    """Store boundary at + 1: its best match, or the unknown character if that scores higher."""
-    if not single and (other := scores[at % size] + vocab.unknown_score) > best:
-        best, number = other, counts[at % size] + len(vocab.unknown_ids(segment[at]))
-    scores[(at + 1) % size], counts[(at + 1) % size] = best, number
-    return at + 1
-
-
 class StreamingViterbi:
     """Viterbi over text that comes in parts, with ids given out as soon as they are certain.
 
-    Scores are kept for the last ``longest`` boundaries. Now and then the back pointers of
-    those boundaries are followed: where all surviving paths meet in one boundary, the ids up
-    to it are committed and forgotten.
+    Scores (or last pieces) are kept for the last ``longest`` boundaries. Now and then the back
+    pointers of those boundaries are followed: where all surviving paths meet in one boundary,
+    the ids up to it are committed and forgotten.
     """
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab, self.tail = vocab, ""
         self.base = self.at = 0
-        self.scores: dict[int, float] = {0: 0.0}
-        self.back: dict[int, tuple[int, list[int]]] = {}
+        self.state: list = [None if vocab.bpe else 0.0] * (vocab.longest + 1)
+        # of each boundary after ``base``: length of the last step of its path, and that step's ids
+        self.steps: list[int] = []
+        self.ids: list = []
         self.due = 4 * vocab.longest
 
     def push(self, part: str) -> list[int]:
-        first, found = self.at, {}
-        seen = self.tail + part
-        for end, (length, score, piece) in self.vocab.automaton.iter(seen):
-            found.setdefault(end + first - len(self.tail), []).append((length, score, piece))
-        self.tail = seen[len(seen) - self.vocab.longest :] if len(seen) > self.vocab.longest else seen
-        out: list[int] = []
-        for k, char in enumerate(part):
-            at = first + k
-            best, pointer, single = None, None, False
-            for length, score, piece in found.get(at, ()):
-                total = self.scores[at + 1 - length] + score
-                if best is None or total > best:
-                    best, pointer = total, (at + 1 - length, [piece])
-                single |= length == 1
-            if not single and (best is None or self.scores[at] + self.vocab.unknown_score > best):
-                best, pointer = self.scores[at] + self.vocab.unknown_score, (at, self.vocab.unknown_ids(char))
-            self.at = at + 1
-            self.scores[self.at], self.back[self.at] = best, pointer
-            self.scores.pop(self.at - self.vocab.longest - 1, None)
-            if self.at - self.base >= self.due:
+        vocab, state, size, skip = self.vocab, self.state, self.vocab.longest + 1, len(self.tail)
+        bpe, pairs, fits = vocab.bpe, vocab.pairs, vocab.fits
+        seen, at, out = self.tail + part, self.at, []
+        begin, best, step, ids, single = at - skip, None, 0, 0, False
+
+        def close() -> None:
+            """Boundary at + 1: its best match, or the unknown character."""
+            nonlocal at, best, step, ids, single
+            here = state[at % size]
+            if not single and (best is None or (not bpe and here + vocab.unknown_score > best)):
+                best, step, ids = None if bpe else here + vocab.unknown_score, 1, vocab.unknown_ids(seen[at - begin])
+            at += 1
+            state[at % size] = best
+            self.steps.append(step)
+            self.ids.append(ids)
+            best, single = None, False
+
+        for end, (length, score, piece) in vocab.automaton.iter(seen):
+            if end < skip:
+                continue
+            end += begin
+            while at < end:
+                close()
+            if length == 1:
+                single = True
+            before = state[(end + 1 - length) % size]
+            if bpe:
+                if best is None:
+                    ok = before is None or pairs.get(before << 20 | piece)
+                    if ok or (ok is None and fits(before, piece)):
+                        best, step, ids = piece, length, piece
+            elif best is None or before + score > best:
+                best, step, ids = before + score, length, piece
+        while at < begin + len(seen):
+            close()
+            if at - self.base >= self.due:
+                self.at = at
                 out += self._commit()
+        self.at = at
+        if at - self.base >= self.due:
+            out += self._commit()
+        self.tail = seen[-vocab.longest :]
         return out
 
     def _commit(self) -> list[int]:
@@ -166,23 +222,24 @@ class StreamingViterbi:
         while len(alive) > 1:
             last = max(alive)
             alive.discard(last)
-            alive.add(self.back[last][0])
+            alive.add(last - self.steps[last - self.base - 1])
         met = alive.pop()
-        ids = self._path(met)
-        if met > self.base:
-            self.back = {k: v for k, v in self.back.items() if k > met}
-            gone = self.scores.get(met, max(self.scores.values()))
-            self.scores = {k: v - gone for k, v in self.scores.items()}
-            self.base = met
+        out = self._path(met)
+        del self.steps[: met - self.base], self.ids[: met - self.base]
+        self.base = met
+        if not self.vocab.bpe:  # scores are relative, so a text's length costs no accuracy
+            self.state[:] = [x - self.state[self.at % len(self.state)] for x in self.state]
         self.due = 2 * (self.at - self.base) + 4 * self.vocab.longest
-        return ids
+        return out
 
     def _path(self, boundary: int) -> list[int]:
         parts = []
-        while boundary > self.base:
-            boundary, ids = self.back[boundary]
-            parts.append(ids)
-        return [i for ids in reversed(parts) for i in ids]
+        at = boundary - self.base
+        while at > 0:
+            ids = self.ids[at - 1]
+            parts += [ids] if isinstance(ids, int) else ids[::-1]
+            at -= self.steps[at - 1]
+        return parts[::-1]
 
     def close(self) -> list[int]:
         return self._path(self.at)

@@ -114,6 +114,27 @@ def vocab():
     return unigram.vocabulary(unigram.read_model())
 
 
+def as_unigram(change=lambda score: score):
+    """The same pieces as a unigram model."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto.FromString(unigram.read_model())
+    proto.trainer_spec.model_type = unigram.UNIGRAM
+    for p in proto.pieces:
+        p.score = change(p.score)
+    return proto.SerializeToString()
+
+
+SCRAPS = ["a", "b", " ", "the", "\n", "é", "🙂", "ing", "\t", "  ", "zq", "ation", "日本", ".", "!!", "###", "     ", "12", "ß"]
+
+
+def in_parts(vocab, text, size=3):
+    stream, ids = unigram.StreamingViterbi(vocab), []
+    for at in range(0, len(text), size):
+        ids += stream.push(text[at : at + size])
+    return ids + stream.close()
+
+
 def plain_viterbi(vocab, text):
     """Ids by the textbook search over the whole text."""
     pieces = {p: (vocab.automaton.get(p)[1], i) for i, p in enumerate(vocab.pieces) if vocab.types[i] == unigram.NORMAL}
@@ -134,45 +155,52 @@ def plain_viterbi(vocab, text):
     return out
 
 
-def test_unigram_is_viterbi(vocab):
-    r = random.Random(5)
+def test_unigram_is_viterbi():
+    vocab, r = unigram.Vocabulary(as_unigram()), random.Random(5)
     for _ in range(150):
-        text = "".join(r.choice(["a", "b", " ", "the", "\n", "é", "🙂", "ing", "\t", "  ", "zq", "ation", "日本", "."]) for _ in range(r.randint(0, 25)))
+        text = "".join(r.choice(SCRAPS) for _ in range(r.randint(0, 25)))
         whole = vocab.normalise(text)
         ids = [i for part in vocab.segments.findall(whole) for i in plain_viterbi(vocab, part)]  # unknown characters score -1e9: whole-text sums would round
         assert unigram.encode(vocab, text) == ids and unigram.decode(vocab, ids) == text
         assert sum(unigram.count_pieces(vocab, s) for s in vocab.segments.findall(whole)) == len(ids)
-        stream, got = unigram.StreamingViterbi(vocab), []
-        for at in range(0, len(whole), 3):
-            got += stream.push(whole[at : at + 3])
-        assert got + stream.close() == ids
+        assert in_parts(vocab, whole) == ids
 
 
-def test_unigram_is_the_library(vocab):
+def test_unigram_is_the_library():
     """The library in unigram mode, on scores that 32-bit floats add exactly; ties included."""
     import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2
 
-    proto = sentencepiece_model_pb2.ModelProto.FromString(unigram.read_model())
-    proto.trainer_spec.model_type = 1
-    for p in proto.pieces:
-        p.score = max(p.score, -40_000) - 1.5
-    raw = proto.SerializeToString()
+    raw, r = as_unigram(lambda score: max(score, -40_000) - 1.5), random.Random(6)
     library, own = sentencepiece.SentencePieceProcessor(model_proto=raw), unigram.Vocabulary(raw)
-    r = random.Random(6)
     for _ in range(2_000):
         word = "".join(r.choice("aeinrstlo$#.éß") for _ in range(r.randint(1, 14)))
         assert unigram.encode(own, word) == library.encode(word)
 
 
-def test_unigram_streams_long_text(vocab):
+def test_bpe_is_the_library(spark, data_dir, vocab):
+    """The model as it is: ids of whole texts, and counts, are the library's."""
+    import sentencepiece
+
+    library, r = sentencepiece.SentencePieceProcessor(model_proto=unigram.read_model()), random.Random(17)
+    texts = ["".join(r.choice(SCRAPS) for _ in range(r.randint(0, 30))) for _ in range(1_000)]
+    texts += [x.text for x in spark.read.parquet(f"{data_dir}/documents.parquet").limit(60).collect()]
+    for text in texts:
+        ids, whole = library.encode(text), vocab.normalise(text)
+        assert unigram.encode(vocab, text) == ids and unigram.decode(vocab, ids) == text
+        assert sum(unigram.count_pieces(vocab, s) for s in vocab.segments.findall(whole)) == len(ids)
+        assert len(text) > 500 or in_parts(vocab, whole) == ids
+
+
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_streams_long_text(vocab, kind):
+    vocab = vocab if kind == "bpe" else unigram.Vocabulary(as_unigram())
     text = ("ab" * 60_000) + "é" * 1_000
     stream, ids = unigram.StreamingViterbi(vocab), []
     for at in range(0, len(text), 1_000):
         ids += stream.push(text[at : at + 1_000])
-        assert len(stream.back) < 2_000 and len(stream.scores) <= vocab.longest + 2
+        assert len(stream.steps) < 2_000 and len(stream.state) == vocab.longest + 1
     ids += stream.close()
-    assert unigram.decode(vocab, ids) == text
+    assert "".join(vocab.pieces[i] for i in ids) == text
 
 
 def test_token_tables(spark):
