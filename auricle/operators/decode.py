@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Names of the blank token, the unknown token, the word mark, seconds a frame.
 BLANKS = ("<blk>", "<blank>", "[blank]")
 UNKNOWN = "<unk>"
 MARK = "▁"

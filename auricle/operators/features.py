@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Samples a second, transform size, window, hop, floor of the power, added to deviations.
 SAMPLE_RATE, N_FFT, WINDOW, HOP = 16_000, 512, 400, 160
 LOG_FLOOR = 1e-5
 EPSILON = 1e-5

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Length of a clip's last token, words in a segment without a sentence end.
 LAST_TOKEN_S = 0.1
 MAX_SEGMENT_WORDS = 15
 MARK = "▁"

@@ -12,6 +12,7 @@ from auricle.functions.labels import error_envelope, request_id, resolve_languag
 from auricle.operators import decode, engines, features, intake, logs, metrics, models, render, timing
 from auricle.plans import views
 from auricle.schemas import Limits
+from auricle.shared import shared_dir
 from auricle.sources.scans import parse_request_logs
 from auricle.streaming import jobs
 
@@ -240,13 +241,7 @@ def _stream_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="auricle-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
