@@ -150,6 +150,7 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, min_words: int = MIN_
     lists = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("run", "first", "count", "doc_id")).alias("runs"))
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "runs")
     texts = docs.select("doc_id", "text_hash", "text").join(lists, docs["doc_id"].eqNullSafe(lists["_id"]) & (docs["text_hash"] == lists["_hash"]))
+    scratch.free_shuffles()
     windows = scratch.save(_window_rows(texts.select("text", "runs"), min_words), "windows")
     scratch.free_shuffles()
     firsts = windows.groupBy("window").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")).where("n > 1 and lowest is not null").select("window", "lowest")
@@ -159,7 +160,10 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, min_words: int = MIN_
     every = F.expr("shiftleft(1L, `count`) - 1")
     mask = F.when(F.col("lowest").isNotNull() & (F.col("doc_id").isNull() | (F.col("lowest") < F.col("doc_id"))), every).otherwise(F.col("mask"))
     gone = shared.join(decided, "run").select("doc_id", "text_hash", "first", mask.alias("mask")).where("mask <> 0")
-    return scratch.save(gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "mask")).alias("windows")), "gone")
+    found = scratch.save(gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "mask")).alias("windows")), "gone")
+    scratch.drop("shared", "runs", "windows", "decided")
+    scratch.free_shuffles()
+    return found
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
