@@ -114,8 +114,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
 
     Equal vectors of a label are one row of the join, with their number. Cells join on their own;
     a cell of over BLOCK rows is dealt into blocks and compared block by block, so no task
-    grows with a cell. Vectors of unequal dimension are not compared. A null vec_id is never a
-    component's smallest unless there is no other.
+    grows with a cell. Vectors of unequal dimension are not compared. Rows without label, and vectors that
+    are null, empty, zero or hold null or non-finite components, link with nothing and are their own component. A repeated row
+    is another vector. A null vec_id is never a component's smallest unless there is no other. An empty table gives no rows; other columns are not looked at.
     """
     scratch = Scratch(spark, "nearvec")
     classes = distinct_vectors(spark, vectors, scratch)

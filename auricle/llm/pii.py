@@ -125,7 +125,7 @@ def find_personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets."""
+    """``docs``, all columns kept, with every span replaced by its kind in brackets (see ``spans.redact``)."""
     return redact(docs, find_personal_data(spark, docs.select("doc_id", "text")), ALL_KINDS)
 
 

@@ -113,7 +113,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: str, k: int = TOP, b
 
     Score is the integer inner product; ties go to the smaller vec_id (null last). Vectors that
     are null, empty, of another dimension than the query's, or hold null, non-finite or huge components
-    take no part. Blocks of vectors meet blocks of queries, both of bounded size, each pair once; a block gives
+    take no part. Only the query's own row is left out, so a row repeated is a candidate; an empty table gives no rows. Blocks of vectors meet blocks of queries, both of bounded size, each pair once; a block gives
     ``k`` rows a query, and those are ranked by query.
     """
     scratch = Scratch(spark, "topk")
