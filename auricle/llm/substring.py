@@ -15,7 +15,9 @@ from auricle.llm.common import Scratch, column_bytes, map_batches
 MIN_WORDS = 13
 ANCHOR_WORDS = 5
 #: Word hashes kept by a Python worker before it starts afresh.
-MEMO = 1_000_000
+MEMO = 300_000
+#: Documents that a Python worker unpacks at a time.
+SLICE = 250
 _memo: dict[bytes, int] = {}
 
 
@@ -110,17 +112,18 @@ def _window_rows(runs: DataFrame, min_words: int) -> DataFrame:
 
     def make():
         def on_batch(batch: pa.RecordBatch):
-            lists = batch.column(1).to_pylist()
-            out: list[list] = [[], [], [], []]
-            for text, own in zip(column_bytes(batch.column(0)), lists, strict=True):
-                windows = gram_hashes(word_hashes(text.split()), min_words).view(np.int64)
-                for r in own:
-                    n = r["count"]
-                    out[0] += [r["run"]] * n
-                    out[1] += range(n)
-                    out[2] += windows[r["first"] : r["first"] + n].tolist()
-                    out[3] += [r["doc_id"]] * n
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["run", "offset", "window", "doc_id"])
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                out: list[list] = [[], [], [], []]
+                for text, own in zip(column_bytes(piece.column(0)), piece.column(1).to_pylist(), strict=True):
+                    windows = gram_hashes(word_hashes(text.split()), min_words).view(np.int64)
+                    for r in own:
+                        n = r["count"]
+                        out[0] += [r["run"]] * n
+                        out[1] += range(n)
+                        out[2] += windows[r["first"] : r["first"] + n].tolist()
+                        out[3] += [r["doc_id"]] * n
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["run", "offset", "window", "doc_id"])
 
         return on_batch
 
@@ -166,12 +169,26 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, min_words: int = MIN_
     return found
 
 
+def covered_words(windows: list[dict], n: int, min_words: int) -> np.ndarray:
+    """Which of a text's ``n`` words the windows cover; bit i of a mask stands for the window ``first + i``."""
+    edge = np.zeros(n + 1, np.int64)
+    for w in windows:
+        mask, at = w["mask"], w["first"]
+        while mask:
+            if mask & 1:
+                edge[at] += 1
+                edge[at + min_words] -= 1
+            mask >>= 1
+            at += 1
+    return np.cumsum(edge[:-1]) > 0
+
+
 def dedup_substrings(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
     Removed is each word covered by a window of ``min_words`` words that also starts in a
     document of smaller id. Null texts have no words; a null id is larger than any other, and
-    documents without id don't repeat each other; rows repeated in full don't either, having one id.
+    documents without id don't repeat each other; rows repeated in full don't either, having one id. An empty table gives no rows; other columns are not looked at.
     """
     if not k <= min_words <= k + 62:
         raise ValueError("min_words must be from k to k + 62")
@@ -181,25 +198,18 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, min_words: int = MIN_
 
     def make():
         def on_batch(batch: pa.RecordBatch):
-            total, removed, kept = [], [], []
-            for text, windows in zip(column_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words = (text or b"").split()
-                total.append(len(words))
-                if windows:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    for w in windows:
-                        mask, at = w["mask"], w["first"]
-                        while mask:
-                            if mask & 1:
-                                edge[at] += 1
-                                edge[at + min_words] -= 1
-                            mask >>= 1
-                            at += 1
-                    covered = np.cumsum(edge[:-1]) > 0
-                    words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-                removed.append(total[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            for start in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(start, SLICE)
+                total, removed, kept = [], [], []
+                for text, windows in zip(column_bytes(piece.column(1)), piece.column(2).to_pylist(), strict=True):
+                    words = (text or b"").split()
+                    total.append(len(words))
+                    if windows:
+                        covered = covered_words(windows, len(words), min_words)
+                        words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
+                    removed.append(total[-1] - len(words))
+                    kept.append(b" ".join(words))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
         return on_batch
 
