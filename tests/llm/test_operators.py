@@ -319,6 +319,31 @@ def test_secret_battery(spark):
     assert secrets.find_secrets(spark, documents(spark).limit(0).select("doc_id", "text")).count() == 0
 
 
+def accepted_tokens(spark, texts):
+    """The tokens accepted as random, of each text."""
+    found = secrets.find_secrets(spark, spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)).collect()
+    return [[texts[r.doc_id][s.start : s.stop] for s in r.all_spans if s.kind == 3] for r in sorted(found, key=lambda r: r.doc_id)]
+
+
+def test_secret_negatives_with_digits_and_symbols(spark):
+    r = random.Random(18)
+    prose = "The engine reads every table and writes its results where other jobs find them without waiting for anyone to ask".lower().split()
+    some = lambda n: r.sample(prose, n)
+    kinds = [
+        lambda: "-" * r.randint(16, 60),
+        lambda: "/".join([*some(6), str(r.randrange(2000, 2030))]),
+        lambda: "_".join([*some(5), str(r.randrange(100))]),
+        lambda: "-".join([*some(3), str(r.randrange(2000, 2030)), *some(2)]),
+        lambda: f"{r.randrange(2000, 2030)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}/{'/'.join(some(3))}",
+    ]
+    key = lambda name: "".join(r.choice(secrets.ENCODINGS[name]) for _ in range(60))
+    ordinary = [k() for k in kinds for _ in range(40)]
+    keys = [key(name) for name in ("base32", "base64", "base64url") for _ in range(40)]
+    got = accepted_tokens(spark, [f"{' '.join(some(12))} then {t} {' '.join(some(12))}" for t in ordinary + keys])
+    assert sum(map(bool, got[: len(ordinary)])) <= 8
+    assert sum(map(bool, got[len(ordinary) :])) >= 80
+
+
 def test_randomness_is_uniform():
     r = random.Random(11)
     p = [secrets.randomness("".join(r.choice(secrets.ENCODINGS["base64"]) for _ in range(64)))[1] for _ in range(400)]
