@@ -344,6 +344,16 @@ def test_secret_negatives_with_digits_and_symbols(spark):
     assert sum(map(bool, got[len(ordinary) :])) >= 80
 
 
+def test_secrets_in_thin_cells(spark):
+    r = random.Random(19)
+    key = lambda name, n: "".join(r.choice(secrets.ENCODINGS[name]) for _ in range(n))
+    for tokens in ([key("base62", 64) for _ in range(12)], [key("base64url", 100)], [key("decimal", 22) for _ in range(15)]):  # longer decimal ones are hex spans
+        for around in ("", "the engine reads every table and writes its results where other jobs find them "):
+            got = accepted_tokens(spark, [f"{around}{t} {around}" for t in tokens])
+            assert sum(map(bool, got)) > 0.6 * len(tokens), (tokens, around)
+    assert not any(accepted_tokens(spark, ["a rule " + "-" * 64, "a name some_long_name_of_a_thing_and_its_place", "no 2024010220240103", "count 0000000000000000017"]))
+
+
 def test_randomness_is_uniform():
     r = random.Random(11)
     p = [secrets.randomness("".join(r.choice(secrets.ENCODINGS["base64"]) for _ in range(64)))[1] for _ in range(400)]
