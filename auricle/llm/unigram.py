@@ -25,6 +25,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auricle.llm.common import map_batches
 
@@ -389,7 +390,19 @@ def token_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, docs.select("doc_id", "text"))
 
 
+def round_trip(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) encoded and decoded again: doc_id, n_ids, ids, decoded_sha256, same.
+
+    ``same`` tells whether the decoded text is the input's; a null text counts as empty.
+    """
+    marked = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    encoded = encode_documents(spark, marked)
+    decoded = decode_documents(spark, encoded.withColumn("copy", F.col("ids")), "copy")
+    own = decoded.withColumn("decoded_sha256", F.sha2("text", 256))
+    return own.select("doc_id", "n_ids", "ids", "decoded_sha256", (F.col("decoded_sha256") == F.col("sha256")).alias("same"))
+
+
 def encode_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: doc_id, n_ids, ids."""
+    """op10: doc_id, n_ids, ids, decoded_sha256, same."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode_documents(spark, docs.select("doc_id", "text"))
+    return round_trip(spark, docs.select("doc_id", "text"))

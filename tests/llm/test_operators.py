@@ -215,6 +215,17 @@ def test_token_tables(spark):
     assert unigram.encode_documents(spark, docs.limit(0)).count() == 0
 
 
+def test_encoding_query_decodes(spark, data_dir):
+    got = queries.QUERIES["op10_sentencepiece"](spark, data_dir)
+    assert got.columns == ["doc_id", "n_ids", "ids", "decoded_sha256", "same"]
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
+    for r in got.collect():
+        back = text[r.doc_id].replace("▁", " ")
+        assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest() and r.same == (back == text[r.doc_id])
+    odd = {r.doc_id: r for r in unigram.round_trip(spark, documents(spark).select("doc_id", "text")).collect()}
+    assert odd[4].same and odd[5].same and odd[6].same and not odd[13].same and odd[13].n_ids == len(odd[13].ids)
+
+
 # 3 personal data
 
 
