@@ -1,8 +1,9 @@
 """SentencePiece tokenization by Viterbi search: counts, ids and decoding.
 
 Pieces and scores come from a ``.model`` file. A text is normalised as the model says
-(identity normalisation only), then split where no piece can reach across, which leaves
-the ids unchanged; segments are memoised, as most recur.
+(identity normalisation only). Each text goes through one stream that commits ids where all
+surviving paths meet. Boundaries that no piece can cross, as before a space, are such places by the vocabulary alone;
+the segments between them are memoised, as most recur.
 
 The search runs over the vocabulary matches that an Aho-Corasick automaton lists by their end, and
 keeps one path for each boundary. Which match continues a path depends on the model's type:
@@ -10,7 +11,8 @@ keeps one path for each boundary. Which match continues a path depends on the mo
 - Unigram: the best sum of scores. Tie rule, the tokenizer's own: candidates for a boundary are
   taken by ascending start, and a later one replaces an earlier one only if its score is strictly
   higher. Scores are added in double precision from the last committed boundary.
-- BPE: sums of scores don't give a BPE tokenizer's ids. Ids are those of the merges if and only
+- BPE, which the vocabulary at hand is, so the registered queries take this rule and no score decides
+  there: sums of scores don't give a BPE tokenizer's ids. Ids are those of the merges if and only
   if every two neighbours are what the merges make of their joined text, so the match
   that fits the path's last piece continues it; there is one for each boundary.
 """
@@ -18,6 +20,7 @@ keeps one path for each boundary. Which match continues a path depends on the mo
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 from pathlib import Path
 
@@ -35,6 +38,9 @@ UNKNOWN_PENALTY = 10.0
 #: Segments up to this many characters are memoised, up to MEMO entries a Python worker.
 MEMO_CHARS = 48
 MEMO = 600_000
+#: A segment of more characters is searched part by part; texts are read in parts of PART characters.
+LONG = 256
+PART = 1 << 16
 #: Pairs of pieces whose fit is remembered.
 PAIRS = 400_000
 UNIGRAM, BPE = 1, 2
@@ -70,6 +76,7 @@ class Vocabulary:
             if any(p.type in (USER_DEFINED, UNUSED) for p, _ in kinds):
                 raise ValueError("BPE models with user-defined or unused pieces are not supported")
         self.pairs: dict[int, bool] = {}
+        self.special = frozenset(i for i, t in enumerate(self.types) if t in (BYTE, UNKNOWN, CONTROL))
         for p, i in kinds:
             if self.bpe and p.type == NORMAL and len(p.piece) > 1 and self.merged(p.piece) != [p.piece]:
                 continue  # no merges lead to it
@@ -121,51 +128,80 @@ def vocabulary(model: bytes) -> Vocabulary:
 
 
 def count_pieces(vocab: Vocabulary, segment: str) -> int:
-    """Number of ids of a segment: Viterbi that carries only score (or last piece) and piece count, for the last ``longest`` boundaries."""
-    size = vocab.longest + 1
-    state, counts, at = [0.0 if not vocab.bpe else None] * size, [0] * size, 0  # ``at``: boundary that is complete
-
-    def close(best, number: int, single: bool) -> None:
-        nonlocal at
-        here = at % size
-        if not single and (best is None or (not vocab.bpe and state[here] + vocab.unknown_score > best)):
-            best = None if vocab.bpe else state[here] + vocab.unknown_score
-            number = counts[here] + len(vocab.unknown_ids(segment[at]))
-        at += 1
-        state[at % size], counts[at % size] = best, number
-
-    best, number, single = None, 0, False
-    bpe, pairs = vocab.bpe, vocab.pairs
+    """Number of ids of a segment: Viterbi that carries only score (or last piece) and piece count, no back pointers."""
+    n, bpe, pairs, fits = len(segment), vocab.bpe, vocab.pairs, vocab.fits
+    state: list = [None if bpe else 0.0] * (n + 1)
+    counts, at, single, set_ = [0] * (n + 1), 1, False, False  # ``at``: boundary whose matches are being read
+
+    def unknown(b: int) -> None:
+        """Boundary ``b`` by an unknown character, where that is all there is or scores more."""
+        score = None if bpe else state[b - 1] + vocab.unknown_score
+        if not set_ or (not bpe and score > state[b]):
+            state[b], counts[b] = score, counts[b - 1] + len(vocab.unknown_ids(segment[b - 1]))
+
     for end, (length, score, piece) in vocab.automaton.iter(segment):
-        while at < end:
-            close(best, number, single)
-            best, number, single = None, 0, False
-        start = (end + 1 - length) % size
+        while at <= end:
+            if not single:
+                unknown(at)
+            at, single, set_ = at + 1, False, False
+        start = at - length
         if bpe:
-            if best is None:
+            if not set_:
                 before = state[start]
                 ok = before is None or pairs.get(before << 20 | piece)
-                if ok or (ok is None and vocab.fits(before, piece)):
-                    best, number = piece, counts[start] + 1
-        elif best is None or state[start] + score > best:
-            best, number = state[start] + score, counts[start] + 1
+                if ok or (ok is None and fits(before, piece)):
+                    state[at], counts[at], set_ = piece, counts[start] + 1, True
+        elif not set_ or state[start] + score > state[at]:
+            state[at], counts[at], set_ = state[start] + score, counts[start] + 1, True
         single |= length == 1
-    while at < len(segment):
-        close(best, number, single)
-        best, number, single = None, 0, False
-    return counts[at % size]
+    while at <= n:
+        if not single:
+            unknown(at)
+        at, single, set_ = at + 1, False, False
+    return counts[n]
+
+
+def encode_segment(vocab: Vocabulary, segment: str) -> list[int]:
+    """Ids of a short segment: the same search with back pointers, followed once from its end."""
+    n, bpe, pairs, fits = len(segment), vocab.bpe, vocab.pairs, vocab.fits
+    if not bpe:
+        stream = StreamingViterbi(vocab)
+        stream.search(segment)
+        return stream.finish()
+    last: list = [None] * (n + 1)  # None: the start, or an unknown character
+    steps = [1] * (n + 1)
+    for end, (length, _, piece) in vocab.automaton.iter(segment):
+        if last[end + 1] is None:
+            before = last[end + 1 - length]
+            ok = before is None or pairs.get(before << 20 | piece)
+            if ok or (ok is None and fits(before, piece)):
+                last[end + 1], steps[end + 1] = piece, length
+    out, at = [], n
+    while at:
+        out += vocab.unknown_ids(segment[at - 1])[::-1] if last[at] is None else (last[at],)
+        at -= steps[at]
+    return out[::-1]
 
 
 class StreamingViterbi:
-    """Viterbi over text that comes in parts, with ids given out as soon as they are certain.
-
-    Scores (or last pieces) are kept for the last ``longest`` boundaries. Now and then the back
-    pointers of those boundaries are followed: where all surviving paths meet in one boundary,
-    the ids up to it are committed and forgotten.
+    """Viterbi over a (normalised) text that comes in parts, with ids given out as soon as they are certain.
+
+    Ids are committed where all surviving paths meet in one boundary. At a boundary that no
+    piece of the vocabulary crosses, as before a space, they always do: the segment before it is committed
+    there, and as nothing before it matters any more, segments seen before come from ``memo``. In a segment longer
+    than LONG characters the back pointers of the last ``longest`` boundaries are followed now and then
+    to find where they meet. So what is held is bounded by LONG and the longest piece, however long
+    the text. ``commits`` counts the boundaries where paths met.
     """
 
-    def __init__(self, vocab: Vocabulary) -> None:
-        self.vocab, self.tail = vocab, ""
+    def __init__(self, vocab: Vocabulary, memo: dict[str, bytes] | None = None) -> None:
+        self.vocab, self.memo = vocab, memo
+        self.held, self.commits = "", 0
+        self.inside = False  # of a long segment, of which ``held`` is then the last character
+        self.begin()
+
+    def begin(self) -> None:
+        vocab, self.tail = self.vocab, ""
         self.base = self.at = 0
         self.state: list = [None if vocab.bpe else 0.0] * (vocab.longest + 1)
         # of each boundary after ``base``: length of the last step of its path, and that step's ids
@@ -173,7 +209,46 @@ class StreamingViterbi:
         self.ids: list = []
         self.due = 4 * vocab.longest
 
+    def push_packed(self, part: str) -> bytes:
+        """Ids that the text so far makes certain, as little-endian 32-bit numbers."""
+        found = self.vocab.segments.findall(self.held + part)
+        if not found:
+            return b""
+        out: list[bytes] = []
+        if self.inside:
+            out.append(packed(self.search(found[0][1:])))
+            if len(found) == 1:
+                self.held = found[0][-1]
+                return b"".join(out)
+            out.append(packed(self.finish()))
+            self.inside, self.commits = False, self.commits + 1
+            del found[0]
+        self.held = found.pop()
+        self.commits += len(found)
+        memo = self.memo
+        out += [memo[x] for x in found] if memo is not None else [packed(encode_segment(self.vocab, x)) for x in found]
+        if len(self.held) > LONG:
+            self.begin()
+            out.append(packed(self.search(self.held)))
+            self.inside, self.held = True, self.held[-1]
+        return b"".join(out)
+
+    def close_packed(self) -> bytes:
+        """The ids left at the end of the text."""
+        if self.inside:
+            return packed(self.finish())
+        if not self.held:
+            return b""
+        return packed(encode_segment(self.vocab, self.held)) if self.memo is None else self.memo[self.held]
+
     def push(self, part: str) -> list[int]:
+        return np.frombuffer(self.push_packed(part), "<i4").tolist()
+
+    def close(self) -> list[int]:
+        return np.frombuffer(self.close_packed(), "<i4").tolist()
+
+    def search(self, part: str) -> list[int]:
+        """The next part of one segment."""
         vocab, state, size, skip = self.vocab, self.state, self.vocab.longest + 1, len(self.tail)
         bpe, pairs, fits = vocab.bpe, vocab.pairs, vocab.fits
         seen, at, out = self.tail + part, self.at, []
@@ -190,6 +265,9 @@ class StreamingViterbi:
             self.steps.append(step)
             self.ids.append(ids)
             best, single = None, False
+            if at - self.base >= self.due:
+                self.at = at
+                out.extend(self._commit())
 
         for end, (length, score, piece) in vocab.automaton.iter(seen):
             if end < skip:
@@ -209,12 +287,7 @@ class StreamingViterbi:
                 best, step, ids = before + score, length, piece
         while at < begin + len(seen):
             close()
-            if at - self.base >= self.due:
-                self.at = at
-                out += self._commit()
         self.at = at
-        if at - self.base >= self.due:
-            out += self._commit()
         self.tail = seen[-vocab.longest :]
         return out
 
@@ -226,6 +299,7 @@ class StreamingViterbi:
             alive.add(last - self.steps[last - self.base - 1])
         met = alive.pop()
         out = self._path(met)
+        self.commits += met > self.base
         del self.steps[: met - self.base], self.ids[: met - self.base]
         self.base = met
         if not self.vocab.bpe:  # scores are relative, so a text's length costs no accuracy
@@ -242,18 +316,22 @@ class StreamingViterbi:
             at -= self.steps[at - 1]
         return parts[::-1]
 
-    def close(self) -> list[int]:
+    def finish(self) -> list[int]:
         return self._path(self.at)
 
 
-def encode_segment(vocab: Vocabulary, segment: str, part: int = 4096) -> list[int]:
-    stream = StreamingViterbi(vocab)
-    ids = [i for at in range(0, len(segment), part) for i in stream.push(segment[at : at + part])]
-    return ids + stream.close()
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def encode_packed(vocab: Vocabulary, text: str, memo: dict[str, bytes] | None = None) -> bytes:
+    """Ids of a whole text, through one stream, as little-endian 32-bit numbers."""
+    stream, whole = StreamingViterbi(vocab, memo), vocab.normalise(text)
+    return b"".join([*(stream.push_packed(whole[at : at + PART]) for at in range(0, len(whole), PART)), stream.close_packed()])
 
 
 def encode(vocab: Vocabulary, text: str) -> list[int]:
-    return [i for segment in vocab.segments.findall(vocab.normalise(text)) for i in encode_segment(vocab, segment)]
+    return np.frombuffer(encode_packed(vocab, text), "<i4").tolist()
 
 
 def decode(vocab: Vocabulary, ids: list[int]) -> str:
@@ -262,20 +340,24 @@ def decode(vocab: Vocabulary, ids: list[int]) -> str:
     Inverse of ``encode`` but for texts that hold the space mark U+2581 itself (or extra
     spaces, for models that drop them).
     """
-    parts, pending = [], bytearray()
-    for i in ids:
-        if vocab.types[i] == BYTE:
-            pending.append(int(vocab.pieces[i][3:5], 16))
-            continue
-        if pending:
-            parts.append(pending.decode(errors="replace"))
-            pending = bytearray()
-        if vocab.types[i] == UNKNOWN:
-            parts.append(" ⁇ ")
-        elif vocab.types[i] != CONTROL:
-            parts.append(vocab.pieces[i])
-    parts.append(pending.decode(errors="replace"))
-    text = "".join(parts).replace(SPACE, " ")
+    if vocab.special.isdisjoint(ids):
+        text = "".join([vocab.pieces[i] for i in ids])
+    else:
+        parts, pending = [], bytearray()
+        for i in ids:
+            if vocab.types[i] == BYTE:
+                pending.append(int(vocab.pieces[i][3:5], 16))
+                continue
+            if pending:
+                parts.append(pending.decode(errors="replace"))
+                pending = bytearray()
+            if vocab.types[i] == UNKNOWN:
+                parts.append(" ⁇ ")
+            elif vocab.types[i] != CONTROL:
+                parts.append(vocab.pieces[i])
+        parts.append(pending.decode(errors="replace"))
+        text = "".join(parts)
+    text = text.replace(SPACE, " ")
     return text[1:] if vocab.dummy_prefix and text.startswith(" ") else text
 
 
@@ -304,7 +386,7 @@ def count_memo(model: bytes) -> Memo:
 @lru_cache(2)
 def encode_memo(model: bytes) -> Memo:
     vocab = vocabulary(model)
-    return Memo(lambda s: np.array(encode_segment(vocab, s), "<i4").tobytes())
+    return Memo(lambda s: packed(encode_segment(vocab, s)))
 
 
 def read_model(path: str = MODEL_PATH) -> bytes:
@@ -322,8 +404,8 @@ def _kept(docs: DataFrame, text: str, added: str) -> tuple[DataFrame, list[str],
 def token_counts(spark: SparkSession, docs: DataFrame, text: str = "text", model: bytes | None = None) -> DataFrame:
     """``docs`` without the text and with n_tokens long: ids that ``encode_documents`` would give.
 
-    Null and empty texts count 0. Columns named like the result's are replaced; repeated
-    rows each give a row.
+    Null and empty texts count 0; long texts are counted whole; repeated rows each give a row; an
+    empty table gives none. Columns named like the result's are replaced.
     """
     rows, rest, schema = _kept(docs, text, "n_tokens long")
     shared = spark.sparkContext.broadcast(read_model() if model is None else model)
@@ -343,7 +425,8 @@ def token_counts(spark: SparkSession, docs: DataFrame, text: str = "text", model
 def encode_documents(spark: SparkSession, docs: DataFrame, text: str = "text", model: bytes | None = None) -> DataFrame:
     """``docs`` without the text and with ids array<int> and n_ids long.
 
-    Null and empty texts give no ids. Columns named like the result's are replaced.
+    Null and empty texts give no ids; texts of any length are read in parts; repeated rows each give
+    a row; an empty table gives none. Columns named like the result's are replaced.
     """
     rows, rest, schema = _kept(docs, text, "n_ids long, ids array<int>")
     shared = spark.sparkContext.broadcast(read_model() if model is None else model)
@@ -354,10 +437,10 @@ def encode_documents(spark: SparkSession, docs: DataFrame, text: str = "text", m
         def on_batch(batch: pa.RecordBatch):
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                packed = [b"".join(map(memo.__getitem__, vocab.segments.findall(vocab.normalise(x)))) if x else b"" for x in piece.column(piece.num_columns - 1).to_pylist()]
-                sizes = np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))
+                found = [encode_packed(vocab, x, memo) if x else b"" for x in piece.column(piece.num_columns - 1).to_pylist()]
+                sizes = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(sizes), ids], [*rest, "n_ids", "ids"])
 
         return on_batch
@@ -366,7 +449,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, text: str = "text", m
 
 
 def decode_documents(spark: SparkSession, rows: DataFrame, ids: str = "ids", model: bytes | None = None) -> DataFrame:
-    """``rows`` with the ids column replaced by text; null ids give a null text."""
+    """``rows`` with the ids column replaced by text. Null ids give a null text, no ids an empty one; a column ``text`` is replaced; an empty table stays empty."""
     kept, rest, schema = _kept(rows, ids, "text string")
     shared = spark.sparkContext.broadcast(read_model() if model is None else model)
 

@@ -203,6 +203,24 @@ def test_streams_long_text(vocab, kind):
     assert "".join(vocab.pieces[i] for i in ids) == text
 
 
+def test_streams_commit_on_documents(spark, data_dir, vocab):
+    """One stream a text: ids come out while the text is read, and what is held back stays short."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_proto=unigram.read_model())
+    texts = [r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").where("length(text) > 2000").limit(20).collect()]
+    texts += ["汉字" * 2_000, " ".join(["é" * 300, "🙂", "x" * 700, "", "ab"] * 3), "\t" * 500 + "a" * 400 + "\n"]
+    for text in texts:
+        whole, stream, ids = vocab.normalise(text), unigram.StreamingViterbi(vocab), []
+        for at in range(0, len(whole), 100):
+            ids += stream.push(whole[at : at + 100])
+            assert len(stream.held) <= unigram.LONG and len(stream.steps) <= unigram.LONG + 100
+        early = len(ids)
+        ids += stream.close()
+        assert ids == library.encode(text) == unigram.encode(vocab, text)
+        assert stream.commits > 0 and early > 0.8 * len(ids)
+
+
 def test_token_tables(spark):
     docs = documents(spark).withColumn("n_ids", F.lit("clash"))
     encoded = unigram.encode_documents(spark, docs)
