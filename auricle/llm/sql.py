@@ -34,13 +34,16 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DI
 FROM v JOIN c USING (r) LEFT JOIN n USING (r)
 """
 
+# Scores are sums of doubles: exact below 2^53, and beyond a long given as the largest or smallest one.
 TOP_K = """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x) * 256 >= 16777216)) = 0),
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score, c.r AS cr
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score, c.r AS cr
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)),
 k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, cr) AS rank FROM s)
-SELECT query_id, rank::INT AS rank, vec_id, score FROM k WHERE rank <= 5
+SELECT query_id, rank::INT AS rank, vec_id,
+  CASE WHEN score >= 9223372036854775807 THEN 9223372036854775807 WHEN score <= -9223372036854775808 THEN -9223372036854775808 ELSE score::BIGINT END AS score
+FROM k WHERE rank <= 5
 """

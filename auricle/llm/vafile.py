@@ -1,4 +1,11 @@
-"""Exact top-k inner-product search with vector-approximation files."""
+"""Exact top-k inner-product search with vector-approximation files.
+
+Two tables are made of the vectors: approximation files, which hold one byte a component, and the exact
+vectors by row. Queries scan the approximation files only. They give each score a lower and an
+upper bound; the k-th best lower bound of all files is a query's floor, and vectors whose upper bound
+reaches it are its candidates. Exact vectors are fetched by row in order of upper bound, a batch a query and round,
+until no bound left reaches the k-th best exact score.
+"""
 
 from __future__ import annotations
 
@@ -14,134 +21,245 @@ SCALE = 256
 TOP = 5
 EVERY = 50
 #: Cells a dimension in the approximation.
-LEVELS = 64
-BLOCK = 2048
+LEVELS = 256
+#: Vectors of one approximation file and bytes of it, at most; queries that meet it at a time.
+BLOCK = 65_536
+BLOCK_BYTES = 1 << 24
 QUERY_BLOCK = 512
-#: Larger scaled components could overflow a score of type long; such vectors take no part.
-LARGEST = 2.0**24
+#: Vectors of a file whose bounds are worked out at a time.
+CHUNK = 4096
+#: Exact vectors fetched a query in the first round, as a multiple of k; each round takes GROWTH times as many.
+FIRST, GROWTH = 4, 4
+#: Query rows of one vector are dealt over so many keys.
+SALTS = 8
+#: Relative error of a sum in double precision, with room to spare for any number of dimensions.
+ROUNDING = 1e-9
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """floor(256 * x) / 256 in double precision, which is exact for every finite x."""
+    with np.errstate(over="ignore"):
+        whole = np.floor(x * SCALE) / SCALE
+    return np.where(np.isfinite(whole), whole, x)
 
 
 def integer_vectors(vectors: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, vec_id, dim, ints binary) of usable vectors: each component x as floor(256 * x), 32-bit."""
-    usable = f"embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) * {SCALE} < {LARGEST})"
-    rows = vectors.where(usable).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
+    """(row, vec_id, dim, exact binary) of usable vectors; ``exact`` holds each component as ``scaled``, in double precision."""
+    usable = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf'))"
+    rows = vectors.where(usable).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
 
     def make():
         def on_batch(batch: pa.RecordBatch):
             lists = batch.column(2)
             sizes = np.diff(lists.offsets.to_numpy())
-            ints = np.floor(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * SCALE).astype("<i4")
+            # -0.0 and 0.0 are one number
+            flat = scaled(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)) + 0.0
             ends = np.cumsum(sizes)
-            packed = [ints[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(packed, pa.binary())], ["row", "vec_id", "dim", "ints"])
+            exact = [flat[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.array(exact, pa.binary())], ["row", "vec_id", "dim", "exact"])
 
         return on_batch
 
-    return scratch.save(map_batches(rows, make, "row long, vec_id long, dim int, ints binary"), "ints")
+    return scratch.save(map_batches(rows, make, "row long, vec_id long, dim int, exact binary"), "exact")
 
 
-def _stacked(packed: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(packed), "<i4").reshape(-1, dim)
+def _stacked(exact: list[bytes], dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(exact), np.float64).reshape(-1, dim)
 
 
-def approximation_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Blocks of vectors of one dimension, each a small approximation file.
+def approximation_files(rows: DataFrame, block: int) -> DataFrame:
+    """(file, dim, rows, low, step, codes): per dimension the file's range is cut into LEVELS cells; a vector keeps the number of its cell, one byte."""
 
-    A row holds ids, exact vectors, and their cells: per dimension the block's range is cut
-    into LEVELS cells and a vector keeps the number of its cell (one byte).
-    """
+    def run(batches):
+        task, number = TaskContext.get().partitionId(), 0
+        held: dict[int, list[tuple[int, bytes]]] = {}
 
-    def make():
-        task = TaskContext.get().partitionId()
-        number = 0
+        def packed(dim: int) -> pa.RecordBatch:
+            nonlocal number
+            part = held.pop(dim)
+            exact = _stacked([x for _, x in part], dim)
+            low, high = exact.min(axis=0), exact.max(axis=0)
+            # halves first, as the whole range may overflow
+            step = np.maximum((high / 2 - low / 2) / (LEVELS / 2), np.maximum(np.abs(low), np.abs(high)) * 1e-12)
+            step = np.where(step > 0, step, 1.0)
+            codes = np.clip(np.floor(exact / step - low / step), 0, LEVELS - 1).astype(np.uint8)
+            number += 1
+            columns = [[(task << 33) + number], [dim], [[r for r, _ in part]], [low.tobytes()], [step.tobytes()], [codes.tobytes()]]
+            types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "dim", "rows", "low", "step", "codes"])
+
+        for batch in batches:
+            for row, dim, exact in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                part = held.setdefault(dim, [])
+                part.append((row, exact))
+                if len(part) >= min(block, max(1, BLOCK_BYTES // dim)):
+                    yield packed(dim)
+        for dim in list(held):
+            yield packed(dim)
+
+    return rows.select("row", "dim", "exact").mapInArrow(run, "file long, dim int, rows array<long>, low binary, step binary, codes binary")
+
+
+def score_bounds(queries: np.ndarray, low: np.ndarray, step: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds (queries x vectors) of the scores, from the cells alone; infinite where doubles don't reach."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        corner = codes * step + low
+        base = queries @ corner.T
+        # a component lies up to a cell beyond its corner, and a little to either side by rounding
+        slack = ROUNDING * (np.abs(queries) @ (np.abs(corner) + np.abs(low) + step * LEVELS).T)
+        lower = base + (np.minimum(queries, 0) @ step)[:, None] - slack
+        upper = base + (np.maximum(queries, 0) @ step)[:, None] + slack
+    unsure = ~(np.isfinite(lower) & np.isfinite(upper))
+    lower[unsure], upper[unsure] = -np.inf, np.inf
+    return lower, upper
+
+
+def _scan(files: DataFrame, packed: DataFrame, salts: int, on_file, schema: str) -> DataFrame:
+    """Every query block past every file: files are dealt out once, the blocks of queries go to each share."""
+    left = files.withColumn("salt", F.pmod(F.xxhash64("file"), F.lit(salts)).cast("int"))
+    right = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = left.join(right, ["salt", "dim"]).select("dim", "rows", "low", "step", "codes", "asked")
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
+    def make():
         def on_batch(batch: pa.RecordBatch):
-            nonlocal number
-            dims = batch.column(2).to_numpy()
-            for dim in np.unique(dims):
-                all_at = np.flatnonzero(dims == dim)
-                for k in range(0, len(all_at), block):
-                    at = pa.array(all_at[k : k + block])
-                    exact = _stacked(batch.column(3).take(at).to_pylist(), int(dim))
-                    low = exact.min(axis=0)
-                    step = (exact.max(axis=0) - low) // LEVELS + 1
-                    codes = ((exact - low) // step).astype(np.uint8)
-                    columns = [[(task << 33) + number], [int(dim)], [batch.column(0).take(at).to_pylist()], [batch.column(1).take(at).to_pylist()], [low.astype("<i4").tobytes()], [step.astype("<i4").tobytes()], [codes.tobytes()], [exact.tobytes()]]
-                    types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "dim", "rows", "ids", "low", "step", "codes", "exact"])
-                    number += 1
+            for i in range(batch.num_rows):
+                dim, rows, low, step, codes, asked = (batch.column(c)[i].as_py() for c in range(6))
+                queries = _stacked([a["exact"] for a in asked], dim)
+                low, step, codes = np.frombuffer(low), np.frombuffer(step), np.frombuffer(codes, np.uint8).reshape(-1, dim)
+                columns = on_file(asked, queries, np.array(rows, np.int64), lambda at, q=queries, lo=low, st=step, co=codes: score_bounds(q, lo, st, co[at : at + CHUNK]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
         return on_batch
 
-    return map_batches(rows, make, "block long, dim int, rows array<long>, ids array<long>, low binary, step binary, codes binary, exact binary")
+    return map_batches(met, make, schema)
 
 
-def search_block(queries: np.ndarray, query_rows: list[int], rows: np.ndarray, ids: list, low: np.ndarray, step: np.ndarray, codes: np.ndarray, exact: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query number, place in the block, score) of each query's best ``k`` of a block.
+def _best_lower(k: int):
+    """Of one file, each query's ``k`` best lower bounds."""
 
-    The cells give a lower and an upper bound of every score. Candidates are those whose upper
-    bound reaches the k-th best lower bound; their exact vectors are read in order of upper
-    bound until the k-th best exact score is above all bounds left.
-    """
-    q = queries.astype(np.float64)
-    corner = codes * step.astype(np.float64) + low
-    base = q @ corner.T
-    upper = base + (np.maximum(q, 0) @ (step - 1.0))[:, None]
-    lower = base + (np.minimum(q, 0) @ (step - 1.0))[:, None]
-    own = rows[None, :] == np.array(query_rows)[:, None]
-    upper[own], lower[own] = -np.inf, -np.inf
-    order_ids = np.array([np.iinfo(np.int64).max if i is None else i for i in ids])
-    n = len(rows)
-    floor = np.partition(lower, max(n - k, 0), axis=1)[:, max(n - k, 0)]
+    def on_file(asked, queries, rows, bounds):
+        best = np.full((len(queries), 0), -np.inf)
+        for at in range(0, len(rows), CHUNK):
+            best = np.concatenate([best, bounds(at)[0]], axis=1)
+            if best.shape[1] > k:
+                best = np.partition(best, best.shape[1] - k, axis=1)[:, -k:]
+        return np.repeat(np.array([a["row"] for a in asked], np.int64), best.shape[1]), best.ravel()
+
+    return on_file
+
+
+def _reaching(asked, queries, rows, bounds):
+    """Of one file, the vectors whose upper bound reaches the query's floor."""
+    ids, floor = np.array([a["row"] for a in asked], np.int64), np.array([a["floor"] for a in asked])
     out = []
-    for i in range(len(q)):
-        near = np.flatnonzero((upper[i] >= floor[i]) & ~own[i])
-        near = near[np.argsort(-upper[i, near], kind="stable")]
-        best: list[tuple[int, int, int]] = []
-        at, width = 0, 4 * k
-        while at < len(near) and not (len(best) == k and -best[-1][0] > upper[i, near[at]]):
-            part = near[at : at + width]
-            scores = exact[part].astype(np.int64) @ queries[i].astype(np.int64)
-            best = sorted([*best, *zip((-scores).tolist(), order_ids[part].tolist(), part.tolist(), strict=True)])[:k]
-            at, width = at + width, width * 2
-        out += [(i, p, -s) for s, _, p in best]
-    return out
+    for at in range(0, len(rows), CHUNK):
+        upper = bounds(at)[1]
+        q, p = np.nonzero(upper >= floor[:, None])
+        out.append((ids[q], rows[at + p], upper[q, p]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def top_k(spark: SparkSession, vectors: DataFrame, queries: str, k: int = TOP, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of ``vectors`` that meets the condition ``queries``, the ``k`` best other rows.
+def order_key(score: int) -> str:
+    """A string that sorts as the number does, of any size."""
+    digits = f"{abs(score):x}"
+    if score >= 0:
+        return f"b{len(digits):04x}{digits}"
+    return f"a{0xFFFF - len(digits):04x}" + "".join("fedcba9876543210"[int(c, 16)] for c in digits)
+
+
+def _whole(x: float) -> int:
+    return int(x * SCALE) if abs(x) < 2.0**900 else int(x) * SCALE
 
-    Score is the integer inner product; ties go to the smaller vec_id (null last). Vectors that
-    are null, empty, of another dimension than the query's, or hold null, non-finite or huge components
-    take no part. Only the query's own row is left out, so a row repeated is a candidate; an empty table gives no rows. Blocks of vectors meet blocks of queries, both of bounded size, each pair once; a block gives
-    ``k`` rows a query, and those are ranked by query.
-    """
-    scratch = Scratch(spark, "topk")
-    rows = integer_vectors(vectors, scratch)
-    data = scratch.save(approximation_blocks(rows, block), "blocks")
-    asked = scratch.save(rows.where(queries), "queries")
-    groups = max(1, -(-asked.count() // QUERY_BLOCK))
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    group = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")
-    packed = asked.groupBy(group.alias("group"), "dim").agg(F.collect_list(F.struct("row", "vec_id", "ints")).alias("asked"))
-    left = data.withColumns({"salt": F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"), "group": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))})
-    right = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = left.join(right, ["group", "salt", "dim"]).select("dim", "rows", "ids", "low", "step", "codes", "exact", "asked")
+
+def exact_score(q: np.ndarray, x: np.ndarray) -> int:
+    """Integer inner product of two vectors as ``scaled``, whatever its size."""
+    with np.errstate(over="ignore"):
+        small = np.abs(q).max() * np.abs(x).max() * len(q) * SCALE * SCALE < 2.0**52
+    if small:
+        return int(q @ x * (SCALE * SCALE))
+    return sum(_whole(a) * _whole(b) for a, b in zip(q.tolist(), x.tolist(), strict=True))
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """(query, row, near, exact, q_exact) to (query, row, score, key)."""
 
     def make():
         def on_batch(batch: pa.RecordBatch):
-            for i in range(batch.num_rows):
-                dim, block_rows, ids, low, step, codes, exact, batch_asked = (batch.column(c)[i].as_py() for c in range(8))
-                ints = _stacked([a["ints"] for a in batch_asked], dim)
-                hits = search_block(ints, [a["row"] for a in batch_asked], np.array(block_rows), ids, np.frombuffer(low, "<i4"), np.frombuffer(step, "<i4"), np.frombuffer(codes, np.uint8).reshape(-1, dim), np.frombuffer(exact, "<i4").reshape(-1, dim), k)
-                columns = [[batch_asked[n]["row"] for n, _, _ in hits], [batch_asked[n]["vec_id"] for n, _, _ in hits], [ids[p] for _, p, _ in hits], [block_rows[p] for _, p, _ in hits], [s for _, _, s in hits]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_row", "query_id", "vec_id", "row", "score"])
+            scores = [exact_score(np.frombuffer(q), np.frombuffer(x)) for q, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            held = [min(max(s, -(2**63)), 2**63 - 1) for s in scores]
+            near = [float(s) if abs(s) < 2**1000 else float("inf") if s > 0 else float("-inf") for s in scores]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.int64()), pa.array(near, pa.float64()), pa.array(map(order_key, scores), pa.string())], ["query", "row", "score", "near", "key"])
 
         return on_batch
 
-    hits = map_batches(met, make, "query_row long, query_id long, vec_id long, row long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return map_batches(pairs.select("query", "row", "q_exact", "exact"), make, "query long, row long, score long, near double, key string")
+
+
+def candidates(spark: SparkSession, rows: DataFrame, asked: DataFrame, k: int, block: int, scratch: Scratch) -> DataFrame:
+    """(query, row, upper, place): per distinct query vector the rows whose upper bound reaches its floor, by falling bound."""
+    files = scratch.save(approximation_files(rows, block), "files")
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, -(-asked.count() // QUERY_BLOCK))
+    group = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group")
+    one = F.struct("row", "exact")
+    blocks = asked.groupBy(group, "dim").agg(F.collect_list(one).alias("asked"))
+    lower = _scan(files, blocks, salts, _best_lower(k), "query long, lower double")
+    by_lower = Window.partitionBy("query").orderBy(F.desc("lower"))
+    floors = lower.withColumn("n", F.row_number().over(by_lower)).where(F.col("n") <= k).groupBy("query").agg(F.when(F.count("*") == k, F.min("lower")).alias("floor"))
+    floors = scratch.save(floors.select(F.col("query").alias("row"), "floor"), "floors")
+    with_floor = asked.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    blocks = with_floor.groupBy(group, "dim").agg(F.collect_list(F.struct("row", "exact", "floor")).alias("asked"))
+    found = scratch.save(_scan(files, blocks, salts, _reaching, "query long, row long, upper double"), "found")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("upper"), "row"))
+    return scratch.save(found.withColumn("place", place), "candidates")
+
+
+def top_k(spark: SparkSession, vectors: DataFrame, queries: str, k: int = TOP, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of ``vectors`` that meets the condition ``queries``, the ``k`` best other rows.
+
+    Score is the integer inner product; ties go to the smaller vec_id (null last). Vectors that
+    are null, empty, of another dimension than the query's, or hold null or non-finite components
+    take no part; all others do, however large: the order is that of the exact score, and a score that a long
+    can't hold is given as the largest (or smallest) long. Only the query's own row is left out, so a row
+    repeated is a candidate; an empty table gives no rows.
+
+    Of equal vectors only the ``k + 1`` smallest ids can be among the best, and equal query vectors are
+    searched once, so copies add no work.
+    """
+    scratch = Scratch(spark, "topk")
+    rows = integer_vectors(vectors, scratch)
+    near = k + 1  # the query's own row may be among the best
+    alike = Window.partitionBy("dim", "exact").orderBy(F.asc_nulls_last("vec_id"), "row")
+    data = scratch.save(rows.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= near).drop("n"), "data")
+    asking = rows.where(queries)
+    asked = scratch.save(asking.groupBy("dim", "exact").agg(F.min("row").alias("row")), "asked")
+    left = candidates(spark, data, asked, near, block, scratch)
+    query = asked.select(F.col("row").alias("query"), F.col("exact").alias("q_exact"))
+    exact = data.select("row", "vec_id", "exact")
+    best, start, width, step = None, 0, FIRST * near, 0
+    order = Window.partitionBy("query").orderBy(F.desc("key"), F.asc_nulls_last("vec_id"), "row")
+    while True:
+        batch = left.where((F.col("place") > start) & (F.col("place") <= start + width)).select("query", "row")
+        got = _scored(batch.join(exact.drop("vec_id"), "row").join(query, "query")).join(exact.drop("exact"), "row")
+        got = got if best is None else best.unionByName(got)
+        best = scratch.save(got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= near).drop("rank"), f"best{step}")
+        start, width, step = start + width, width * GROWTH, step + 1
+        sure = best.groupBy("query").agg((F.min("near") / (SCALE * SCALE)).alias("kth"), F.count("*").alias("n")).where(F.col("n") == near)
+        # a bound that only just misses by rounding still counts as reaching
+        endless = float("inf")
+        reach = F.col("kth").isNull() | (F.col("kth") == -endless) | (F.col("upper") == endless) | (F.col("upper") >= F.col("kth") - F.abs("kth") * ROUNDING)
+        left = scratch.save(left.where(F.col("place") > start).join(sure.select("query", "kth"), "query", "left").where(reach).drop("kth"), f"left{step}")
+        if left.isEmpty():
+            break
+    own = F.struct("row", "vec_id", "score")
+    lists = best.withColumn("rank", F.row_number().over(order)).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", own.alias("hit")))).alias("hits"))
+    answers = lists.join(query, "query").select("q_exact", "hits").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = asking.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    met = salted.join(answers, (salted["exact"] == answers["q_exact"]) & (salted["salt"] == answers["salt"]))
+    others = F.slice(F.filter("hits", lambda h: h["hit"]["row"] != F.col("row")), 1, k)
+    found = met.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("at", "h"))
+    return found.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("h.hit.vec_id").alias("vec_id"), F.col("h.hit.score").alias("score"))
 
 
 def top_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:

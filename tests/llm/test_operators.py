@@ -13,7 +13,7 @@ from conftest import comparable
 from pyspark.sql import functions as F
 
 from auricle.llm import mixing, nearvec, pii, queries, secrets, simhash, sql, substring, toxicity, unigram, vafile
-from auricle.llm.common import connected_components
+from auricle.llm.common import Scratch, connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -426,26 +426,46 @@ def test_top_k(spark):
     assert vafile.top_k(spark, df.where("vec_id in (0, 1)"), "vec_id = 0").count() == 1
 
 
-def test_top_k_reads_few_exact_vectors():
-    g = np.random.default_rng(13)
-    exact = np.floor(g.normal(size=(2_000, 64)) * 32).astype(np.int64)
-    low = exact.min(axis=0)
-    step = (exact.max(axis=0) - low) // vafile.LEVELS + 1
-    codes = ((exact - low) // step).astype(np.uint8)
+def best_by_brute_force(rows, k=5, every=50):
+    """Top-k over (vec_id, vector) in Python's own integers."""
+    usable = [(i, r, [int(np.floor(v * 256)) if abs(v) < 1e300 else int(v) * 256 for v in x]) for r, (i, x) in enumerate(rows) if x and all(v is not None and np.isfinite(v) for v in x)]
+    out = []
+    for i, r, q in usable:
+        if i is not None and i % every == 0:
+            scores = [(-sum(a * b for a, b in zip(q, x, strict=True)), j is None, j or 0, s, j) for j, s, x in usable if s != r and len(x) == len(q)]
+            out += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -score))) for n, (score, _, _, _, j) in enumerate(sorted(scores)[:k])]
+    return sorted(out, key=repr)
+
 
-    class Counting(np.ndarray):
-        read = 0
+def test_top_k_of_large_components(spark):
+    g = np.random.default_rng(21)
+    rows = [(i, (g.normal(size=3) * 10.0 ** g.integers(0, 9)).tolist()) for i in range(300)]
+    rows += [(400, [70_000.0, 0.0, 0.0]), (401, [70_000.0, 0.5, 0.0]), (402, [1e30, 1e30, -1e30]), (450, [1e300, 1.0, 1.0]), (451, [-1e300, 0.0, 0.0]), (452, [1e308] * 3), (500, [70_000.0, 0.0]), (501, [2.0, 1.0]), (502, [-1.0, 3.0])]
+    rows += [(600 + i, [1e30, 2e30, 1e30]) for i in range(60)] + [(None, [1e30, 2e30, 1e30]), (600, [1e30, 2e30, 1e30])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("clash"))
+    want = best_by_brute_force(rows)
+    for block in (vafile.BLOCK, 9):
+        assert sorted(map(tuple, vafile.top_k(spark, df, "vec_id % 50 = 0", block=block).collect()), key=repr) == want
+    keys = [0, 1, -1, 255, 256, -255, -256, 10**80, -(10**80), 2**63]
+    assert sorted(keys) == sorted(keys, key=vafile.order_key)
 
-        def __getitem__(self, key):
-            Counting.read += len(key)
-            return np.asarray(self)[key]
 
-    hits = vafile.search_block(exact[:3], [0, 1, 2], np.arange(2_000), list(range(2_000)), low, step, codes, exact.view(Counting), 5)
-    scores = exact[:3] @ exact.T
+def test_top_k_reads_few_exact_vectors(spark):
+    g = np.random.default_rng(13)
+    rows = [(i, np.float32(g.normal(size=64) / 8).tolist()) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    scratch = Scratch(spark, "test")
+    data = vafile.integer_vectors(df, scratch)
+    found = vafile.candidates(spark, data, data.where("vec_id < 3").select("row", "dim", "exact"), 5, 500, scratch)
+    near = {r.row: r.vec_id for r in data.select("row", "vec_id").collect()}
+    exact = np.floor(np.array([x for _, x in rows]) * 256).astype(np.int64)
+    reach = defaultdict(set)
+    for r in found.collect():
+        reach[near[r["query"]]].add(near[r["row"]])
     for q in range(3):
-        best = sorted((-scores[q, i], i) for i in range(2_000) if i != q)[:5]
-        assert [(n, i, s) for n, i, s in hits if n == q] == [(q, i, -s) for s, i in best]
-    assert Counting.read < 600
+        best = sorted((-(exact[q] @ exact[i]), i) for i in range(2_000))[:5]
+        assert {i for _, i in best} <= reach[q]
+    assert sum(map(len, reach.values())) < 600
 
 
 # 7 toxicity
@@ -523,8 +543,6 @@ def test_simhash_links_in_crowded_buckets(spark):
             for _ in range(r.randint(1, 4)):
                 q ^= 1 << r.randrange(64)
             prints.add(q)
-    from auricle.llm.common import Scratch
-
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= 2}
