@@ -411,12 +411,23 @@ def test_near_vectors(spark, monkeypatch):
     df = vectors(spark)
     want = against_sql(sql.NEAR_VECTORS, {"embeddings": df})
     assert comparable(nearvec.near_vectors(spark, df).toArrow()) == want
-    monkeypatch.setattr(nearvec, "PER_PIVOT", 20)
     monkeypatch.setattr(nearvec, "BLOCK", 16)
     assert comparable(nearvec.near_vectors(spark, df).toArrow()) == want
+    monkeypatch.setattr(nearvec, "MAX_COPIES", 16.0)  # many levels, however little they prune
+    assert comparable(nearvec.near_vectors(spark, df).toArrow()) == want
     assert nearvec.near_vectors(spark, df.limit(0)).count() == 0
 
 
+def test_pivots_of_every_label(spark, data_dir):
+    """On the given table each label has several cells, and the triangle inequality leaves vectors out of some."""
+    df = spark.read.parquet(f"{data_dir}/embeddings.parquet")
+    scratch = Scratch(spark, "test")
+    placed = nearvec.cells(nearvec.distinct_vectors(spark, df, scratch), 0.2, scratch)
+    per_label = placed.groupBy("label").agg(F.countDistinct("cell").alias("cells"), F.countDistinct("class_id").alias("n"), F.count("*").alias("copies")).collect()
+    assert all(r.cells > 1 for r in per_label if r.n >= nearvec.SPLIT) and any(r.n >= nearvec.SPLIT for r in per_label)
+    assert all(r.copies < r.n * (r.cells + 1) / 2 for r in per_label if r.cells > 1)
+
+
 def test_top_k(spark):
     df = vectors(spark)
     want = against_sql(sql.TOP_K, {"embeddings": df})
