@@ -1,8 +1,16 @@
-"""Personal data: fixed patterns, and contextual patterns bootstrapped from what they find."""
+"""Personal data: fixed patterns, and contextual patterns bootstrapped from what they find.
+
+What the fixed patterns find are the seeds. Each seed and each candidate (a string that could be of a
+kind, but that the fixed patterns don't take) gives lexical patterns: the words and signs around it, in several
+widths on either side. Patterns and instances of a kind form a graph, which Spark scores in rounds: a
+pattern's score is its share of confirmed instances, patterns above the threshold confirm what stands in them, and so on
+until nothing new is confirmed.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +21,11 @@ from auricle.llm.spans import Span, redact, scan, spans_text, with_added
 KINDS = ("email", "ip", "card", "phone")
 #: Spans that the bootstrapped patterns add.
 ALL_KINDS = (*KINDS, "found")
-ROUNDS = 3
-#: A pattern is kept from this share of confirmed instances on; SMOOTHING counts as so many unconfirmed ones.
-CONFIDENCE = 0.8
-SMOOTHING = 1.0
+#: A pattern is trusted if its confirmed instances are at least CONFIRMED in OF of all its instances and one
+#: more that is not confirmed: so four of four, eight of nine.
+CONFIRMED, OF = 4, 5
+#: Occurrences of a frequent pattern are dealt over so many keys.
+SALTS = 8
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -24,10 +33,13 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Identifier-like: a run with a digit.
-TOKEN = re.compile(r"(?<![A-Za-z0-9._@+/#-])[A-Za-z._@+/#-]*+[0-9][A-Za-z0-9._@+/#-]*+")
-CONTEXT = re.compile(r"([^\W\d_]+)[^\w]{1,3}([^\W\d_]+)([^\w]{1,3})$")
-LOOK_BACK = 60
+#: Strings that could be of a kind; what they may not be follows.
+WIDE_EMAIL = re.compile(r"(?<![^\s<>\"'()\[\],;:])[^\s<>\"'()\[\],;:@]++(?:@[\w-]++(?:\.[\w-]++)*+|(?: ?[\[(]at[\])] ?| at )[\w-]++(?:(?:\.| ?[\[(]dot[\])] ?| dot )[\w-]++)++)")
+WIDE_IP = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])|(?<![\w.])[0-9]++(?:\.[0-9]++){3}(?![\w.])")
+#: Digits in one group or several, with single signs (or a sign and a blank) between groups.
+NUMBER = re.compile(r"(?<![\w.,:/$€£%-])[+(]?[0-9]++(?:(?:[ .()/-]|\) |\)-| \(|[.-] )[0-9]++)*+(?![\w%$€£]|[.,:/-][0-9])")
+DATE = re.compile(r"[0-9]{4}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](?:[0-9]{4}|[0-9]{2})")
+RIGHT = re.compile(r"([^\w]{1,3})([^\W\d_]+)")
 
 
 def luhn(digits: str) -> bool:
@@ -64,63 +76,111 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def context(text: str, start: int) -> str | None:
-    """The lexical pattern left of a position: two words and the sign before the slot."""
-    m = CONTEXT.search(text[max(0, start - LOOK_BACK) : start])
-    return f"{m[1].lower()} {m[2].lower()}{m[3].strip() or ' '}" if m else None
+def wide_kinds(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of strings that could be of a kind by their form: the candidates."""
+    out = []
+    if "@" in text or " at " in text or "at]" in text or "at)" in text:
+        out += [(m.start(), 0, m.end()) for m in WIDE_EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in WIDE_IP.finditer(text) if m[0].count(":") != 2 or "::" in m[0]]
+    for m in NUMBER.finditer(text):
+        digits = sum("0" <= c <= "9" for c in m[0])
+        if 6 <= digits <= 15 and m[0].count(".") != 1 and not DATE.fullmatch(m[0]):
+            out.append((m.start(), 3, m.end()))
+        if 12 <= digits <= 19 and "." not in m[0]:
+            out.append((m.start(), 2, m.end()))
+    return out
+
+
+def word_before(text: str, end: int) -> tuple[int, int] | None:
+    """(start, end) of the word before a position, one to three signs away."""
+    stop = end
+    while stop > max(0, end - 3) and not (text[stop - 1].isalnum() or text[stop - 1] == "_"):
+        stop -= 1
+    start = stop
+    while start > 0 and text[start - 1].isalpha():
+        start -= 1
+    return (start, stop) if start < stop < end else None
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns of an occurrence: one word before, two before, one after, one on either side; words in lower case, with the signs at the slot."""
+    left, right = word_before(text, start), RIGHT.match(text, end)
+    out, after = [], f"{right[1]}{right[2].lower()}" if right else ""
+    if left:
+        one = text[left[0] : start].lower()
+        out.append(f"{one}_")
+        if (two := word_before(text, left[0])) is not None:
+            out.append(f"{text[two[0] : start].lower()}_")
+        if right:
+            out.append(f"{one}_{after}")
+    return [*out, f"_{after}"] if right else out
 
 
 def find(text: str) -> tuple[list[Span], list[dict]]:
-    """Base spans, and every occurrence (pattern, instance) of a seed or an identifier-like token beside them."""
+    """Base spans, and every occurrence (kind, patterns, instance) of a seed or of a candidate beside them."""
     base = base_spans(text)
     taken = sorted((s, e) for s, _, e in base)
-    seen = []
-    for start, end in taken:
-        if (pattern := context(text, start)) is not None:
-            seen.append({"start": start, "stop": end, "pattern": pattern, "instance": text[start:end], "seed": True})
-    k = 0
-    for m in TOKEN.finditer(text):
-        start, end = m.span()
-        end -= len(m[0]) - len(m[0].rstrip(".-/#+@_"))
-        if not 5 <= end - start <= 64 or sum("0" <= c <= "9" for c in m[0]) < 3:
-            continue
-        while k < len(taken) and taken[k][1] <= start:
-            k += 1
-        if (k == len(taken) or taken[k][0] >= end) and (pattern := context(text, start)) is not None:
-            seen.append({"start": start, "stop": end, "pattern": pattern, "instance": text[start:end], "seed": False})
-    return base, seen
+    seen = [(s, e, k, True) for s, k, e in base]
+    for start, kind, end in wide_kinds(text):
+        k = bisect_right(taken, (start, len(text)))
+        if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= end):
+            seen.append((start, end, kind, False))
+    return base, [
+        {"start": s, "stop": e, "pattern": f"{k}{p}", "instance": " ".join(text[s:e].lower().split()), "seed": seed} for s, e, k, seed in seen for p in patterns(text, s, e)
+    ]
+
+
+def pattern_scores(edges: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """(pattern, confirmed, instances) of distinct (pattern, instance) edges, given the confirmed (pattern, instance) ones.
+
+    Both are counts by pattern with partial sums, so frequent patterns stay spread.
+    """
+    hits = confirmed.groupBy("pattern").agg(F.count("*").alias("confirmed"))
+    return edges.groupBy("pattern").agg(F.count("*").alias("instances")).join(hits, "pattern")
+
+
+def of_patterns(occurrences: DataFrame, few: DataFrame, spread: str) -> DataFrame:
+    """``occurrences`` of the patterns in ``few``; a frequent pattern's are dealt over SALTS keys by the column ``spread``."""
+    salted = occurrences.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(few.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["pattern", "salt"], "left_semi").drop("salt")
 
 
 def trusted_patterns(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Patterns to trust, from the bipartite graph of distinct (pattern, instance, seed) edges.
+    """(pattern, score) to trust, from the bipartite graph of distinct (pattern, instance, seed) edges.
 
-    A pattern's score is the mean score of its instances, smoothed; an instance that is no
-    seed scores 1 less the product of its patterns' doubts. Both are sums by key with
-    partial aggregation, so common patterns and instances stay spread. Patterns with a single
-    instance can't pass and are left out at once.
+    A pattern starts with its kind, and instances are told apart by kind. Confirmed are at first the seeds.
+    In each round every pattern is scored by its share of confirmed instances, smoothed by one unconfirmed
+    one; instances of trusted patterns are confirmed in the next. Confirmed sets only
+    grow, so rounds end, when none is added. Patterns that can't be trusted, having too few instances,
+    are left out at once.
     """
-    common = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SMOOTHING * CONFIDENCE / (1 - CONFIDENCE))
-    graph = scratch.save(edges.join(common.select("pattern"), "pattern", "left_semi"), "graph")
-    scores = graph.select("instance", "seed").distinct().select("instance", F.col("seed").cast("double").alias("score"))
-    for step in range(ROUNDS):
-        known = graph.join(scores.groupBy("instance").agg(F.max("score").alias("score")), "instance")
-        patterns = scratch.save(known.groupBy("pattern").agg((F.sum("score") / (F.count("*") + SMOOTHING)).alias("confidence")), f"patterns{step}")
-        doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
-        scores = graph.join(patterns, "pattern").groupBy("instance").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - F.exp(doubt)).alias("score"))
-    return patterns.where(F.col("confidence") >= CONFIDENCE - 1e-9).select("pattern")
+    enough = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n")).where(F.col("n") * OF >= (F.col("n") + 1) * CONFIRMED)
+    graph = of_patterns(edges, enough, "instance").withColumn("instance", F.concat(F.substring("pattern", 1, 1), "instance"))
+    graph = scratch.save(graph.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
+    known = scratch.save(graph.where("seed").select("instance").distinct(), "known0")
+    size, step = known.count(), 0
+    while True:
+        scores = pattern_scores(graph, graph.join(known, "instance", "left_semi"))
+        now = scores.where(F.col("confirmed") * OF >= (F.col("instances") + 1) * CONFIRMED)
+        trusted = scratch.save(now.select("pattern", (F.col("confirmed") / (F.col("instances") + 1)).alias("score")), f"trusted{step}")
+        step += 1
+        known = scratch.save(known.unionByName(of_patterns(graph, trusted, "instance").select("instance")).distinct(), f"known{step}")
+        before, size = size, known.count()
+        if size == before:
+            return trusted
 
 
 def find_personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, text_hash, n_email, n_ip, n_card, n_phone, base_sha256, base, all_spans.
 
-    Null and empty texts give no spans; ids may be null or repeated; an empty table gives no
-    rows. Texts are scanned once; the patterns work on what was found.
+    Null and empty texts give no spans; texts of any length are read whole; ids may be null or repeated; an
+    empty table gives no rows. Texts are scanned once; the patterns work on what was found.
     """
     scratch = Scratch(spark, "pii")
     found = scratch.save(scan(docs, KINDS, find, "start int, stop int, pattern string, instance string, seed boolean"), "found")
     seen = found.select("row", F.explode("extra").alias("e")).select("row", "e.*")
-    patterns = scratch.save(trusted_patterns(seen.select("pattern", "instance", "seed").distinct(), scratch), "trusted")
-    added = seen.where("not seed").join(patterns, "pattern", "left_semi")
+    trusted = trusted_patterns(seen.select("pattern", "instance", "seed").distinct(), scratch)
+    added = of_patterns(seen.where("not seed"), trusted, "row").select("row", "start", "stop").distinct()
     return with_added(found, added, len(KINDS))
 
 
