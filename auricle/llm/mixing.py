@@ -29,33 +29,47 @@ def draw(seed: int, doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
 
 
-def repeating_weights(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """(key, size) with ``weight``: the given weights repeat over the keys in order.
+def running_before(rows: DataFrame, by: tuple[str, ...], sums: dict[str, Column], scratch: Scratch, name: str) -> DataFrame:
+    """``rows`` with the sums of all rows before each one in the order of ``by``, without a window over all rows.
 
-    One row per source: the window runs over names, not documents.
+    Rows are cut into sorted ranges, one a partition; each range runs its own sums from the totals of
+    the ranges before it. Only those totals, a row a range, meet in one task.
     """
-    at = (F.row_number().over(Window.orderBy("key")) - 1) % len(weights)
-    return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (at + 1).cast("int")).cast("double"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = scratch.save(rows.repartitionByRange(parts, *by).withColumn("range", F.spark_partition_id()), name)
+    first, inside = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    offsets = totals.select("range", *[F.coalesce(F.sum(n).over(first), F.lit(0)).alias(f"{n}_of_ranges") for n in sums])
+    joined = placed.join(offsets, "range")
+    return joined.select(*rows.columns, *[(F.col(f"{n}_of_ranges") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in sums.items()])
+
+
+def repeating_weights(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """(key, size) with ``weight``: the given weights repeat over the keys in order."""
+    numbered = running_before(sources, ("key",), {"at": F.lit(1)}, Scratch(sources.sparkSession, "weights"), "keys")
+    return numbered.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("at") % len(weights) + 1).cast("int")).cast("double")).drop("at")
 
 
-def water_filling(weighted: DataFrame, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def water_filling(weighted: DataFrame, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """(key, size, weight) with ``target`` double.
 
     Shares of ``budget`` times all sizes go by weight; a source over ``max_epochs`` times its
     size is clamped there and the excess is shared by weight among the others, until none
     is above. The fixed point is one water level: with sources in order of capacity per
     weight, those before the first that its level leaves room for are the clamped ones.
-    Without any feasible level every source is clamped.
+    Without any feasible level every source is clamped. Of the sources only two sums and the level come to the driver.
     """
-    everyone, before = Window.partitionBy(), Window.orderBy("fill", "key").rowsBetween(Window.unboundedPreceding, -1)
+    scratch = Scratch(weighted.sparkSession, "water")
     rows = weighted.withColumn("cap", (F.col("size") * max_epochs).cast("double")).withColumn("fill", F.col("cap") / F.col("weight"))
-    rows = rows.withColumn("level", (F.sum("size").over(everyone) * F.lit(float(budget)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    rows = rows.withColumn("room", F.when(F.col("cap") > F.col("weight") * F.col("level"), F.struct("fill", "key", "level")))
-    level = F.min("room").over(everyone)["level"]
-    return rows.withColumn("target", F.coalesce(F.least("cap", F.col("weight") * level), "cap")).select("key", "size", "weight", "target")
+    rows = scratch.save(running_before(rows, ("fill", "key"), {"cap_before": F.col("cap"), "weight_before": F.col("weight")}, scratch, "sorted"), "before")
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    level = (F.lit(total["size"] * float(budget)) - F.col("cap_before")) / (F.lit(total["weight"]) - F.col("weight_before"))
+    found = rows.withColumn("level", level).where(F.col("cap") > F.col("weight") * F.col("level")).orderBy("fill", "key").select("level").first()
+    target = F.least("cap", F.col("weight") * found["level"]) if found else F.col("cap")
+    return rows.select("key", "size", "weight", target.alias("target"))
 
 
-def repetition_plan(spark: SparkSession, sizes: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
+def repetition_plan(spark: SparkSession, sizes: DataFrame, targets: DataFrame, scratch: Scratch, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """Per source: key, size, target, ``whole`` repetitions, and ``cut``: rows whose draw is up to it are taken once more.
 
     ``sizes`` has key, n (words) and u (draw). The rows in order of their draw are taken while
@@ -65,7 +79,7 @@ def repetition_plan(spark: SparkSession, sizes: DataFrame, targets: DataFrame, s
     and only its rows are looked at again. No step gathers a source's rows.
     """
     size, target = F.col("size"), F.col("target")
-    whole = F.when(size > 0, F.least(F.floor(target / size), F.lit(MAX_EPOCHS))).otherwise(F.lit(0)).cast("int")
+    whole = F.when(size > 0, F.least(F.floor(target / size), F.floor(F.lit(float(max_epochs))))).otherwise(F.lit(0)).cast("int")
     plan = targets.withColumn("whole", whole).withColumn("want", target - F.col("whole") * size)
     left, prefix = sizes, plan.select("key", "want").where("want > 0").withColumn("start", F.lit(""))
     before = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,14 +99,14 @@ def repetition_plan(spark: SparkSession, sizes: DataFrame, targets: DataFrame, s
     return scratch.save(plan.select("key", "size", "target", "whole", "cut"), "plan")
 
 
-def plan_mix(spark: SparkSession, docs: DataFrame, weigh=repeating_weights, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: int = 42) -> DataFrame:
+def plan_mix(spark: SparkSession, docs: DataFrame, weigh=repeating_weights, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: int = 42) -> DataFrame:
     """The repetition plan of ``docs`` (doc_id, text, source); ``weigh`` adds weight to (key, size)."""
-    if not 0 < max_epochs <= MAX_EPOCHS:
-        raise ValueError(f"max_epochs must be 1 to {MAX_EPOCHS}")
+    if max_epochs <= 0:
+        raise ValueError("max_epochs must be above 0")
     scratch = Scratch(spark, "mix")
     sizes = scratch.save(docs.select(source_key().alias("key"), word_count().alias("n"), draw(seed).alias("u")), "sizes")
     targets = scratch.save(water_filling(weigh(sizes.groupBy("key").agg(F.sum("n").alias("size"))), budget, max_epochs), "targets")
-    return repetition_plan(spark, sizes, targets, scratch)
+    return repetition_plan(spark, sizes, targets, scratch, max_epochs)
 
 
 def with_copies(docs: DataFrame, plan: DataFrame, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
@@ -105,10 +119,10 @@ def with_copies(docs: DataFrame, plan: DataFrame, seed: int = 42, keep: list[str
     return keyed.join(plan, "key").select("doc", F.col("words").alias("size"), F.col("size").alias("source_size"), "target", copies)
 
 
-def mix_documents(spark: SparkSession, docs: DataFrame, weigh=repeating_weights, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: int = 42) -> DataFrame:
-    """``docs`` mixed: each row as often as the plan takes it, none to ``max_epochs`` times.
+def mix_documents(spark: SparkSession, docs: DataFrame, weigh=repeating_weights, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, seed: int = 42) -> DataFrame:
+    """``docs`` mixed: each row as often as the plan takes it, from not at all to ``max_epochs`` times.
 
-    Null texts have no words and are repeated like any; null sources form one source, the last;
+    ``max_epochs`` is any number above 0. Other columns stay as they are, whatever their names. Null texts have no words and are repeated like any; null sources form one source, the last;
     rows equal in doc_id and text are taken alike; an empty table stays empty.
     """
     planned = with_copies(docs, plan_mix(spark, docs, weigh, budget, max_epochs, seed), seed)

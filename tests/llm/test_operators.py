@@ -81,6 +81,31 @@ def test_mix(spark):
     assert mixing.mix_documents(spark, docs.limit(0)).count() == 0
 
 
+def test_mix_with_clashing_columns_and_epochs(spark):
+    names = ["key", "n", "u", "size", "weight", "words", "cap", "fill", "range", "level", "whole", "cut", "copies", "doc", "target"]
+    docs = documents(spark)
+    for name in names:
+        docs = docs.withColumn(name, F.lit("clash"))
+    mixed = mixing.mix_documents(spark, docs, budget=4.0, max_epochs=5)
+    assert mixed.columns == docs.columns and mixed.where("u = 'clash' and target = 'clash'").count() == mixed.count() > 0
+    rows = [(i, " ".join(["w"] * (1 + i % 9)), "en", f"s{i % 3}", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for epochs in (0.5, 1.5, 3, 7):
+        got = mixing.with_copies(docs, mixing.plan_mix(spark, docs, budget=4.0, max_epochs=epochs), keep=["source"])
+        for r in got.groupBy("doc.source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most"), F.first("source_size").alias("size")).collect():
+            assert abs(r.taken - r.target) <= 5 and r.target <= epochs * r["size"] + 1e-6 and r.most <= -(-epochs // 1)
+
+
+def test_sums_over_many_ranges(spark):
+    """Running sums across ranges are those of one list."""
+    rows = [(f"s{i:03}", (i * 37) % 101) for i in range(300)]
+    got = mixing.running_before(spark.createDataFrame(rows, "key string, size long"), ("size", "key"), {"before": F.col("size"), "at": F.lit(1)}, Scratch(spark, "test"), "t").collect()
+    total = 0
+    for n, r in enumerate(sorted(got, key=lambda r: (r["size"], r.key))):
+        assert (r.before, r["at"]) == (total, n)
+        total += r["size"]
+
+
 def test_mix_comes_near_target(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 40)), "en", f"s{min(i % 7, 3)}", 0) for i in range(3_000)]
     docs = spark.createDataFrame(rows, DOCS)
