@@ -455,6 +455,46 @@ def test_secrets_in_thin_cells(spark):
     assert not any(accepted_tokens(spark, ["a rule " + "-" * 64, "a name some_long_name_of_a_thing_and_its_place", "no 2024010220240103", "count 0000000000000000017"]))
 
 
+def accepted_by_brute_force(texts):
+    """(text number, start, end) of the accepted tokens, cell by cell."""
+    cells = defaultdict(lambda: ([], []))
+    for n, t in enumerate(texts):
+        for e in secrets.find(t)[1]:
+            tokens, decoys = cells[e["encoding"], int(np.log2(e["stop"] - e["start"]))]
+            tokens += [(e["bin"], n, e["start"], e["stop"])] if not e["decoys"] else []
+            decoys += [e["bin"]] * e["decoys"]
+    out = set()
+    for tokens, decoys in cells.values():
+        passing = [b for b in range(secrets.SCORE_BINS) if (hits := sum(t[0] >= b for t in tokens)) and (sum(d >= b for d in decoys) + 1) / (len(decoys) + 1) <= hits / len(tokens) * secrets.FALSE_DISCOVERY]
+        out |= {t[1:] for t in tokens if passing and t[0] >= min(passing)}
+    return out
+
+
+def test_secrets_whole_result(spark):
+    """Every span of a mixed lot is that of the base patterns or of the brute-force acceptance."""
+    r = random.Random(23)
+    key = lambda name, n: "".join(r.choice(secrets.ENCODINGS[name]) for _ in range(n))
+    prose = "the engine reads every table and writes its results where other jobs find them without waiting for anyone to ask".split()
+    parts = [lambda: key("base62", r.randint(16, 90)), lambda: key("base64", 40), lambda: "/".join(r.sample(prose, 4)), lambda: "-".join(r.sample(prose, 5)), lambda: f"token = {key('hex', 40)}", lambda: key("decimal", 20), lambda: "AKIA" + key("upper36", 16)]
+    texts = [" ".join([*r.sample(prose, 8), r.choice(parts)(), *r.sample(prose, 8)]) for _ in range(150)] + ["", None]
+    found = secrets.find_secrets(spark, spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)).collect()
+    want = accepted_by_brute_force([t or "" for t in texts]) | {(n, s, e, k) for n, t in enumerate(texts) for s, k, e in secrets.base_spans(t or "")}
+    assert {(x.doc_id, s.start, s.stop, *([s.kind] if s.kind < 3 else [])) for x in found for s in x.all_spans} == want
+
+
+def test_ordinary_paths_and_few_keys(spark):
+    r = random.Random(24)
+    names = "chapter section engine page index report table figure part volume".split()
+    paths = [f"{r.choice(names)}{r.randrange(1, 30)}/{r.choice(names)}{r.randrange(1, 30)}/{r.choice(names)}{r.choice(names)}" for _ in range(200)]
+    around = "see the file for the rest of it and then go on with what is next in line "
+    assert sum(map(bool, accepted_tokens(spark, [f"{around}{t} {around}" for t in paths]))) <= 10
+    keys = ["".join(r.choice(secrets.ENCODINGS["base64"]) for _ in range(40)) for _ in range(15)]
+    assert sum(map(bool, accepted_tokens(spark, [f"{around}{t} {around}" for t in keys]))) >= 12
+    key = "".join(r.choice(secrets.ENCODINGS["base64url"]) for _ in range(513))
+    got = accepted_tokens(spark, [f"{around}{t} {around}" for t in (key, key[:256] + "a" * 600)])
+    assert got == [[key], []]
+
+
 def test_randomness_is_uniform():
     r = random.Random(11)
     p = [secrets.randomness("".join(r.choice(secrets.ENCODINGS["base64"]) for _ in range(64)))[1] for _ in range(400)]
