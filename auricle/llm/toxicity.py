@@ -8,14 +8,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auricle.llm.common import column_bytes, map_batches
+from auricle.llm.common import Scratch, column_bytes, map_batches
 
-#: Bounds of the sample of labelled rows that the classifier is fitted on.
+#: Bounds of the sample that the classifier is fitted on: documents confirmed toxic, unlabelled text, words. They bound
+#: what reaches the driver: at most (MAX_POSITIVE + MAX_UNLABELLED) * MAX_WORDS pairs of numbers, in practice far fewer.
 MAX_POSITIVE = 3_000
 MAX_UNLABELLED = 9_000
+MAX_WORDS = 20_000
 #: A word is a feature if this many sampled documents have it and its count among the confirmed ones lies this many standard errors off chance.
 MIN_DOCUMENTS = 10
 MIN_ERRORS = 5.0
@@ -57,25 +59,53 @@ class Classifier:
         return score
 
 
-def fit_nnpu(rows: np.ndarray, columns: np.ndarray, n_rows: int, n_columns: int, positive: np.ndarray, prior: float, epochs: int = 300, rate: float = 0.05, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative PU risk with logistic loss.
+@dataclass(frozen=True)
+class Sample:
+    """Which words (columns) each text (row) holds, which texts are confirmed positive, and the class priors.
+
+    ``prior`` is the share of positives among all texts, ``hidden`` that among unlabelled ones, and
+    ``weight`` the share of unlabelled ones among all.
+    """
+
+    rows: np.ndarray
+    columns: np.ndarray
+    n_columns: int
+    positive: np.ndarray
+    prior: float
+    hidden: float
+    weight: float
+
+
+def risk_parts(x: Sample, w: np.ndarray, b: float) -> tuple[float, float]:
+    """(prior * R_p+, weight * (R_u- - hidden * R_p-)) with logistic loss: what positives cost as positives, and what
+    unlabelled rows cost as negatives less the positives hidden among them."""
+    z = np.clip(b + np.bincount(x.rows, weights=w[x.columns], minlength=len(x.positive)), -50, 50)
+    n_pos, n_un = max(1, x.positive.sum()), max(1, (~x.positive).sum())
+    as_negative = np.logaddexp(0, z)
+    free = as_negative[~x.positive].sum() / n_un - x.hidden * as_negative[x.positive].sum() / n_pos
+    return x.prior * np.logaddexp(0, -z)[x.positive].sum() / n_pos, x.weight * free
+
 
-    The risk is prior * R_p+ + max(0, R_u- - prior * R_p-): positives weigh as the class
-    prior says, the negative part is what unlabelled rows cost as negatives less the
-    positives hidden among them. Where that part falls below zero the step is turned round to bring it back.
+def risk_gradient(x: Sample, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """The step's direction: the gradient of the sum of both parts, or, where the second is below zero, of its negative alone."""
+    z = np.clip(b + np.bincount(x.rows, weights=w[x.columns], minlength=len(x.positive)), -50, 50)
+    p = 1 / (1 + np.exp(-z))
+    n_pos, n_un = max(1, x.positive.sum()), max(1, (~x.positive).sum())
+    negative = x.weight * np.where(x.positive, -x.hidden * p / n_pos, p / n_un)
+    g = np.where(x.positive, x.prior * (p - 1) / n_pos, 0) + negative if risk_parts(x, w, b)[1] >= 0 else -negative
+    return np.bincount(x.columns, weights=g[x.rows], minlength=x.n_columns), float(g.sum())
+
+
+def fit_nnpu(x: Sample, epochs: int = 300, rate: float = 0.05, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative PU risk, prior * R_p+ + max(0, weight * (R_u- - hidden * R_p-)), by Adam steps.
+
+    Where the second part falls below zero the step is turned round to bring it back.
     """
-    w, b = np.zeros(n_columns), float(np.log(prior / (1 - prior)))
-    m, v, mb, vb = np.zeros(n_columns), np.zeros(n_columns), 0.0, 0.0
-    n_pos, n_un = max(1, positive.sum()), max(1, (~positive).sum())
+    w, b = np.zeros(x.n_columns), float(np.log(x.prior / (1 - x.prior)))
+    m, v, mb, vb = np.zeros(x.n_columns), np.zeros(x.n_columns), 0.0, 0.0
     for step in range(1, epochs + 1):
-        z = np.clip(b + np.bincount(rows, weights=w[columns], minlength=n_rows), -50, 50)
-        p = 1 / (1 + np.exp(-z))
-        negative = np.logaddexp(0, z)
-        part = negative[~positive].sum() / n_un - prior * negative[positive].sum() / n_pos
-        g_negative = np.where(positive, -prior * p / n_pos, p / n_un)
-        g = np.where(positive, prior * (p - 1) / n_pos, 0) + g_negative if part >= 0 else -g_negative
-        gw = np.bincount(columns, weights=g[rows], minlength=n_columns) + penalty * w
-        gb = g.sum()
+        gw, gb = risk_gradient(x, w, b)
+        gw = gw + penalty * w
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step
@@ -89,6 +119,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def smallest_draws(rows: DataFrame, seed: str, most: int) -> DataFrame:
+    """At most ``most`` rows (of a column doc_id), those of smallest hash; a first cut by the hash keeps the sort small."""
+    draw = F.xxhash64("doc_id", F.lit(seed))
+    n = rows.count()
+    share = min(1.0, (2 * most + 100) / max(1, n))
+    return rows.where(F.pmod(draw, F.lit(1 << 40)) < int(share * (1 << 40))).orderBy(F.pmod(draw, F.lit(1 << 40)), "doc_id").limit(most)
+
+
 def _word_sets(docs: DataFrame) -> DataFrame:
     """(positive, text) to (positive, words array<long>)."""
 
@@ -102,43 +140,60 @@ def _word_sets(docs: DataFrame) -> DataFrame:
     return map_batches(docs, make, "positive boolean, words array<long>")
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Classifier:
-    """Fit on confirmed toxic rows against unlabelled text, which is a sample of labelled rows whose label is not looked at.
+def telling_words(sample: DataFrame, n: int, n_positive: int, most: int) -> DataFrame:
+    """(word, at): the ``most`` words whose share of confirmed texts lies farthest off chance, numbered from 0."""
+    counts = sample.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.count_if("positive").alias("among"))
+    share = n_positive / n
+    errors = F.abs(F.col("among") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    kept = counts.where(F.col("n") >= MIN_DOCUMENTS).withColumn("errors", errors).where(F.col("errors") >= MIN_ERRORS).orderBy(F.desc("errors"), "word").limit(most)
+    return kept.withColumn("at", F.row_number().over(Window.orderBy("word")) - 1).select("word", "at")  # at most ``most`` rows
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_words: int = MAX_WORDS) -> Classifier:
+    """Fit on confirmed toxic documents against unlabelled text: a sample of all other documents outside the held-out fold, in any table of labels or not.
 
     Both samples are the rows of smallest hash, at most ``max_positive`` and
-    ``max_unlabelled`` of them, outside the held-out fold. The class prior is the share of
-    toxic rows among all labelled ones there. Null or repeated labels: an id counts once, as
-    toxic if any of its rows says so; null ids and null labels are not used. Without any
-    confirmed row the classifier gives every text the score 0.
+    ``max_unlabelled`` of them. The class prior is the share of
+    toxic rows among all labelled ones outside the fold and twice its standard error, as a prior too small makes
+    hidden positives count as negatives, while the risk's floor at zero guards against one too large. What of it is not confirmed is hidden among the others. Null or repeated labels: an id counts once, as
+    toxic if any of its rows says so; null ids and null labels are not used. A text counts once in each sample, repeated or not.
+    Without any confirmed document, or any document, the classifier gives every text the score 0.
     """
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id", F.lit("fit")))
-    share = known.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("prior")).first()["prior"]
-    if not share:
-        return Classifier(np.zeros(0, np.uint64), np.zeros(0), -50.0)
-    positive = known.where("toxic = 1").orderBy("order", "doc_id").limit(max_positive).select("doc_id", F.lit(True).alias("positive"))
-    unlabelled = known.orderBy(F.xxhash64("order"), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
-    # the sample's size is bounded by the two parameters; a text counts once
-    sample = docs.select("doc_id", "text").join(F.broadcast(positive.unionByName(unlabelled)), "doc_id").select("positive", "text").distinct()
-    got = _word_sets(sample).toArrow()
-    is_positive = got.column("positive").to_numpy()
-    if not is_positive.any():
-        return Classifier(np.zeros(0, np.uint64), np.zeros(0), -50.0)
-    lists = got.column("words").combine_chunks()
-    hashes = lists.values.to_numpy().view(np.uint64)
+    scratch = Scratch(spark, "toxicity")
+    none = Classifier(np.zeros(0, np.uint64), np.zeros(0), -50.0)
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labelled = known.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic")).first()
+    if not labelled["toxic"]:
+        return none
+    share = labelled["toxic"] / labelled["n"]
+    share = min(0.9999, share + 2 * np.sqrt(share * (1 - share) / labelled["n"]))
+    toxic = smallest_draws(known.where("toxic = 1").select("doc_id"), "confirmed", max_positive)
+    # the limits after the joins hold for ids that recur in ``docs``
+    own = docs.select(F.col("doc_id").alias("own_id"), "text")
+    positive = own.join(F.broadcast(toxic), F.col("own_id") == toxic["doc_id"], "left_semi").distinct().limit(max_positive)
+    free = scratch.save(docs.where("doc_id is not null").where(~held_out()).select("doc_id"), "free")
+    others = scratch.save(free.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_anti"), "others")
+    drawn = smallest_draws(others, "unlabelled", max_unlabelled).distinct()
+    unlabelled = own.join(F.broadcast(drawn), F.col("own_id") == drawn["doc_id"], "left_semi").distinct().limit(max_unlabelled)
+    texts = positive.select(F.lit(True).alias("positive"), "text").unionByName(unlabelled.select(F.lit(False).alias("positive"), "text"))
+    sample = scratch.save(_word_sets(texts).withColumn("row", F.monotonically_increasing_id()), "sample")
+    size = sample.agg(F.count("*").alias("n"), F.count_if("positive").alias("positive")).first()
+    if not size["positive"] or size["positive"] == size["n"]:
+        return none
+    words = scratch.save(telling_words(sample, size["n"], size["positive"], max_words), "words")
+    holds = sample.select("row", F.explode("words").alias("word")).join(words, "word").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    got = sample.select("row", "positive").join(holds, "row", "left").orderBy("row").select("positive", F.coalesce("at", F.array().cast("array<int>")).alias("at")).toArrow()
+    lists = got.column("at").combine_chunks()
     rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    names, columns, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    among = np.bincount(columns, weights=is_positive[rows], minlength=len(names))
-    expected = counts * is_positive.mean()
-    kept = (counts >= MIN_DOCUMENTS) & (np.abs(among - expected) >= MIN_ERRORS * np.sqrt(expected * (1 - is_positive.mean())))
-    place = np.cumsum(kept) - 1
-    use = kept[columns]
-    order = np.lexsort((place[columns[use]], rows[use]))
-    w, b = fit_nnpu(rows[use][order], place[columns[use]][order], len(lists), int(kept.sum()), is_positive, min(max(share, 1e-4), 0.9999))
-    return Classifier(names[kept], w, b)
+    names = words.orderBy("at").toArrow().column("word").to_numpy().view(np.uint64)
+    n_all, n_others = free.count(), others.count()
+    hidden = max(0.0, share * n_all - (n_all - n_others)) / n_others
+    x = Sample(rows, lists.values.to_numpy(), len(names), got.column("positive").to_numpy(), share, hidden, n_others / n_all)
+    return Classifier(names, *fit_nnpu(x))
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Classifier, column: str = "score") -> DataFrame:
-    """``docs`` with ``column`` double, the score of the whole text (null: empty); no other column is an input.
+    """``docs`` with ``column`` double, the score of the whole text (null: empty), however long; no other column is an input.
 
     A column of that name is replaced; repeated rows each get their score; an empty table stays empty.
     """

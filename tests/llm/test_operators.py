@@ -613,6 +613,66 @@ def test_toxicity_held_out(spark):
     assert 0 <= scored[None].score <= 1 and scored[None].score == scored[9_000].score and not scored[None].out
 
 
+def test_risk_and_gradient():
+    """The risk against plain loops, its gradient against differences, on both sides of zero."""
+    g = np.random.default_rng(25)
+    holds = g.random((60, 7)) < 0.4
+    positive = g.random(60) < 0.3
+    holds[:, 0] = positive
+    rows, columns = np.nonzero(holds)
+    x = toxicity.Sample(rows, columns, 7, positive, 0.3, 0.2, 0.8)
+    sides = set()
+    for telling, bias in ((0.5, 0.0), (2.0, 1.0), (8.0, -4.0), (12.0, -6.0)):
+        w = g.normal(size=7) * 0.3
+        w[0] = telling
+        z = [bias + sum(w[j] for j in range(7) if holds[i, j]) for i in range(60)]
+        plus = [np.log1p(np.exp(-v)) for v, p in zip(z, positive, strict=True) if p]
+        minus = [np.log1p(np.exp(v)) for v, p in zip(z, positive, strict=True) if p]
+        free = [np.log1p(np.exp(v)) for v, p in zip(z, positive, strict=True) if not p]
+        first, second = 0.3 * sum(plus) / len(plus), 0.8 * (sum(free) / len(free) - 0.2 * sum(minus) / len(minus))
+        assert toxicity.risk_parts(x, w, bias) == pytest.approx((first, second), rel=1e-6)
+
+        def goal(w, b, below=second < 0):
+            a, c = toxicity.risk_parts(x, w, b)
+            return -c if below else a + c
+
+        gw, gb = toxicity.risk_gradient(x, w, bias)
+        h = 1e-6
+        assert gb == pytest.approx((goal(w, bias + h) - goal(w, bias - h)) / (2 * h), abs=1e-6)
+        for j in range(7):
+            step = np.eye(7)[j] * h
+            assert gw[j] == pytest.approx((goal(w + step, bias) - goal(w - step, bias)) / (2 * h), abs=1e-6)
+        sides.add(second < 0)
+    assert sides == {True, False}
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Scores of the operator are the model's: bias and weights of the words a text holds, each once."""
+    names = {w: toxicity.word_hash(w.encode()) for w in ("vile", "kind", "plain")}
+    order = sorted(names, key=names.get)
+    weight = {"vile": 3.0, "kind": -2.0, "plain": 0.5}
+    model = toxicity.Classifier(np.array([names[w] for w in order], np.uint64), np.array([weight[w] for w in order]), -1.0)
+    texts = ["vile vile VILE! plain", "kind", "", None, "other words", "(plain) " * 200_000 + "vile"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts])], "doc_id long, text string")
+    for r in toxicity.score_documents(spark, docs, model).collect():
+        held = {w for w in weight if w in (r.text or "").lower()}
+        assert r.score == pytest.approx(1 / (1 + np.exp(1 - sum(weight[w] for w in held))))
+    assert toxicity.score_documents(spark, docs.limit(0), model).count() == 0
+
+
+def test_toxicity_sample(spark):
+    """Unlabelled text comes from documents with and without labels, none of the held-out fold; ids that recur stay in bounds; tables may be empty."""
+    docs = spark.createDataFrame([(i % 300, f"word{i} vile" if i % 5 == 0 else f"word{i}") for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(100)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(spark, docs, labels, max_positive=20, max_unlabelled=50)
+    assert len(model.hashes) == len(model.weights)
+    drawn = toxicity.smallest_draws(spark.range(10_000).withColumnRenamed("id", "doc_id"), "x", 100)
+    assert drawn.count() == 100 and drawn.distinct().count() == 100
+    for d, lab in ((docs.limit(0), labels), (docs, labels.limit(0)), (docs.limit(0), labels.limit(0)), (docs.withColumn("doc_id", F.lit(None).cast("long")), labels)):
+        none = toxicity.train(spark, d, lab)
+        assert toxicity.score_documents(spark, docs, none).where("score >= 0.5").count() == 0
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.train(spark, documents(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert toxicity.score_documents(spark, documents(spark), model).where("score < 0.7").count() == documents(spark).count()
