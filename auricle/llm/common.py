@@ -16,6 +16,12 @@ from auricle.shared import shared_dir
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A key is hot if it has over one in so many rows; there can't be more hot keys than this.
+HOT_KEYS = 1000
+SALTS = 64
+
+
 class Scratch:
     """Intermediate tables written to the shared folder.
 
@@ -29,18 +35,20 @@ class Scratch:
         atexit.register(self._delete, self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a written table. Spark removes the shuffle files of the job that writes it when it is done."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(f"{self.root}/{name}")
 
-    def free_shuffles(self) -> None:
-        """A driver collection lets Spark's cleaner remove the shuffle files of finished steps."""
-        self.spark.sparkContext._jvm.System.gc()
-
     def _delete(self, path: str) -> None:
         sc = self.spark.sparkContext
         if sc._jsc is None:
@@ -72,6 +80,22 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
+def hot_keys(counts: DataFrame, key: str) -> list:
+    """Keys of (key, n) that hold over one in HOT_KEYS of all rows: fewer than HOT_KEYS of them."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return [r[key] for r in counts.where(F.col("n") * HOT_KEYS > total).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: str, hot: list, by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few`` (a row a key) on ``key``; the rows of hot keys are dealt over SALTS parts by the columns ``by``."""
+    if not hot:
+        return rows.join(few, key, how)
+    is_hot = F.col(key).isin(hot)
+    left = rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    right = few.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "salt"], how).drop("salt")
+
+
 def edge_checksum(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
     return row["n"], row["s"]

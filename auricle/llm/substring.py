@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auricle.llm.common import Scratch, column_bytes, map_batches
+from auricle.llm.common import Scratch, column_bytes, hot_keys, map_batches, spread_join
 
 MIN_WORDS = 13
 ANCHOR_WORDS = 5
@@ -18,6 +18,8 @@ ANCHOR_WORDS = 5
 MEMO = 300_000
 #: Documents that a Python worker unpacks at a time.
 SLICE = 250
+#: Occurrences of a window in distinct passages are dealt over so many keys.
+WINDOW_SALTS = 8
 _memo: dict[bytes, int] = {}
 
 
@@ -48,13 +50,12 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return _mixed(g)
 
 
-def anchors(h: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Winnowed anchors of a document: (anchor hash, first window, windows, run hash) of each.
+def anchors(h: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowed anchors of a document: (anchor hash, first window, windows) of each.
 
     Every window of ``min_words`` words picks the smallest (rightmost, if tied) hash of its
     ``k``-word grams, which depends on the window's words alone: equal windows pick equal
-    anchors at equal places. Consecutive windows with the same pick are a run; the run hash
-    covers the picked anchor extended both ways over all words of the run.
+    anchors at equal places. Consecutive windows with the same pick are one occurrence of the anchor.
     """
     grams, width = gram_hashes(h, k), min_words - k + 1
     n = len(grams) - width + 1
@@ -65,21 +66,13 @@ def anchors(h: np.ndarray, min_words: int, k: int) -> tuple[np.ndarray, np.ndarr
         low = np.where(take, later, low)
         at = np.where(take, np.arange(i, n + i), at)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    count = np.diff(np.append(first, n))
-    windows = gram_hashes(h, min_words)
-    # a run's windows follow each other, so first window, last window and length fix its words up to hash strength
-    run = windows[first].copy()
-    for i in range(1, int(count.max(initial=1))):
-        more = count > i
-        run[more] = run[more] * np.uint64(0xC2B2AE3D27D4EB4F) + windows[first[more] + i]
-    return low[first], first, count, _mixed(run + count.astype(np.uint64))
+    return low[first], first, np.diff(np.append(first, n))
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
+def _anchor_rows(docs: DataFrame, min_words: int, k: int, bits: int) -> DataFrame:
+    """(anchor, doc_id, text_hash, first, count) of documents (doc_id, text_hash, text)."""
+    mask = np.uint64((1 << bits) - 1)
 
-
-def _anchor_rows(docs: DataFrame, min_words: int, k: int) -> DataFrame:
     def make():
         def on_batch(batch: pa.RecordBatch):
             ids, hashes = batch.column(0), batch.column(1)
@@ -87,14 +80,14 @@ def _anchor_rows(docs: DataFrame, min_words: int, k: int) -> DataFrame:
             size = 0
 
             def packed():
-                at = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
-                a, first, count, run = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
-                return pa.RecordBatch.from_arrays([_signed(a), _signed(run), ids.take(pa.array(at)), hashes.take(pa.array(at)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["anchor", "run", "doc_id", "text_hash", "first", "count"])
+                at = pa.array(np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]))
+                a, first, count = (np.concatenate([p[i] for p in parts]) for i in range(1, 4))
+                return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), ids.take(at), hashes.take(at), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["anchor", "doc_id", "text_hash", "first", "count"])
 
             for i, text in enumerate(column_bytes(batch.column(2))):
                 words = (text or b"").split()
                 if len(words) >= min_words:
-                    parts.append((i, *anchors(word_hashes(words), min_words, k)))
+                    parts.append((i, *anchors(word_hashes(words) & mask, min_words, k)))
                     size += len(parts[-1][1])
                 if size > 50_000:
                     yield packed()
@@ -104,73 +97,110 @@ def _anchor_rows(docs: DataFrame, min_words: int, k: int) -> DataFrame:
 
         return on_batch
 
-    return map_batches(docs, make, "anchor long, run long, doc_id long, text_hash long, first int, count int")
+    return map_batches(docs, make, "anchor long, doc_id long, text_hash long, first int, count int")
 
 
-def _window_rows(runs: DataFrame, min_words: int) -> DataFrame:
-    """(text, runs array<struct<run,first,count,doc_id>>) to one row per window of each run."""
+def _passage_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, text_hash, text, seeds array<struct<first,count>>) to one row a seed, extended both ways on the words."""
 
     def make():
         def on_batch(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(at, SLICE)
-                out: list[list] = [[], [], [], []]
-                for text, own in zip(column_bytes(piece.column(0)), piece.column(1).to_pylist(), strict=True):
-                    windows = gram_hashes(word_hashes(text.split()), min_words).view(np.int64)
-                    for r in own:
-                        n = r["count"]
-                        out[0] += [r["run"]] * n
-                        out[1] += range(n)
-                        out[2] += windows[r["first"] : r["first"] + n].tolist()
-                        out[3] += [r["doc_id"]] * n
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["run", "offset", "window", "doc_id"])
+            for start in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(start, SLICE)
+                seeds = piece.column(3)
+                ends = np.cumsum(np.diff(seeds.offsets.to_numpy()))
+                flat = seeds.flatten()
+                first, count = flat.field(0), flat.field(1)
+                f, stop = first.to_numpy(), (first.to_numpy() + count.to_numpy() + min_words - 1).tolist()
+                out, at = [], 0
+                for text, end in zip(column_bytes(piece.column(2)), ends.tolist(), strict=True):
+                    words = text.split()
+                    out += [b" ".join(words[a:b]) for a, b in zip(f[at:end].tolist(), stop[at:end], strict=True)]
+                    at = end
+                owner = pa.array(np.repeat(np.arange(piece.num_rows), np.diff(np.concatenate([[0], ends]))))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), piece.column(0).take(owner), piece.column(1).take(owner), first, count], ["words", "doc_id", "text_hash", "first", "count"])
 
         return on_batch
 
-    return map_batches(runs, make, "run long, offset int, window long, doc_id long")
+    return map_batches(docs, make, "words string, doc_id long, text_hash long, first int, count int")
 
 
-def repeated_windows(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
-    """(doc_id, text_hash, windows): per document the runs of windows that also start in a document of smaller id.
+def passages(docs: DataFrame, min_words: int, k: int, bits: int, scratch: Scratch) -> DataFrame:
+    """(words, code, doc_id, text_hash, first, count): occurrences of anchors that documents share, extended both ways.
 
-    ``docs`` has doc_id, text, text_hash. 1. Anchors that occur once are dropped: every window of
-    a repeat picks an anchor that occurs again. 2. Of each distinct run (anchor extended both
-    ways) the smallest id is taken by partial aggregation; documents of larger id repeat the
-    whole run. 3. For the first document of each distinct run, single windows are compared
-    with those of all other distinct runs, which finds where a repeat starts or ends inside a
-    run. No pairs of documents are formed at any step, however common a passage is.
+    Documents are joined on their winnowed anchors: an anchor that occurs once is dropped, as every window of a repeat
+    picks an anchor that occurs again. An occurrence is extended over all words of the windows that pick it.
+    ``code`` is a hash of the words.
     """
-    scratch = Scratch(spark, "substring")
-    seen = scratch.save(_anchor_rows(docs.select("doc_id", "text_hash", "text"), min_words, k), "anchors")
-    common = scratch.save(seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "common")
-    scratch.free_shuffles()
-    shared = scratch.save(seen.join(common.hint("shuffle_hash"), "anchor", "left_semi").drop("anchor"), "shared")
+    seen = scratch.save(_anchor_rows(docs.select("doc_id", "text_hash", "text"), min_words, k, bits), "anchors")
+    common = scratch.save(seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    shared = spread_join(seen, common.select("anchor"), "anchor", hot_keys(common, "anchor"), ["doc_id", "text_hash", "first"], "left_semi")
+    lists = shared.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "count")).alias("seeds"))
+    lists = scratch.save(lists.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "seeds"), "seeds")
     scratch.drop("anchors", "common")
-    scratch.free_shuffles()
-    # a run whose documents all lack an id has no first one; its struct still names a text to read
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "first", "count")
-    runs = scratch.save(shared.groupBy("run").agg(F.min(order).alias("r")).select("run", "r.doc_id", "r.text_hash", "r.first", "r.count"), "runs")
-    lists = runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("run", "first", "count", "doc_id")).alias("runs"))
-    lists = lists.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "runs")
-    texts = docs.select("doc_id", "text_hash", "text").join(lists, docs["doc_id"].eqNullSafe(lists["_id"]) & (docs["text_hash"] == lists["_hash"]))
-    scratch.free_shuffles()
-    windows = scratch.save(_window_rows(texts.select("text", "runs"), min_words), "windows")
-    scratch.free_shuffles()
-    firsts = windows.groupBy("window").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")).where("n > 1 and lowest is not null").select("window", "lowest")
-    repeated = windows.join(firsts, "window").where("doc_id is null or lowest < doc_id")
-    masks = repeated.groupBy("run").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask"))
-    decided = scratch.save(runs.select("run", F.col("doc_id").alias("lowest")).join(masks, "run", "left"), "decided")
+    texts = docs.join(lists, docs["doc_id"].eqNullSafe(lists["_id"]) & (docs["text_hash"] == lists["_hash"])).select("doc_id", "text_hash", "text", "seeds")
+    code = F.xxhash64("words").bitwiseAND(F.lit((1 << min(bits, 63)) - 1))
+    found = scratch.save(_passage_rows(texts, min_words).withColumn("code", code), "passages")
+    scratch.drop("seeds")
+    return found
+
+
+def partial_repeats(firsts: DataFrame, min_words: int, bits: int, scratch: Scratch) -> DataFrame:
+    """(id, mask): windows of each distinct passage that another passage of smaller document id holds too, as bits by offset.
+
+    This finds where a repeat starts or ends inside a passage. Windows whose hash occurs once are
+    dropped; the others are grouped by their words.
+    """
+    split = firsts.select("id", "lowest", F.split("words", " ").alias("list"), F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("offset"))
+    text = F.array_join(F.slice("list", F.col("offset") + 1, min_words), " ")
+    hashed = scratch.save(split.select("id", "offset", F.xxhash64(text).bitwiseAND(F.lit((1 << min(bits, 63)) - 1)).alias("hash")), "hashes")
+    counts = scratch.save(hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    again = spread_join(hashed, counts.select("hash"), "hash", hot_keys(counts, "hash"), ["id", "offset"], "left_semi").groupBy("id").agg(F.collect_set("offset").alias("offsets"))
+    listed = firsts.select("id", "lowest", F.split("words", " ").alias("list")).join(again, "id").select("id", "lowest", "list", F.explode("offsets").alias("offset"))
+    windows = scratch.save(listed.select("id", "lowest", "offset", text.alias("window")), "windows")
+    scratch.drop("hashes", "repeated")
+    lows = windows.groupBy("window").agg(F.min("lowest").alias("low"), F.count("*").alias("n")).where("n > 1 and low is not null").select("window", "low")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(WINDOW_SALTS - 1))).alias("salt")
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(WINDOW_SALTS)).cast("int"))
+    hit = salted.join(lows.select("window", "low", salts), ["window", "salt"]).where("lowest is null or low < lowest")
+    masks = scratch.save(hit.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask")), "masks")
+    scratch.drop("windows")
+    return masks
+
+
+def repeated_windows(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS, bits: int = 64) -> DataFrame:
+    """(doc_id, text_hash, windows): per document the windows that also start in a document of smaller id, by passage.
+
+    ``docs`` has doc_id, text, text_hash. Passages (see ``passages``) are grouped by their words, with partial
+    aggregation; documents other than the one of smallest id repeat the whole passage, and of that
+    one single windows are compared with those of all other passages (see ``partial_repeats``). Hashes of ``bits`` bits
+    only deal rows out and drop what occurs once: passages and windows are equal if their words are. No pairs of
+    documents are formed at any step, however common a passage is.
+    """
+    scratch = Scratch(spark, "substring")
+    found = passages(docs, min_words, k, bits, scratch)
+    # a passage whose documents all lack an id has no lowest one
+    grouped = found.groupBy("words", "code").agg(F.min("doc_id").alias("lowest"), F.min("count").alias("count"), F.count("*").alias("n"))
+    firsts = scratch.save(grouped.withColumn("id", F.monotonically_increasing_id()), "firsts")
+    masks = partial_repeats(firsts, min_words, bits, scratch)
+    decided = scratch.save(firsts.select("id", "code", "lowest", "n").join(masks, "id", "left"), "decided")
+    by_code = scratch.save(decided.groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")), "codes")
+    own = decided.join(by_code.where("kinds = 1").select("code"), "code", "left_semi").select("code", "lowest", "mask")
+    gone = spread_join(found.drop("words"), own, "code", hot_keys(by_code.where("kinds = 1"), "code"), ["doc_id", "text_hash", "first"])
+    several = by_code.where("kinds > 1").select("code")
+    if not several.isEmpty():  # passages that share a code are told apart by their words
+        told = firsts.join(several, "code", "left_semi").select("id", "words", "code").join(decided.select("id", "lowest", "mask"), "id").drop("id")
+        gone = gone.unionByName(found.join(several, "code", "left_semi").join(told, ["code", "words"]).drop("words"))
     every = F.expr("shiftleft(1L, `count`) - 1")
     mask = F.when(F.col("lowest").isNotNull() & (F.col("doc_id").isNull() | (F.col("lowest") < F.col("doc_id"))), every).otherwise(F.col("mask"))
-    gone = shared.join(decided, "run").select("doc_id", "text_hash", "first", mask.alias("mask")).where("mask <> 0")
-    found = scratch.save(gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "mask")).alias("windows")), "gone")
-    scratch.drop("shared", "runs", "windows", "decided")
-    scratch.free_shuffles()
-    return found
+    gone = gone.select("doc_id", "text_hash", "first", mask.alias("mask")).where("mask <> 0")
+    out = scratch.save(gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "mask")).alias("windows")), "gone")
+    scratch.drop("passages", "firsts", "masks", "decided", "codes")
+    return out
 
 
 def covered_words(windows: list[dict], n: int, min_words: int) -> np.ndarray:
-    """Which of a text's ``n`` words the windows cover; bit i of a mask stands for the window ``first + i``."""
+    """Which of a text's ``n`` words lie in its maximal repeats, the unions of its repeated windows; bit i of a mask stands for the window ``first + i``."""
     edge = np.zeros(n + 1, np.int64)
     for w in windows:
         mask, at = w["mask"], w["first"]
@@ -183,7 +213,7 @@ def covered_words(windows: list[dict], n: int, min_words: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup_substrings(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS) -> DataFrame:
+def dedup_substrings(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, k: int = ANCHOR_WORDS, bits: int = 64) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
     Removed is each word covered by a window of ``min_words`` words that also starts in a
@@ -193,7 +223,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, min_words: int = MIN_
     if not k <= min_words <= k + 62:
         raise ValueError("min_words must be from k to k + 62")
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
-    gone = repeated_windows(spark, hashed, min_words, k).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "windows")
+    gone = repeated_windows(spark, hashed, min_words, k, bits).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "windows")
     joined = hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["_id"]) & (hashed["text_hash"] == gone["_hash"]), "left")
 
     def make():

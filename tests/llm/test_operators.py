@@ -380,11 +380,33 @@ def test_substring_random(spark):
             start = r.randrange(len(part))
             text += part[start : start + r.randint(1, 30)]
         rows.append((r.choice([None, i, i, i, i // 2]), " ".join(text)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", F.lit("clash")).withColumn("code", F.lit(1)).withColumn("text_hash", F.lit("clash"))
     cut = substring.dedup_substrings(spark, docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
     assert sorted(map(repr, map(tuple, cut.collect()))) == sorted(map(repr, substring.brute_force(rows)))
 
 
+@pytest.mark.parametrize("bits", [0, 2, 5])
+def test_substring_with_colliding_hashes(spark, bits):
+    """Hashes so short that nearly all collide change nothing: words decide."""
+    r = random.Random(26)
+    pool = [[f"{c}{r.randrange(30)}" for _ in range(30)] for c in "abcd"]
+    rows = [(i, " ".join(w for _ in range(3) for w in r.choice(pool)[r.randrange(8) : r.randrange(15, 31)])) for i in range(40)]
+    rows += [(100 + i, " ".join(words(200 + i, 40))) for i in range(10)]
+    cut = substring.dedup_substrings(spark, spark.createDataFrame(rows, "doc_id long, text string"), bits=bits).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert sorted(map(repr, map(tuple, cut.collect()))) == sorted(map(repr, substring.brute_force(rows)))
+    assert any(r[2] for r in substring.brute_force(rows))
+
+
+def test_substring_hot_passage(spark, monkeypatch):
+    """A passage that most documents hold, with hot keys dealt out, against brute force."""
+    from auricle.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    rows = [(i, " ".join([*words(300 + i, i % 30), *words(1, 25), *words(400 + i, i % 7)])) for i in range(80)]
+    cut = substring.dedup_substrings(spark, spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert sorted(map(repr, map(tuple, cut.collect()))) == sorted(map(repr, substring.brute_force(rows)))
+
+
 # 5 secrets
 
 
