@@ -34,9 +34,9 @@ def detect_blank_id(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.agg(F.coalesce(F.min(F.when(F.col("token").isin(*BLANKS), F.col("token_id"))), F.max("token_id")).alias("blank_id"))
 
 
-def lookup_tokens(ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``ids`` with token; ``<unk>`` where the vocabulary has none. Spark broadcasts the vocabulary if it is small."""
-    return ids.join(vocabulary.select("token_id", "token"), "token_id", "left").withColumn("token", F.coalesce("token", F.lit(UNKNOWN)))
+def lookup_tokens(ids: DataFrame, vocabulary: DataFrame, unknown: str = UNKNOWN) -> DataFrame:
+    """``ids`` with token; ``unknown`` where the vocabulary has none (transducer vocabularies take ""). Spark broadcasts the vocabulary if it is small."""
+    return ids.join(vocabulary.select("token_id", "token"), "token_id", "left").withColumn("token", F.coalesce("token", F.lit(unknown)))
 
 
 def frame_time(frame: Column) -> Column:
@@ -50,6 +50,11 @@ def detokenize(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("clip_id").agg(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), TRIM, "").alias("text"))
 
 
+def detokenize_array(tokens: Column) -> Column:
+    """Text of an array of tokens in order: joined, the mark as a space, trimmed; null tokens give nothing."""
+    return F.regexp_replace(F.replace(F.array_join(tokens, ""), F.lit(MARK), F.lit(" ")), TRIM, "")
+
+
 def ctc_results(frames: DataFrame, vocabulary: DataFrame, blank_id: int) -> DataFrame:
     """(clip_id, text, tokens, timestamps) of frames (clip_id, frame, logits); clips of blanks only are left out."""
     kept = lookup_tokens(ctc_collapse(frame_argmax(frames).drop("logits"), blank_id), vocabulary)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from auricle import schemas
 from auricle.functions.audio import fixed_decimals
 from auricle.operators import decode
+from auricle.operators.features import float_views
 
 
 class Engine(Protocol):
@@ -34,17 +35,20 @@ def transcribe(samples: DataFrame, make_engine: Callable[[], Engine]) -> DataFra
 
     ``make_engine`` runs once a task. A clip on which the engine fails keeps its row with
     ``error`` set (the gate makes it a 408), so a job never fails for a clip. Empty audio gives an
-    empty result without calling the engine; no speech gives empty text and no tokens.
+    empty result without calling the engine; no speech gives empty text and no tokens. An engine over
+    tables (``TableEngine``) takes its own table instead of samples, and no Python stage.
     """
+    if isinstance(make_engine, TableEngine):
+        return make_engine.results(samples).withColumn("error", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = make_engine()
         try:
             for batch in batches:
-                clips, rates, arrays = (batch.column(i).to_pylist() for i in range(3))
+                clips, rates, arrays = batch.column(0).to_pylist(), batch.column(1).to_pylist(), float_views(batch.column(2))
                 results, errors = [], []
                 for rate, x in zip(rates, arrays, strict=True):
-                    x = np.array(x or [], np.float32)
+                    x = np.zeros(0, np.float32) if x is None else x
                     got, error = {}, None
                     if len(x):
                         try:
@@ -91,6 +95,13 @@ class EchoEngine:
         pass
 
 
+class TableEngine:
+    """A recognizer that is a query over a table, such as stored logits (clip_id, frame, logits)."""
+
+    def __init__(self, results: Callable[[DataFrame], DataFrame]) -> None:
+        self.results = results
+
+
 def ctc_engine(frames: DataFrame, vocabulary: DataFrame, blank_id: int) -> DataFrame:
     """Results of stored logits: text, tokens and timestamps of each clip; duration from its frames."""
     sizes = frames.groupBy("clip_id").agg(F.count("*").alias("n"))
@@ -107,12 +118,22 @@ def ctc_engine(frames: DataFrame, vocabulary: DataFrame, blank_id: int) -> DataF
     )
 
 
-#: Engines by name; ``engine`` looks them up.
-REGISTRY: dict[str, Callable[..., Callable[[], Engine]]] = {"echo": lambda: EchoEngine}
+#: Engines by name; ``engine`` looks them up, ``register`` adds to them.
+REGISTRY: dict[str, Callable[..., Callable[[], Engine] | TableEngine]] = {
+    "echo": lambda: EchoEngine,
+    "ctc": lambda vocabulary, blank_id: TableEngine(lambda frames: ctc_engine(frames, vocabulary, blank_id)),
+}
+
+
+def register(name: str, make: Callable[..., Callable[[], Engine] | TableEngine]) -> None:
+    """Adds an engine under a new name: ``make(**options)`` gives what ``transcribe`` takes."""
+    if name in REGISTRY:
+        raise ValueError(f"engine {name!r} is there already")
+    REGISTRY[name] = make
 
 
-def engine(name: str, **options) -> Callable[[], Engine]:
-    """Factory of a registered engine. "ctc" works on logits tables: see ``ctc_engine``."""
+def engine(name: str, **options) -> Callable[[], Engine] | TableEngine:
+    """Factory of a registered engine, for ``transcribe``. "ctc" (vocabulary, blank_id) works on tables of logits."""
     if name not in REGISTRY:
         raise ValueError(f"unknown engine {name!r} (expected one of {', '.join(sorted(REGISTRY))})")
     return REGISTRY[name](**options)

@@ -22,6 +22,14 @@ def _floats(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([a is None for a in arrays]))
 
 
+def float_views(lists: pa.Array) -> list[np.ndarray | None]:
+    """Each list of an array of lists of floats as a view of the flat values; None for null."""
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    offsets = lists.offsets.to_numpy()
+    valid = lists.is_valid().to_numpy(zero_copy_only=False)
+    return [flat[a:b] if ok else None for a, b, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), valid.tolist(), strict=True)]
+
+
 def _with_array(df: DataFrame, source: str, target: str, convert) -> DataFrame:
     """``df`` with ``target`` array<float>, made of each value of ``source`` (null stays null) in its own small batch."""
     kept = [f for f in df.schema.fields if f.name != target]
@@ -62,7 +70,7 @@ def pack_f32le(df: DataFrame, column: str = "samples") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [None if v is None else np.array(v, "<f4").tobytes() for v in batch.column(at).to_pylist()]
+            packed = [None if v is None else v.astype("<f4").tobytes() for v in float_views(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], [*names, "payload"])
 
     return df.select(*names).mapInArrow(run, schema)
@@ -91,6 +99,22 @@ def wav_corpus_to_samples(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
     return made.where("samples is not null").withColumn("sample_rate", F.lit(SAMPLE_RATE)), made.where("samples is null").select("path")
 
 
+def count_wav_samples(clips: DataFrame) -> DataFrame:
+    """``clips`` with n_samples long: samples of 16 kHz mono WAV content; null for any other, which needs a decoder."""
+    names = clips.columns
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in clips.schema.fields), "n_samples long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for raw in batch.column(names.index("content")):
+                samples = wav_samples(raw.as_py() or b"")
+                sizes.append(None if samples is None else len(samples))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*names, "n_samples"])
+
+    return clips.mapInArrow(run, schema)
+
+
 def mel_filterbank(n_mels: int, sample_rate: int = SAMPLE_RATE, n_fft: int = N_FFT) -> np.ndarray:
     """Triangular filters, evenly spaced in mel = 2595 log10(1 + f / 700), each divided by its width in Hz: (n_mels, n_fft / 2 + 1)."""
     top = 2595 * np.log10(1 + sample_rate / 2 / 700)
@@ -123,24 +147,30 @@ def log_mel_frames(samples: np.ndarray, filters: np.ndarray, centered: bool) ->
 FLAVORS = {"torch": (80, True), "tdt": (128, False)}
 
 
-def log_mel(samples: DataFrame, flavor: str = "torch") -> DataFrame:
-    """(clip_id, frame, mel) of (clip_id, sample_rate, samples): 80 bins ("torch") or 128 ("tdt"). Other rates than 16 kHz fail; null samples give no frames."""
+def log_mel(samples: DataFrame, flavor: str = "torch", column: str = "samples") -> DataFrame:
+    """(clip_id, frame, mel) of (clip_id, sample_rate, samples): 80 bins ("torch") or 128 ("tdt"). Other rates than 16 kHz fail; null samples give no frames.
+
+    ``column`` may also be binary, with 16-bit PCM, which is then read in the same stage.
+    """
+    packed = samples.schema[column].dataType.simpleString() == "binary"
     n_mels, centered = FLAVORS[flavor]
     shared = samples.sparkSession.sparkContext.broadcast(mel_filterbank(n_mels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for clip, rate, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            waves = [None if raw is None else pcm16(raw) for raw in batch.column(2).to_pylist()] if packed else float_views(batch.column(2))
+            for clip, rate, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), waves, strict=True):
                 if x is None:
                     continue
                 if rate != SAMPLE_RATE:
                     raise ValueError(f"expected {SAMPLE_RATE} Hz, got {rate} Hz")
-                mel = log_mel_frames(np.array(x, np.float32), shared.value, centered)
+                mel = log_mel_frames(x, shared.value, centered)
                 for at in range(0, len(mel), 4096):
                     part = mel[at : at + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([clip] * len(part), pa.int64()), pa.array(np.arange(at, at + len(part), dtype=np.int32)), _floats(list(part))], ["clip_id", "frame", "mel"])
+                    mels = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), clip, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), mels], ["clip_id", "frame", "mel"])
 
-    return samples.select("clip_id", "sample_rate", "samples").mapInArrow(run, "clip_id long, frame int, mel array<float>")
+    return samples.select("clip_id", "sample_rate", column).mapInArrow(run, "clip_id long, frame int, mel array<float>")
 
 
 def explode_bins(features: DataFrame) -> DataFrame:
@@ -172,10 +202,10 @@ def pad_to_length(features: DataFrame, n: int, n_mels: int) -> DataFrame:
     return kept.unionByName(added)
 
 
-def frame_counts(samples: DataFrame) -> DataFrame:
-    """Frames that log_mel gives per clip, without computing them."""
-    size = F.size("samples")
-    return samples.where("samples is not null").select("clip_id", F.when(size < WINDOW, F.lit(1)).otherwise(1 + F.floor(size / HOP)).cast("int").alias("frames"))
+def frame_counts(samples: DataFrame, column: str = "samples") -> DataFrame:
+    """Frames that log_mel gives per clip, without computing them or unpacking 16-bit PCM, which ``column`` may also hold."""
+    size = F.floor(F.length(column) / 2) if samples.schema[column].dataType.simpleString() == "binary" else F.size(column)
+    return samples.where(F.col(column).isNotNull()).select("clip_id", F.when(size < WINDOW, F.lit(1)).otherwise(1 + F.floor(size / HOP)).cast("int").alias("frames"))
 
 
 def bin_means(bins: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ REQUEST_BUCKETS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0)
 DECODE_BUCKETS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)
 INFERENCE_BUCKETS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 AUDIO_BUCKETS = (1.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0, 600.0)
+#: Requests that were decoded, also if rejected after that (too short, too long, timed out).
+DECODED = f"status in (200, 408, 413) or (status = 400 and n_samples between 1 and {MIN_SAMPLES - 1})"
 
 
 def with_lang(facts: DataFrame) -> DataFrame:
@@ -45,15 +47,50 @@ def histogram(facts: DataFrame, value: F.Column, buckets: tuple[float, ...], nam
     return one.select(F.inline(F.array(*lines)))
 
 
+def bucket_counts(value: F.Column, buckets: tuple[float, ...]) -> list[F.Column]:
+    return [F.count_if(value <= b) for b in buckets]
+
+
+HISTOGRAMS = {
+    "request_duration_seconds": REQUEST_BUCKETS,
+    "decode_duration_seconds": DECODE_BUCKETS,
+    "inference_duration_seconds": INFERENCE_BUCKETS,
+    "audio_duration_seconds": AUDIO_BUCKETS,
+}
+
+
+def histogram_value(name: str) -> F.Column:
+    """The value that a request adds to a histogram; null if it adds none."""
+    ok = F.col("status") == 200
+    return {
+        "request_duration_seconds": F.when(ok, F.col("decode_s") + F.col("inference_s")),
+        "decode_duration_seconds": F.when(F.expr(DECODED), F.col("decode_s")),
+        "inference_duration_seconds": F.when(ok, F.col("inference_s")),
+        "audio_duration_seconds": F.when(ok, F.col("duration_s")),
+    }[name].cast("double")
+
+
+def histograms(facts: DataFrame) -> DataFrame:
+    """(name, le, value) of all four histograms and of audio_bytes_total, from one pass over the facts."""
+    aggregates, lines = [], []
+    line = lambda name, le, v: F.struct(F.lit(name).alias("name"), F.lit(le).cast("string").alias("le"), v.cast("double").alias("value"))
+    for h, (name, buckets) in enumerate(HISTOGRAMS.items()):
+        x = histogram_value(name)
+        aggregates += [c.alias(f"h{h}_{i}") for i, c in enumerate([*bucket_counts(x, buckets), F.count(x), F.coalesce(F.sum(x), F.lit(0.0))])]
+        lines += [line(f"{name}_bucket", le, F.col(f"h{h}_{i}")) for i, le in enumerate([*(f"{b:g}" for b in buckets), "+Inf"])]
+        lines += [line(f"{name}_sum", None, F.col(f"h{h}_{len(buckets) + 1}")), line(f"{name}_count", None, F.col(f"h{h}_{len(buckets)}"))]
+    aggregates.append(F.coalesce(F.sum(F.when(F.col("status") == 200, F.col("size_bytes"))), F.lit(0)).alias("bytes"))
+    return facts.agg(*aggregates).select(F.inline(F.array(*lines, line("audio_bytes_total", None, F.col("bytes")))))
+
+
 def request_duration(facts: DataFrame) -> DataFrame:
     """Successful requests, from decoding on; time in the queue is not part of it."""
     return histogram(facts.where("status = 200"), F.col("decode_s") + F.col("inference_s"), REQUEST_BUCKETS, "request_duration_seconds")
 
 
 def decode_duration(facts: DataFrame) -> DataFrame:
-    """Every request that was decoded, also if rejected after that (too short, too long, timed out)."""
-    decoded = facts.where(f"status in (200, 408, 413) or (status = 400 and n_samples between 1 and {MIN_SAMPLES - 1})")
-    return histogram(decoded, F.col("decode_s"), DECODE_BUCKETS, "decode_duration_seconds")
+    """Every request that was decoded."""
+    return histogram(facts.where(DECODED), F.col("decode_s"), DECODE_BUCKETS, "decode_duration_seconds")
 
 
 def inference_duration(facts: DataFrame) -> DataFrame:
@@ -99,14 +136,30 @@ def queued_over_time(facts: DataFrame) -> DataFrame:
 
 
 def overload_report(facts: DataFrame, limits: Limits | None = None, window: str = "1 day") -> DataFrame:
-    """Per time window: requests, rejections (429), timeouts in the queue (408), peaks of both gauges, and whether a peak passes its limit."""
+    """Per time window from the first to the last: requests, rejections (429), timeouts in the queue (408), peaks of both gauges, and whether a peak passes its limit.
+
+    A level that a window begins with counts for its peak, so windows without arrivals or changes are there too. Only
+    window rows, one a window, meet in one task.
+    """
     limits = limits or Limits()
+    step = F.expr(f"interval {window}")
     span = lambda column: F.window(column, window)["start"].alias("window_start")
     counts = facts.groupBy(span("arrival")).agg(F.count("*").alias("requests"), F.count_if(F.col("status") == 429).alias("rejected"), F.count_if(F.col("status") == 408).alias("timed_out"))
-    peak = lambda df, name: df.groupBy(span("at")).agg(F.max("level").alias(name))
-    joined = counts.join(peak(in_progress_over_time(facts), "peak_in_progress"), "window_start", "left").join(peak(queued_over_time(facts), "peak_queued"), "window_start", "left")
-    over = (F.coalesce("peak_in_progress", F.lit(0)) > limits.max_concurrent) | (F.coalesce("peak_queued", F.lit(0)) > limits.max_queue)
-    return joined.withColumn("over_limit", over)
+    before = Window.orderBy("window_start").rowsBetween(Window.unboundedPreceding, -1)
+
+    def peaks(moves: DataFrame, name: str) -> DataFrame:
+        return moves.groupBy(span("at")).agg(F.max("level").alias(f"{name}_top"), F.max_by("level", "at").alias(f"{name}_last"))
+
+    seen = counts.join(peaks(in_progress_over_time(facts), "busy"), "window_start", "full").join(peaks(queued_over_time(facts), "waiting"), "window_start", "full")
+    every = seen.agg(F.min("window_start").alias("a"), F.max("window_start").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b", step)).alias("window_start"))
+    rows = every.join(seen, "window_start", "left")
+
+    def peak(name: str) -> F.Column:
+        return F.coalesce(F.greatest(F.col(f"{name}_top"), F.last(f"{name}_last", ignorenulls=True).over(before)), F.lit(0))
+
+    none = F.lit(0)
+    rows = rows.select("window_start", *[F.coalesce(c, none).alias(c) for c in ("requests", "rejected", "timed_out")], peak("busy").alias("peak_in_progress"), peak("waiting").alias("peak_queued"))
+    return rows.withColumn("over_limit", (F.col("peak_in_progress") > limits.max_concurrent) | (F.col("peak_queued") > limits.max_queue))
 
 
 def info_rows(facts: DataFrame, limits: Limits, version: str = "dev", commit: str = "none", build_time: str = "unknown") -> DataFrame:
@@ -124,8 +177,7 @@ def union_metrics(facts: DataFrame, limits: Limits | None = None) -> DataFrame:
     limits = limits or Limits()
     none = F.lit(None).cast("string")
     totals = requests_total(facts).select(F.lit("requests_total").alias("name"), F.to_json(F.struct(F.col("status").cast("string").alias("status"), "lang")).alias("labels"), none.alias("le"), F.col("value").cast("double"))
-    parts = [totals, audio_bytes_total(facts).select(F.lit("audio_bytes_total").alias("name"), none.alias("labels"), none.alias("le"), F.col("value").cast("double"))]
-    parts += [h(facts).select("name", none.alias("labels"), "le", "value") for h in (request_duration, decode_duration, inference_duration, audio_duration)]
+    parts = [totals, histograms(facts).select("name", none.alias("labels"), "le", "value")]
     last = lambda df, name: df.agg(F.max_by("level", "at").cast("double").alias("value")).select(F.lit(name).alias("name"), none.alias("labels"), none.alias("le"), "value")
     parts += [last(in_progress_over_time(facts), "requests_in_progress"), last(queued_over_time(facts), "requests_queued")]
     parts.append(info_rows(facts, limits).select("name", "labels", none.alias("le"), "value"))

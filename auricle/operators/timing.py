@@ -1,7 +1,16 @@
-"""Word timing and segments: windows that share one exchange on clip_id."""
+"""Word timing and segments.
+
+Results with a clip a row (tokens and timestamps as arrays) are timed row by row in one Arrow stage,
+without any exchange. Tokens in long form (a token a row) take windows that share one exchange on clip_id.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +19,12 @@ LAST_TOKEN_S = 0.1
 MAX_SEGMENT_WORDS = 15
 MARK = "▁"
 TRIM = "(?U)^\\s+|\\s+$"
+#: The same white space, spelled out.
+WHITE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Clips that a Python worker times at a time.
+SLICE = 1_000
+WORD_TYPE = "array<struct<word:string,start:double,end:double>>"
+SEGMENT_TYPE = "array<struct<id:int,start:double,end:double,text:string>>"
 
 
 def by_pos():
@@ -79,3 +94,102 @@ def nest_timing(clips: DataFrame, words: DataFrame, segments: DataFrame) -> Data
     w = words.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "word", "start", "end"))), lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end"))).alias("words"))
     s = segments.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("id", "start", "end", "text"))).alias("segments"))
     return clips.join(w, "clip_id", "left").join(s, "clip_id", "left")
+
+
+def timed_tokens(results: DataFrame, strict: bool = False) -> DataFrame:
+    """(clip_id, pos, token, ts, start, end) of results, straight from the arrays: what ``explode_tokens`` and ``token_intervals`` give, without an exchange."""
+    rows = results.where("size(tokens) > 0 and size(timestamps) > 0")
+    long = rows.select("clip_id", "timestamps", F.posexplode(F.slice("tokens", F.lit(1), F.size("timestamps"))).alias("pos", "token"))
+    ts = F.get("timestamps", F.col("pos"))
+    start = ts.cast("double")
+    end = F.coalesce(F.get("timestamps", F.col("pos") + 1).cast("double"), start + LAST_TOKEN_S)
+    token = F.col("token") if strict else F.replace("token", F.lit(MARK), F.lit(" "))
+    return long.where("token is not null").select("clip_id", "pos", token.alias("token"), ts.alias("ts"), start.alias("start"), end.alias("end"))
+
+
+def _lists(row: np.ndarray, n: int, fields: dict[str, pa.Array]) -> pa.Array:
+    """One list of structs for each of ``n`` rows, given each struct's row in order; null where there is none."""
+    sizes = np.bincount(row, minlength=n)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(fields.values()), list(fields)), mask=pa.array(sizes == 0))
+
+
+def _joined(parts: pa.Array, first: np.ndarray, sign: str) -> pa.Array:
+    """Strings joined in groups; ``first`` tells which parts open one."""
+    offsets = np.append(np.flatnonzero(first), len(parts)).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), parts), sign)
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where any key differs from the place before; the first place counts."""
+    first = np.ones(len(keys[0]), bool)
+    if len(first):
+        first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return first
+
+
+def timed_batch(tokens: pa.Array, stamps: pa.Array, strict: bool) -> tuple[pa.Array, pa.Array]:
+    """Words and segments of each clip of a batch, all clips at once over the arrays' flat values."""
+    n_tokens, n_stamps = (pc.fill_null(pc.list_value_length(x), 0).to_numpy() for x in (tokens, stamps))
+    used = np.minimum(n_tokens, n_stamps)
+    row = np.repeat(np.arange(len(tokens)), used)
+    pos = np.arange(used.sum()) - np.repeat(np.cumsum(used) - used, used)
+    at = (np.cumsum(n_stamps) - n_stamps)[row] + pos
+    ts = stamps.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    start = ts[at]
+    end = np.where(pos + 1 < n_stamps[row], ts[np.minimum(at + 1, len(ts) - 1)], start + LAST_TOKEN_S) if len(at) else start
+    token = tokens.flatten().take(pa.array((np.cumsum(n_tokens) - n_tokens)[row] + pos))
+    if not strict:
+        token = pc.replace_substring(token, MARK, " ")
+    clean = pc.utf8_trim(token, WHITE)
+    kept = pc.fill_null(pc.not_equal(clean, ""), False).to_numpy(zero_copy_only=False)
+    row, start, end, token, clean = row[kept], start[kept], end[kept], token.filter(pa.array(kept)), clean.filter(pa.array(kept))
+    # a token with a leading space opens a word, as does a clip's first
+    opens = _changes(row) | pc.starts_with(token, " ").to_numpy(zero_copy_only=False)
+    last = np.append(opens[1:], True)[: len(opens)]
+    word, w_row, w_start, w_end = _joined(clean, opens, ""), row[opens], start[opens], end[last]
+    words = _lists(w_row, len(tokens), {"word": word, "start": pa.array(w_start), "end": pa.array(w_end)})
+    # a segment opens with a clip, after a word that ends a sentence, and after MAX_SEGMENT_WORDS words of one
+    ends = pc.or_(pc.or_(pc.ends_with(word, "."), pc.ends_with(word, "!")), pc.ends_with(word, "?")).to_numpy(zero_copy_only=False)
+    sentence = _changes(w_row) | np.append(True, ends[:-1])[: len(ends)]
+    at = np.arange(len(word))
+    place = at - np.maximum.accumulate(np.where(sentence, at, 0)) if len(at) else at
+    cut = sentence | (place % MAX_SEGMENT_WORDS == 0)
+    last = np.append(cut[1:], True)[: len(cut)]
+    s_row = w_row[cut]
+    first = _changes(s_row)
+    at = np.arange(len(s_row))
+    number = at - np.maximum.accumulate(np.where(first, at, 0)) if len(at) else at
+    fields = {"id": pa.array(number.astype(np.int32)), "start": pa.array(w_start[cut]), "end": pa.array(w_end[last]), "text": _joined(word, cut, " ")}
+    return words, _lists(s_row, len(tokens), fields)
+
+
+def with_timing(results: DataFrame, strict: bool = False) -> DataFrame:
+    """``results`` (tokens, timestamps) with arrays ``words`` and ``segments``, null where a clip has none.
+
+    One Arrow stage over the rows as they lie: no exchange, no sort. Tokens beyond the timestamps go,
+    timestamps beyond the tokens end the last one; null tokens are skipped, timestamps hold no nulls. Null or
+    empty arrays give nulls; columns named like the result's are replaced.
+    """
+    kept = [f for f in results.schema.fields if f.name not in ("words", "segments")]
+    names = [f.name for f in kept]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"words {WORD_TYPE}", f"segments {SEGMENT_TYPE}"])
+    t, s = names.index("tokens"), names.index("timestamps")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_arrays([*piece.columns, *timed_batch(piece.column(t), piece.column(s), strict)], [*names, "words", "segments"])
+
+    return results.select(*names).mapInArrow(run, schema)
+
+
+def words_of(timed: DataFrame) -> DataFrame:
+    """(clip_id, word_id, word, start, end) of ``with_timing``'s rows."""
+    return timed.select("clip_id", F.posexplode("words").alias("word_id", "w")).select("clip_id", "word_id", "w.word", "w.start", "w.end")
+
+
+def segments_of(timed: DataFrame) -> DataFrame:
+    """(clip_id, id, start, end, text) of ``with_timing``'s rows."""
+    return timed.select("clip_id", F.inline("segments"))

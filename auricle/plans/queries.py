@@ -17,19 +17,19 @@ from auricle.sources.scans import parse_request_logs
 from auricle.streaming import jobs
 
 
-def words(spark: SparkSession, d: str) -> DataFrame:
-    return timing.build_words(timing.token_intervals(views.tokens(spark, d)))
+def timed(spark: SparkSession, d: str) -> DataFrame:
+    return timing.with_timing(views.results(spark, d))
 
 
-def segments(spark: SparkSession, d: str) -> DataFrame:
-    return timing.build_segments(words(spark, d))
+def rendered(make):
+    """Clips with segments, each rendered from its own row."""
+    return lambda spark, d: timed(spark, d).where("segments is not null").select("clip_id", make(F.col("segments")))
 
 
 def verbose_json(spark: SparkSession, d: str) -> DataFrame:
-    w = words(spark, d)
     docs = views.table(spark, d, "documents")
     clips = docs.select(F.col("doc_id").alias("clip_id"), "text", F.col("lang").alias("language"), clip_duration(F.col("n_chars"), 16).alias("duration"), F.lit("verbose_json").alias("response_format"))
-    return render.render_response(timing.nest_timing(clips, w, timing.build_segments(w))).select("clip_id", "body")
+    return render.render_response(clips.join(timed(spark, d), "clip_id", "left")).select("clip_id", "body")
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
@@ -37,8 +37,7 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     docs = views.table(spark, d, "documents")
     kind = F.element_at(F.array(*map(F.lit, ("json", "text", "srt", "vtt", "other"))), (F.col("doc_id") % 5).cast("int") + 1)
     clips = docs.select(F.col("doc_id").alias("clip_id"), F.concat(F.lit("document "), F.col("doc_id")).alias("text"), F.col("lang").alias("language"), F.lit(0.0).alias("duration"), kind.alias("response_format"))
-    w = words(spark, d)
-    return render.render_response(timing.nest_timing(clips, w, timing.build_segments(w))).select("clip_id", "response_format", "body")
+    return render.render_response(clips.join(timed(spark, d), "clip_id", "left")).select("clip_id", "response_format", "body")
 
 
 def argmax(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +52,7 @@ def ctc_text(spark: SparkSession, d: str) -> DataFrame:
 def ctc_segments(spark: SparkSession, d: str) -> DataFrame:
     """Logits to segments: decoding, word timing and segmentation in one plan."""
     results = engines.ctc_engine(views.frames(spark, d), views.frame_vocabulary(spark, d), views.BLANK_ID)
-    return timing.build_segments(timing.build_words(timing.token_intervals(timing.explode_tokens(results))))
+    return timing.segments_of(timing.with_timing(results))
 
 
 def token_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -172,23 +171,24 @@ def feature_norm(flavor: str):
 
 def pad_frames(spark: SparkSession, d: str) -> DataFrame:
     padded = features.pad_to_length(views.frames(spark, d).withColumnRenamed("logits", "mel"), 256, 64)
-    return padded.select("clip_id", "frame", F.get("mel", F.lit(0)).cast("double").alias("first"), "n_valid", "truncated")
+    return padded.select("clip_id", "frame", F.posexplode("mel").alias("bin", "value"), "n_valid", "truncated").withColumn("value", F.col("value").cast("double"))
 
 
 def log_mel(flavor: str):
-    return lambda spark, d: features.log_mel(views.long_samples(spark, d).select("clip_id", "sample_rate", "samples"), flavor)
+    return lambda spark, d: features.log_mel(views.long_samples(spark, d), flavor, "pcm")
 
 
 def pcm(spark: SparkSession, d: str) -> DataFrame:
-    return views.long_samples(spark, d).select("clip_id", F.size("samples").alias("n"), F.get("samples", F.lit(0)).cast("double").alias("first"))
+    """Whole arrays, a sample a row."""
+    return features.pcm16_to_float(views.long_samples(spark, d)).select("clip_id", F.posexplode("samples").alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 def frame_counts(spark: SparkSession, d: str) -> DataFrame:
-    return features.frame_counts(views.long_samples(spark, d))
+    return features.frame_counts(views.long_samples(spark, d), "pcm")
 
 
 def mel_means(spark: SparkSession, d: str) -> DataFrame:
-    mel = features.log_mel(views.long_samples(spark, d).select("clip_id", "sample_rate", "samples"), "torch")
+    mel = features.log_mel(views.long_samples(spark, d), "torch", "pcm")
     return features.bin_means(features.explode_bins(mel)).withColumn("mean", F.round("mean", 3))
 
 
@@ -282,17 +282,18 @@ def timeouts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deduped(spark: SparkSession, d: str) -> DataFrame:
-    """A stream in which requests recur, one record of each."""
+    """A stream in which requests recur, one record of each; state goes a day after."""
     rows = _stream_events(spark, d).select(F.concat(F.lit("user-"), F.expr("event_id div 3")).alias("request_id"), F.col("arrival").alias("time"))
-    return _drained(spark, jobs.stream_dedupe(rows, delay="3650 days")).select("request_id")
+    return _drained(spark, jobs.stream_dedupe(rows, delay="1 day")).select("request_id")
 
 
 QUERIES = {
-    "token_intervals": lambda spark, d: timing.token_intervals(views.tokens(spark, d)).withColumn("ts", F.col("ts").cast("double")),
-    "build_words": words,
-    "build_segments": segments,
-    "render_srt": lambda spark, d: render.render_srt(segments(spark, d)),
-    "render_vtt": lambda spark, d: render.render_vtt(segments(spark, d)),
+    "token_intervals": lambda spark, d: timing.timed_tokens(views.results(spark, d)).withColumn("ts", F.col("ts").cast("double")),
+    "build_words": lambda spark, d: timing.words_of(timed(spark, d)),
+    "build_segments": lambda spark, d: timing.segments_of(timed(spark, d)),
+    "build_segments_long": lambda spark, d: timing.build_segments(timing.build_words(timing.token_intervals(views.tokens(spark, d)))),
+    "render_srt": rendered(lambda s: render.srt(s).alias("srt")),
+    "render_vtt": rendered(lambda s: render.vtt(s).alias("vtt")),
     "render_verbose_json": verbose_json,
     "render_response": responses,
     "frame_argmax": argmax,

@@ -97,8 +97,15 @@ waiting_level AS (SELECT at_us, (sum(delta) OVER (ORDER BY at_us))::BIGINT AS le
 DAY = "86400000000"
 OVERLOAD = f"""
 counts AS (SELECT arrival_us // {DAY} * {DAY} AS window_start, count(*) AS requests, count_if(status = 429)::BIGINT AS rejected, count_if(status = 408)::BIGINT AS timed_out FROM facts GROUP BY 1),
-busy_peak AS (SELECT at_us // {DAY} * {DAY} AS window_start, max(level) AS peak_in_progress FROM busy_level GROUP BY 1),
-waiting_peak AS (SELECT at_us // {DAY} * {DAY} AS window_start, max(level) AS peak_queued FROM waiting_level GROUP BY 1)"""
+busy_peak AS (SELECT at_us // {DAY} * {DAY} AS window_start, max(level) AS top, arg_max(level, at_us) AS last FROM busy_level GROUP BY 1),
+waiting_peak AS (SELECT at_us // {DAY} * {DAY} AS window_start, max(level) AS top, arg_max(level, at_us) AS last FROM waiting_level GROUP BY 1),
+seen AS (SELECT window_start FROM counts UNION SELECT window_start FROM busy_peak UNION SELECT window_start FROM waiting_peak),
+every AS (SELECT unnest(range(min(window_start), max(window_start) + 1, {DAY})) AS window_start FROM seen),
+peaks AS (
+  SELECT window_start, coalesce(requests, 0) AS requests, coalesce(rejected, 0) AS rejected, coalesce(timed_out, 0) AS timed_out,
+    coalesce(greatest(b.top, last_value(b.last IGNORE NULLS) OVER w), 0)::BIGINT AS peak_in_progress, coalesce(greatest(q.top, last_value(q.last IGNORE NULLS) OVER w), 0)::BIGINT AS peak_queued
+  FROM every LEFT JOIN counts USING (window_start) LEFT JOIN busy_peak b USING (window_start) LEFT JOIN waiting_peak q USING (window_start)
+  WINDOW w AS (ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
 def histogram(value: str, where: str, buckets: tuple[float, ...], name: str) -> str:
@@ -128,6 +135,15 @@ logged AS (
   FROM tagged WHERE status <> 429)"""
 
 
+SPANS = f"""
+timed_spans AS (SELECT request_id, arrival_us AS began, {_micros("decode_s")} AS d, {_micros("inference_s")} AS i FROM facts WHERE status <> 429),
+span_rows AS (
+  SELECT request_id, 'transcribe' AS name, began AS start_us, began + d + i + 1000 AS stop_us FROM timed_spans
+  UNION ALL SELECT request_id, 'audio.decode', began, began + d FROM timed_spans UNION ALL SELECT request_id, 'model.inference', began + d, began + d + i FROM timed_spans),
+spans AS (
+  SELECT md5(request_id) AS trace_id, name, CASE WHEN name <> 'transcribe' THEN left(md5(request_id || 'transcribe'), 16) END AS parent_id, stop_us - start_us AS us FROM span_rows)"""
+
+
 def uuid_of(key: str) -> str:
     h = f"sha256({key})"
     return " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
@@ -158,11 +174,20 @@ BUCKETS = ", ".join(f"count_if(decode_s + inference_s <= {b!r}::DOUBLE)::BIGINT
 BUCKET_NAMES = ", ".join(f"le_{str(b).replace('.', '_')}" for b in metrics.REQUEST_BUCKETS)
 WINDOWED = f"windowed AS (SELECT arrival_us // 3600000000 * 3600000000 AS window_start, status, count(*) AS requests, {BUCKETS} FROM facts GROUP BY 1, 2)"
 
-FORMATS = """
-labelled AS (
-  SELECT doc_id AS clip_id, CASE doc_id % 10 WHEN 0 THEN 'wav' WHEN 1 THEN 'mp3' WHEN 2 THEN 'flac' WHEN 3 THEN 'ogg' WHEN 4 THEN 'webm' WHEN 5 THEN 'm4a/mp4' WHEN 6 THEN 'mp3' WHEN 7 THEN 'aac' END AS format,
-    CASE doc_id % 10 WHEN 1 THEN 3 WHEN 5 THEN 8 WHEN 8 THEN 0 WHEN 9 THEN 1 ELSE 4 END + strlen(text) AS length
+CLIPS = """
+clips AS (
+  SELECT doc_id AS clip_id, unhex((['52494646', '494433', '664C6143', '4F676753', '1A45DFA3', '0000000066747970', 'FFFB9000', 'FFF15080', '', '00'])[(doc_id % 10 + 1)::INT]) || encode(text) AS content
   FROM documents)"""
+FORMATS = f"""{CLIPS},
+bytes AS (
+  SELECT clip_id, hex(content) AS h, octet_length(content) AS length, ('0x' || substr(hex(content) || '00', 1, 2))::INT AS b0,
+    ('0x' || substr(hex(content) || '0000', 3, 2))::INT AS b1, ('0x' || substr(hex(content) || '000000', 5, 2))::INT AS b2 FROM clips),
+labelled AS (
+  SELECT clip_id, length, CASE WHEN h LIKE '52494646%' THEN 'wav' WHEN h LIKE '494433%' THEN 'mp3' WHEN h LIKE '664C6143%' THEN 'flac' WHEN h LIKE '4F676753%' THEN 'ogg'
+    WHEN h LIKE '1A45DFA3%' THEN 'webm' WHEN substr(h, 9, 8) = '66747970' THEN 'm4a/mp4' WHEN length < 4 OR b0 <> 255 THEN NULL
+    WHEN b1 & 224 = 224 AND (b1 >> 3) & 3 <> 1 AND (b1 >> 1) & 3 <> 0 AND b2 >> 4 <> 15 AND (b2 >> 2) & 3 <> 3 THEN 'mp3'
+    WHEN b1 & 240 = 240 AND b2 >> 6 <> 3 THEN 'aac' END AS format
+  FROM bytes)"""
 
 OUTCOMES = """
 o AS (
@@ -180,8 +205,16 @@ ORACLE_SQL = {
     "token_intervals": f'WITH {TOKENS} SELECT clip_id, pos, token, ts, start, "end" FROM intervals',
     "build_words": f'WITH {TOKENS}, {TIMING} SELECT clip_id, word_id, word, start, "end" FROM words',
     "build_segments": f'WITH {TOKENS}, {TIMING} SELECT clip_id, id, start, "end", text FROM segments',
+    "build_segments_long": f'WITH {TOKENS}, {TIMING} SELECT clip_id, id, start, "end", text FROM segments',
     "render_srt": f"WITH {TOKENS}, {TIMING} SELECT clip_id, {SRT} AS srt FROM segments GROUP BY clip_id",
     "render_vtt": f"WITH {TOKENS}, {TIMING} SELECT clip_id, {VTT} AS vtt FROM segments GROUP BY clip_id",
+    "render_verbose_json": f"""
+WITH {TOKENS}, {TIMING},
+w AS (SELECT clip_id, string_agg('{{"word":' || to_json(word) || ',"start":' || start || ',"end":' || "end" || '}}', ',' ORDER BY word_id) AS words FROM words GROUP BY clip_id),
+s AS (SELECT clip_id, string_agg('{{"id":' || id || ',"start":' || start || ',"end":' || "end" || ',"text":' || to_json(text) || '}}', ',' ORDER BY id) AS segments FROM segments GROUP BY clip_id)
+SELECT doc_id AS clip_id, '{{' || CASE WHEN n_chars IS NULL THEN '' ELSE '"duration":' || (n_chars::FLOAT / 16::FLOAT)::FLOAT || ',' END || CASE WHEN lang IS NULL THEN '' ELSE '"language":' || to_json(lang) || ',' END
+  || coalesce('"segments":[' || segments || '],', '') || '"task":"transcribe"' || CASE WHEN text IS NULL THEN '' ELSE ',"text":' || to_json(text) END || coalesce(',"words":[' || words || ']', '') || '}}' AS body
+FROM documents d LEFT JOIN w ON w.clip_id = d.doc_id LEFT JOIN s ON s.clip_id = d.doc_id""",
     "render_response": f"""
 WITH {TOKENS}, {TIMING}, r AS (SELECT clip_id, {SRT} AS srt, {VTT} AS vtt FROM segments GROUP BY clip_id),
 k AS (SELECT doc_id, (['json', 'text', 'srt', 'vtt', 'other'])[(doc_id % 5 + 1)::INT] AS response_format FROM documents)
@@ -207,34 +240,51 @@ SELECT clip_id, {TRIMMED} AS text FROM joined""",
 WITH {FACTS}, {OUTCOMES} SELECT event_id, r[1]::INT AS code, CASE WHEN r[1] <> '200' THEN 'invalid_request_error' END AS type, r[2] AS message,
   CASE WHEN r[1] <> '200' THEN '{{"error":{{"message":"' || r[2] || '","type":"invalid_request_error","code":' || r[1] || '}}}}' END AS body FROM m""",
     "payload_outcome": """
-SELECT vec_id AS clip_id, CASE vec_id % 50 WHEN 0 THEN 'empty audio' WHEN 1 THEN 'audio contains non-finite values' WHEN 2 THEN 'samples must be float32 aligned (multiple of 4 bytes)' WHEN 3 THEN 'sample_rate must be positive' END AS error,
-  (CASE vec_id % 50 WHEN 0 THEN 0 WHEN 1 THEN len(embedding) + 1 ELSE len(embedding) END)::INT AS n_samples FROM embeddings""",
+WITH x AS (SELECT vec_id, CASE vec_id % 50 WHEN 0 THEN [] WHEN 1 THEN ['nan'::FLOAT] || embedding ELSE embedding END AS samples, CASE WHEN vec_id % 50 = 3 THEN 0 ELSE 16000 END AS rate, CASE WHEN vec_id % 50 = 2 THEN 1 ELSE 0 END AS extra FROM embeddings),
+p AS (SELECT *, len(samples) * 4 + extra AS length FROM x)
+SELECT vec_id AS clip_id, CASE WHEN length % 4 <> 0 THEN 'samples must be float32 aligned (multiple of 4 bytes)' WHEN length = 0 THEN 'empty audio' WHEN rate <= 0 THEN 'sample_rate must be positive'
+  WHEN length // 4 > 9600000 THEN 'audio exceeds maximum of 600 seconds' WHEN len(list_filter(samples, lambda v: NOT isfinite(v))) > 0 THEN 'audio contains non-finite values' END AS error,
+  len(samples)::INT AS n_samples FROM p""",
     "language_labels": f"WITH {FACTS} SELECT event_id, raw_lang, clean_lang AS lang FROM labelled",
     "request_ids": f"""
 WITH r AS (SELECT doc_id, source, 'path/' || doc_id AS key, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END, ''), nullif(CASE WHEN doc_id % 3 = 1 THEN 'call ' || doc_id ELSE '' END, '')) AS named,
   CASE WHEN doc_id % 7 = 0 THEN '???' ELSE 'clip (' || doc_id || ').wav' END AS name FROM documents)
 SELECT doc_id, coalesce({cleaned("named")}, {uuid_of("key")}) AS request_id, coalesce({cleaned("name")}, {uuid_of("key")}) AS file,
   coalesce(regexp_full_match(CASE WHEN doc_id % 2 = 0 THEN '' ELSE '-' END || source, '[a-zA-Z0-9][a-zA-Z0-9._-]*'), false) AS valid_name FROM r""",
-    "trace_context": f"WITH {FACTS} SELECT event_id, CASE WHEN event_id % 4 > 1 THEN md5(request_id) END AS trace_id, CASE WHEN event_id % 4 > 1 THEN left(md5(event_id::VARCHAR), 16) END AS parent_id FROM facts",
+    "trace_context": f"""
+WITH {FACTS}, t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'bad' WHEN 1 THEN '00-' || repeat('0', 32) || '-' || left(md5(request_id), 16) || '-01' ELSE '00-' || md5(request_id) || '-' || left(md5(event_id::VARCHAR), 16) || '-01' END AS parent FROM facts),
+e AS (SELECT event_id, regexp_extract(parent, '^[0-9a-f]{{2}}-([0-9a-f]{{32}})-([0-9a-f]{{16}})-[0-9a-f]{{2}}$', ['trace', 'span']) AS g FROM t)
+SELECT event_id, CASE WHEN g.trace <> '' AND g.trace <> repeat('0', 32) AND g.span <> repeat('0', 16) THEN g.trace END AS trace_id,
+  CASE WHEN g.trace <> '' AND g.trace <> repeat('0', 32) AND g.span <> repeat('0', 16) THEN g.span END AS parent_id FROM e""",
     "requests_total": f"WITH {FACTS} SELECT status, lang, count(*) AS value FROM tagged GROUP BY status, lang",
     "audio_bytes_total": f"WITH {FACTS} SELECT coalesce(sum(size_bytes), 0)::BIGINT AS value FROM facts WHERE status = 200",
     **{name: f"WITH {FACTS}, {sql}" for name, sql in HISTOGRAMS.items()},
     "in_progress_over_time": f"WITH {FACTS}, {GAUGES} SELECT at_us, level FROM busy_level",
     "queued_over_time": f"WITH {FACTS}, {GAUGES} SELECT at_us, level FROM waiting_level",
-    "overload_report": f"""
-WITH {FACTS}, {GAUGES}, {OVERLOAD} SELECT window_start, requests, rejected, timed_out, peak_in_progress, peak_queued, coalesce(peak_in_progress, 0) > 4 OR coalesce(peak_queued, 0) > 8 AS over_limit
-FROM counts LEFT JOIN busy_peak USING (window_start) LEFT JOIN waiting_peak USING (window_start)""",
+    "overload_report": f"WITH {FACTS}, {GAUGES}, {OVERLOAD} SELECT *, peak_in_progress > 4 OR peak_queued > 8 AS over_limit FROM peaks",
+    "union_metrics": f"""
+WITH {FACTS}, {GAUGES}, {", ".join(f"h{i} AS (WITH {h})" for i, h in enumerate(HISTOGRAMS.values()))}
+SELECT 'requests_total' AS name, '{{"status":"' || status || '","lang":"' || lang || '"}}' AS labels, NULL AS le, count(*)::DOUBLE AS value FROM tagged GROUP BY status, lang
+UNION ALL SELECT 'audio_bytes_total', NULL, NULL, coalesce(sum(size_bytes), 0)::DOUBLE FROM facts WHERE status = 200
+{" ".join(f"UNION ALL SELECT name, NULL, le, value FROM h{i}" for i in range(len(HISTOGRAMS)))}
+UNION ALL SELECT 'requests_in_progress', NULL, NULL, arg_max(level, at_us)::DOUBLE FROM busy_level
+UNION ALL SELECT 'requests_queued', NULL, NULL, arg_max(level, at_us)::DOUBLE FROM waiting_level
+UNION ALL SELECT 'model_info', '{{"name":"models","provider":"cpu","threads":"4"}}', NULL, 1
+UNION ALL SELECT 'build_info', '{{"version":"dev","commit":"none","build_time":"unknown"}}', NULL, 1""",
     **{f"log_records_{f}": f"WITH {FACTS}, {LOGS} SELECT * FROM logged" for f in ("json", "text", "journal")},
     "log_warnings": f"WITH {FACTS}, {LOGS} SELECT request_id, level, status, NULL::VARCHAR AS lang FROM logged WHERE level <> 'INFO'",
     "log_span_breakdown": f"""
-WITH {FACTS}, s AS (SELECT md5(request_id) AS trace_id, {_micros("decode_s")} AS decode_us, {_micros("inference_s")} AS inference_us FROM facts WHERE status <> 429)
-SELECT trace_id, decode_us + inference_us + 1000 AS total_us, decode_us, inference_us, 1000::BIGINT AS other_us FROM s""",
-    "logs_with_spans": f"WITH {FACTS} SELECT request_id, md5(request_id) AS trace_id, {_micros('decode_s')} + {_micros('inference_s')} + 1000 AS root_us FROM facts WHERE status <> 429",
+WITH {FACTS}, {SPANS}, g AS (
+  SELECT trace_id, max(us) FILTER (name = 'transcribe') AS total_us, coalesce(sum(us) FILTER (name = 'audio.decode'), 0)::BIGINT AS decode_us,
+    coalesce(sum(us) FILTER (name = 'model.inference'), 0)::BIGINT AS inference_us FROM spans GROUP BY trace_id)
+SELECT *, total_us - decode_us - inference_us AS other_us FROM g""",
+    "logs_with_spans": f"""
+WITH {FACTS}, {LOGS}, {SPANS} SELECT l.request_id, l.trace_id, s.us AS root_us FROM logged l LEFT JOIN spans s ON s.trace_id = l.trace_id AND s.parent_id IS NULL""",
     "feature_norm_torch": feature_norm("stddev_samp"),
     "feature_norm_tdt": feature_norm("stddev_pop"),
     "pad_frames": f"""
 WITH {FRAMES}, n AS (SELECT clip_id, count(*) AS n FROM frames GROUP BY clip_id), g AS (SELECT clip_id, n, unnest(range(256))::INT AS frame FROM n)
-SELECT clip_id, frame, coalesce(logits[1], 0)::DOUBLE AS first, least(n, 256)::INT AS n_valid, n > 256 AS truncated FROM g LEFT JOIN frames USING (clip_id, frame)""",
+SELECT clip_id, frame, bin, coalesce(logits[bin + 1], 0)::DOUBLE AS value, least(n, 256)::INT AS n_valid, n > 256 AS truncated FROM g LEFT JOIN frames USING (clip_id, frame), (SELECT unnest(range(64))::INT AS bin)""",
     "frame_counts": "SELECT doc_id AS clip_id, (CASE WHEN strlen(text) // 2 < 400 THEN 1 ELSE 1 + strlen(text) // 2 // 160 END)::INT AS frames FROM documents WHERE text IS NOT NULL",
     "echo_transcribe": """
 SELECT vec_id AS clip_id, CASE WHEN vec_id % 50 = 0 THEN '' ELSE '[echo] ' || len(embedding) || ' samples at 16000Hz, ' || printf('%.1f', len(embedding) / 16000) || 's' END AS text,
@@ -243,8 +293,13 @@ SELECT vec_id AS clip_id, CASE WHEN vec_id % 50 = 0 THEN '' ELSE '[echo] ' || le
 SELECT vec_id AS clip_id, CASE WHEN vec_id % 50 = 0 THEN '' ELSE '[echo] ' || len(embedding) || ' samples at 16000Hz, ' || printf('%.1f', len(embedding) / 16000) || 's' END AS text,
   CASE WHEN vec_id % 50 = 0 THEN '' ELSE 'en' END AS language, (CASE WHEN vec_id % 50 = 0 THEN 0 ELSE len(embedding) / 16000 END)::FLOAT::DOUBLE AS duration FROM embeddings""",
     "model_type_of": f"""
-WITH {MODELS} SELECT DISTINCT model_dir, CASE s_suppkey % 7 WHEN 0 THEN 'nemo_transducer' WHEN 1 THEN 'whisper' WHEN 2 THEN 'nemo_ctc' WHEN 3 THEN 'sense_voice' WHEN 4 THEN 'paraformer' WHEN 6 THEN 'nemo_ctc' END AS model_type,
-  CASE s_suppkey % 7 WHEN 0 THEN 'encoder.int8.onnx' WHEN 1 THEN 'encoder.onnx' END AS encoder, CASE WHEN s_suppkey % 7 = 3 THEN 'model.int8.onnx' WHEN s_suppkey % 7 > 1 THEN 'model.onnx' END AS model FROM inventory""",
+WITH {MODELS}, h AS (
+  SELECT model_dir, bool_or(file = 'tokens.txt') AS tokens, {", ".join(f"bool_or(file IN ('{x}.onnx', '{x}.int8.onnx')) AS {x}" for x in ("encoder", "decoder", "joiner", "model"))},
+    min(file) FILTER (file = 'encoder.int8.onnx') AS small_encoder, min(file) FILTER (file = 'encoder.onnx') AS full_encoder,
+    min(file) FILTER (file = 'model.int8.onnx') AS small_model, min(file) FILTER (file = 'model.onnx') AS full_model FROM inventory GROUP BY model_dir)
+SELECT model_dir, CASE WHEN NOT tokens THEN NULL WHEN encoder AND decoder AND joiner THEN 'nemo_transducer' WHEN encoder AND decoder THEN 'whisper'
+  WHEN model AND regexp_matches(model_dir, 'sense_voice|sensevoice|SenseVoice') THEN 'sense_voice' WHEN model AND regexp_matches(model_dir, 'paraformer|Paraformer') THEN 'paraformer'
+  WHEN model THEN 'nemo_ctc' END AS model_type, coalesce(small_encoder, full_encoder) AS encoder, coalesce(small_model, full_model) AS model FROM h""",
     "model_integrity": f"""
 WITH {MODELS}, r AS (
   SELECT model_dir, CASE WHEN max(length) FILTER (file = 'tokens.txt') IS NULL THEN 'tokens.txt not found' WHEN max(length) FILTER (file = 'tokens.txt') = 0 THEN 'tokens.txt is empty'
@@ -253,8 +308,20 @@ WITH {MODELS}, r AS (
     WHEN count(*) FILTER (file LIKE '%.onnx') = 0 THEN 'no ONNX model files found' END AS reason
   FROM inventory GROUP BY model_dir)
 SELECT model_dir, reason IS NULL AS ok, reason FROM r""",
-    "checksum_status": f"WITH {MODELS} SELECT model_dir, file, CASE s_suppkey % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'mismatch' ELSE 'unpinned' END AS status FROM inventory",
-    "pending_clips": "SELECT 'clip/' || doc_id AS path, doc_id FROM documents WHERE doc_id % 2 <> 0 OR doc_id % 6 = 0",
+    "checksum_status": f"""
+WITH {MODELS}, sums AS (SELECT s_suppkey, model_dir, file, sha256(model_dir || '/' || file) AS sum FROM inventory),
+pins AS (SELECT model_dir, file, CASE WHEN s_suppkey % 3 = 0 THEN upper(sum) ELSE sha256('other') END AS pin FROM sums WHERE s_suppkey % 3 < 2)
+SELECT model_dir, file, CASE WHEN pin IS NULL THEN 'unpinned' WHEN lower(pin) = lower(sum) THEN 'match' ELSE 'mismatch' END AS status FROM sums LEFT JOIN pins USING (model_dir, file)""",
+    "artifact_checksum": f"WITH {CLIPS} SELECT 'documents' AS model_dir, clip_id::VARCHAR AS file, sha256(content) AS sha256 FROM clips",
+    "pcm16_to_float": """
+WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, h, unnest(range(length(h) // 4))::INT AS pos FROM h),
+v AS (SELECT doc_id, pos, ('0x' || substr(h, pos * 4 + 3, 2) || substr(h, pos * 4 + 1, 2))::INT AS u FROM s)
+SELECT doc_id AS clip_id, pos, ((CASE WHEN u >= 32768 THEN u - 65536 ELSE u END)::FLOAT / 32767::FLOAT)::DOUBLE AS value FROM v""",
+    "pending_clips": """
+WITH corpus AS (SELECT 'clip/' || doc_id AS path, n_chars AS version, doc_id FROM documents),
+done AS (SELECT path, version - CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS version FROM corpus WHERE doc_id % 2 = 0)
+SELECT path, doc_id FROM corpus ANTI JOIN done USING (path, version)""",
     "attach_manifest": """
 WITH m AS (SELECT 'clip/' || (doc_id + CASE WHEN quality = 0 THEN 1000000000 ELSE 0 END) AS path FROM labels), c AS (SELECT 'clip/' || doc_id AS path, n_chars, true AS there FROM documents)
 SELECT path, n_chars, coalesce(there, false) AS has_file FROM m LEFT JOIN c USING (path)""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auricle.functions.labels import LANGUAGES
-from auricle.operators import features
+from auricle.operators import features, timing
 
 #: Language values of request facts: the known codes, and three that are not.
 FACT_LANGUAGES = (*LANGUAGES, "unknown", "xx", "")
@@ -17,12 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each document in pieces of four characters, the first with a leading space, 80 ms apart."""
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result per document: its words in pieces of four characters, the first with a leading space, 80 ms apart."""
     pieces = """flatten(transform(filter(split(text, '[ \\t\\n\\r]+'), x -> x <> ''),
         w -> transform(sequence(0, int((length(w) - 1) div 4)), i -> concat(if(i = 0, ' ', ''), substr(w, i * 4 + 1, 4)))))"""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.posexplode(F.expr(pieces)).alias("pos", "token"))
-    return rows.withColumn("ts", (F.col("pos") * F.lit(0.08)).cast("float"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.expr(pieces).alias("tokens"))
+    return rows.withColumn("timestamps", F.transform("tokens", lambda _, i: (i * F.lit(0.08)).cast("float")))
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in long form, a token a row."""
+    return timing.explode_tokens(results(spark, sf_dir))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +56,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text bytes as 16-bit PCM: a waveform per document."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.lit(16_000).alias("sample_rate"), F.col("text").cast("binary").alias("pcm"))
-    return features.pcm16_to_float(rows)
+    """Text bytes as 16-bit PCM, packed: a waveform per document."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.lit(16_000).alias("sample_rate"), F.col("text").cast("binary").alias("pcm"))
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:

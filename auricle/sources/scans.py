@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from auricle import schemas
 
+# White space that parts fields, and control characters taken out of tokens.
+WHITE = "[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]"
 LINE_FIELD = r'([A-Za-z_][A-Za-z0-9_.-]*)=("(?:[^"\\]|\\.)*"|[^ "]*)'
 
 
@@ -28,20 +31,24 @@ def scan_spans(spark: SparkSession, path: str, format: str = "json") -> DataFram
 
 
 def scan_vocab_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Vocabulary with id = line number (from 0); the first field of each line, control characters removed.
+    """Vocabulary with id = line number (from 0); the first field of each line by white space of any kind, control characters then removed.
 
     Blank lines keep their id with an empty token. One file is one row, as a vocabulary is small.
     """
-    text = F.regexp_replace("value", "\r", "")
+    text = F.regexp_replace("value", "\r\n?", "\n")
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace(text, "\n$", ""), "\n")).alias("token_id", "line"))
-    clean = F.regexp_replace(F.col("line"), "[\\x00-\\x08\\x0B-\\x1F\\x7F]", "")
-    return lines.select("token_id", F.element_at(F.split(F.regexp_replace(clean, "^[ \\t]+", ""), "[ \\t]+"), 1).alias("token"))
+    return lines.select("token_id", F.regexp_replace(F.get(fields("line"), F.lit(0)), CONTROL, "").alias("token"))
+
+
+def fields(line: str) -> F.Column:
+    """Fields of a line by white space of any kind."""
+    return F.split(F.regexp_replace(line, f"^{WHITE}+", ""), f"{WHITE}+")
 
 
 def scan_vocab_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Vocabulary of ``token id`` lines; lines with under two fields are skipped."""
-    fields = F.split(F.trim("value"), "\\s+")
-    rows = spark.read.text(path).select(fields.alias("f")).where(F.size("f") >= 2)
+    trimmed = spark.read.text(path).select(F.regexp_replace("value", f"{WHITE}+$", "").alias("value"))
+    rows = trimmed.select(fields("value").alias("f")).where(F.size("f") >= 2)
     return rows.select(F.get("f", F.lit(1)).try_cast("int").alias("token_id"), F.get("f", F.lit(0)).alias("token")).where("token_id is not null")
 
 

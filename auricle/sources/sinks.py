@@ -11,8 +11,9 @@ from auricle.functions.labels import sanitize_lang
 def write_transcripts(df: DataFrame, path: str, mode: str = "append") -> None:
     """Transcripts as Parquet by sanitized language (27 values at most) and ingest date.
 
-    ``df`` has ``language``; ``ingest_date`` is added as today where missing. Rows are dealt by
-    language, date and a salt, so the folders get few files and a common language many writers.
+    ``df`` has ``language``, and whatever else is to be stored with the text: the arrays words and segments, a rendered body.
+    ``ingest_date`` is added as today where missing. Rows are rebalanced by language and date, so folders get
+    few files, while Spark splits a common language among many writers.
     """
     dated = df if "ingest_date" in df.columns else df.withColumn("ingest_date", F.current_date())
     labelled = dated.withColumn("lang", sanitize_lang(F.col("language")))

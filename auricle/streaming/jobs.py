@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from auricle import schemas
-from auricle.operators import intake, metrics
+from auricle.operators import features, intake, metrics
 from auricle.schemas import Limits
 
 
@@ -22,14 +22,17 @@ def stream_request_facts(spark: SparkSession, path: str, format: str = "parquet"
 
 
 def stream_intake(clips: DataFrame, valid_path: str, reject_path: str, checkpoint: str, limits: Limits | None = None) -> StreamingQuery:
-    """Gates arriving clips (with ``n_samples``) and writes each batch's valid rows and rejects under ``batch=<id>``.
+    """Gates arriving clips and writes each batch's valid rows and rejects under ``batch=<id>``.
+
+    Clips without a column ``n_samples`` get it from their own content, where that is WAV; others count as not decoded.
 
     A batch that is run again after a failure overwrites its own folders, so each clip ends up in
     one of the two exactly once.
     """
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        gated = intake.gate(intake.with_format(batch), limits).persist()
+        counted = batch if "n_samples" in batch.columns else features.count_wav_samples(batch)
+        gated = intake.gate(intake.with_format(counted), limits).persist()
         try:
             valid, rejects = intake.split_by_outcome(gated)
             valid.drop("outcome").write.mode("overwrite").parquet(f"{valid_path}/batch={batch_id}")

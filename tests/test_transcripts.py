@@ -88,6 +88,48 @@ def test_one_exchange(spark, data_dir):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def plain(rows):
+    return None if rows is None else [tuple(r) for r in rows]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.lists(st.sampled_from([" a", "b", ".", " ", "\t", " c!", "?", "▁d", "　", " e　", None, "\x1c"]), max_size=60), st.integers(-3, 3)), min_size=1, max_size=6), st.booleans())
+def test_row_timing_is_the_long_form(spark, clips, strict):
+    """Words and segments row by row are those of the long form, whatever the lengths of both arrays."""
+    rows = [(c, "", "", 0.0, 0, tokens, [0.08 * i for i in range(max(0, len(tokens) + more))]) for c, (tokens, more) in enumerate(clips)]
+    results = spark.createDataFrame([*rows, (99, "", "", 0.0, 0, None, None)], schemas.RESULTS)
+    intervals = timing.token_intervals(timing.explode_tokens(results, strict))
+    words = timing.build_words(intervals)
+    got = timing.with_timing(results, strict)
+    assert sorted(map(tuple, timing.words_of(got).collect())) == sorted(map(tuple, words.collect()))
+    assert sorted(map(tuple, timing.segments_of(got).collect())) == sorted(map(tuple, timing.build_segments(words).collect()))
+    assert sorted(map(tuple, timing.timed_tokens(results, strict).select("clip_id", "pos", "token", "start", "end").collect())) == sorted(map(tuple, intervals.select("clip_id", "pos", "token", "start", "end").collect()))
+    nested = timing.nest_timing(results.select("clip_id"), words, timing.build_segments(words))
+    assert sorted((r.clip_id, plain(r.words), plain(r.segments)) for r in got.collect()) == sorted((r.clip_id, plain(r.words), plain(r.segments)) for r in nested.collect())
+
+
+@pytest.mark.parametrize("name", ["token_intervals", "build_words", "build_segments", "render_srt", "render_vtt"])
+def test_no_exchange(spark, data_dir, name):
+    from auricle.plans import queries
+
+    assert "Exchange" not in queries.QUERIES[name](spark, data_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_verbose_json(spark):
+    import json
+
+    tokens, stamps = [" Hello", " wor", "ld.", " Bye"], [0.0, 0.32, 0.4, 1.0]
+    rows = spark.createDataFrame([(1, "Hello world. Bye", "en", 1.5, 0, tokens, stamps), (2, "", "", 0.0, 0, [], [])], schemas.RESULTS).withColumn("response_format", F.lit("verbose_json"))
+    bodies = {r.clip_id: json.loads(r.body) for r in render.render_response(timing.with_timing(rows)).collect()}
+    at = [float(np.float32(x)) for x in stamps]
+    assert bodies[1] == {
+        "task": "transcribe", "text": "Hello world. Bye", "language": "en", "duration": 1.5,
+        "words": [{"word": "Hello", "start": 0.0, "end": at[1]}, {"word": "world.", "start": at[1], "end": at[3]}, {"word": "Bye", "start": 1.0, "end": 1.1}],
+        "segments": [{"id": 0, "start": 0.0, "end": 1.0, "text": "Hello world."}, {"id": 1, "start": 1.0, "end": 1.1, "text": "Bye"}],
+    }
+    assert bodies[2] == {"task": "transcribe", "text": "", "language": "", "duration": 0.0}
+
+
 def test_explode_tokens(spark):
     rows = spark.createDataFrame([(1, "", "", 0.0, 0, ["▁a", "b"], [0.0, 0.1, 0.2]), (2, "", "", 0.0, 0, ["x", "y", "z"], [0.0]), (3, "", "", 0.0, 0, [], [0.0]), (4, "", "", 0.0, 0, None, None)], schemas.RESULTS)
     got = timing.token_intervals(timing.explode_tokens(rows)).orderBy("clip_id", "pos").collect()
@@ -235,6 +277,70 @@ def test_engines(spark):
         engines.engine("none")
 
 
+def test_registry(spark):
+    frames = spark.createDataFrame([(1, i, [float(k == t) for k in range(3)]) for i, t in enumerate([1, 1, 0, 2])], schemas.FRAMES)
+    vocabulary = spark.createDataFrame([(0, "<blk>"), (1, "▁a"), (2, "b")], schemas.VOCABULARY)
+    got = engines.transcribe(frames, engines.engine("ctc", vocabulary=vocabulary, blank_id=0)).first()
+    assert (got.text, got.tokens, got.error) == ("ab", ["▁a", "b"], None)
+
+    class Own(engines.EchoEngine):
+        def __init__(self, word="x"):
+            self.word = word
+
+        def transcribe(self, samples, sample_rate):
+            return {"text": self.word}
+
+    engines.register("own", lambda word: lambda: Own(word))
+    try:
+        df = spark.createDataFrame([(1, 16_000, [0.0]), (2, 16_000, None)], schemas.SAMPLES)
+        assert sorted(r.text for r in engines.transcribe(df, engines.engine("own", word="hi")).collect()) == ["", "hi"]
+        with pytest.raises(ValueError):
+            engines.register("own", lambda: Own)
+    finally:
+        del engines.REGISTRY["own"]
+
+
+def test_detokenize_variants(spark):
+    ids = spark.createDataFrame([(1, 0, 1), (1, 1, 9), (1, 2, 2)], "clip_id bigint, pos int, token_id int")
+    vocabulary = spark.createDataFrame([(1, "▁a"), (2, "▁b")], schemas.VOCABULARY)
+    assert decode.detokenize(decode.lookup_tokens(ids, vocabulary)).first().text == "a<unk> b"
+    assert decode.detokenize(decode.lookup_tokens(ids, vocabulary, "")).first().text == "a b"
+    rows = spark.createDataFrame([(["▁a", None, "▁b"],), ([],), (None,)], "tokens array<string>")
+    assert [r[0] for r in rows.select(decode.detokenize_array("tokens")).collect()] == ["a b", "", None]
+
+
+def test_filterbank_by_hand():
+    """Triangles worked out bin by bin."""
+    bank, n = features.mel_filterbank(4, 16_000, 32), 17
+    mel = lambda hz: 2595 * np.log10(1 + hz / 700)
+    edges = [700 * (10 ** (mel(8_000) * i / 5 / 2595) - 1) for i in range(6)]
+    for m in range(4):
+        low, mid, high = edges[m : m + 3]
+        for k in range(n):
+            hz = 500 * k
+            up, down = (hz - low) / (mid - low), (high - hz) / (high - mid)
+            assert bank[m, k] == pytest.approx(max(0.0, min(up, down)) / (high - low), abs=1e-9)
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"path":"a.wav","filename":"a","language":"de","response_format":"srt","request_id":"r","odd":1}\n{"path":"b.wav"}\n')
+    assert {(r.path, r.language, r.litellm_call_id) for r in scans.scan_manifest(spark, str(tmp_path / "m.json")).collect()} == {("a.wav", "de", None), ("b.wav", None, None)}
+    results = spark.createDataFrame([(1, "t", "de", 1.0, 5, ["▁a"], [0.0])], schemas.RESULTS)
+    results.write.parquet(str(tmp_path / "results"))
+    assert scans.scan_results(spark, str(tmp_path / "results")).collect() == results.collect()
+    (tmp_path / "s.json").write_text('{"trace_id":"t","span_id":"s","name":"transcribe","start_ts":"2024-01-01T00:00:00Z","end_ts":"2024-01-01T00:00:02Z"}\n{"trace_id":"t","span_id":"x","parent_id":"s","name":"audio.decode","start_ts":"2024-01-01T00:00:00Z","end_ts":"2024-01-01T00:00:01Z"}\n')
+    got = logs.span_breakdown(scans.scan_spans(spark, str(tmp_path / "s.json"))).first()
+    assert (got.total_us, got.decode_us, got.inference_us, got.other_us) == (2_000_000, 1_000_000, 0, 1_000_000)
+
+
+def test_odd_white_space_in_vocabularies(spark, tmp_path):
+    (tmp_path / "lines.txt").write_bytes("a\x85 1\nb\xa0c 2\nd\x0be 3\r\n\x1cf\x7f\n \t\n\x00g\x9f x\rh\n".encode())
+    got = [(r.token_id, r.token) for r in scans.scan_vocab_lines(spark, str(tmp_path / "lines.txt")).orderBy("token_id").collect()]
+    assert got == [(0, "a"), (1, "b"), (2, "d"), (3, "f"), (4, ""), (5, "g"), (6, "h")]
+    (tmp_path / "pairs.txt").write_bytes("\ta 5\n\xa0b\u30006\x85\nlonely\t\nc\td 1\n".encode())
+    assert sorted((r.token_id, r.token) for r in scans.scan_vocab_pairs(spark, str(tmp_path / "pairs.txt")).collect()) == [(5, "a"), (6, "b")]
+
+
 def test_vocabularies(spark, tmp_path):
     (tmp_path / "lines.txt").write_text("a 1\n\n\x01b\n<blk>\n")
     (tmp_path / "pairs.txt").write_text("a 0\nlonely\nb 1\n")
@@ -281,10 +387,34 @@ def test_gauge_and_histogram(spark):
     assert none["h_sum", None] == 0 and none["h_bucket", "+Inf"] == 0
 
 
+def test_overload_carries_levels(spark):
+    """A request open over days counts in each, with or without arrivals there."""
+    rows = [("r1", "2024-01-01 23:00:00", 3 * 86_400.0, 200), ("r2", "2024-01-05 01:00:00", 60.0, 429)]
+    facts = spark.createDataFrame(rows, "request_id string, at string, inference_s double, status int")
+    facts = facts.select("request_id", F.col("at").cast("timestamp").alias("arrival"), F.lit(0.0).alias("queue_s"), F.lit(0.0).alias("decode_s"), "inference_s", "status")
+    got = [(str(r.window_start)[:10], r.requests, r.rejected, r.peak_in_progress) for r in metrics.overload_report(facts).orderBy("window_start").collect()]
+    assert got == [("2024-01-01", 1, 0, 1), ("2024-01-02", 0, 0, 1), ("2024-01-03", 0, 0, 1), ("2024-01-04", 0, 0, 1), ("2024-01-05", 1, 1, 0)]
+    assert metrics.overload_report(facts.limit(0)).count() == 0
+
+
+def test_histograms_in_one_pass(spark, data_dir):
+    from auricle.plans import views
+
+    facts = views.facts(spark, data_dir)
+    one = {(r.name, r.le): r.value for r in metrics.histograms(facts).collect()}
+    each = {(r.name, r.le): r.value for h in (metrics.request_duration, metrics.decode_duration, metrics.inference_duration, metrics.audio_duration) for r in h(facts).collect()}
+    assert one.pop(("audio_bytes_total", None)) == metrics.audio_bytes_total(facts).first().value
+    assert one == pytest.approx(each)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "de", "a"), (2, "xx", "b")], "clip_id bigint, language string, text string")
     write_transcripts(df, str(tmp_path / "t"))
     assert {r.lang for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {"de", "other"}
+    timed = timing.with_timing(spark.createDataFrame([(1, "a", "de", 1.0, 0, [" a"], [0.0])], schemas.RESULTS)).withColumn("body", render.srt(F.col("segments")))
+    write_transcripts(timed, str(tmp_path / "w"))
+    stored = spark.read.parquet(str(tmp_path / "w")).first()
+    assert stored.words[0].word == "a" and stored.segments[0].text == "a" and stored.body.startswith("1\n00:00:00,000")
     _, rejects = intake.split_by_outcome(intake.gate(spark.createDataFrame([(1, 10, "wav", 5), (2, 10, "wav", 9_600_001)], "clip_id int, length bigint, format string, n_samples bigint")))
     write_rejects(rejects, str(tmp_path / "r"))
     assert {r.code for r in spark.read.parquet(str(tmp_path / "r")).collect()} == {400, 413}
@@ -297,6 +427,9 @@ def test_streams(spark, tmp_path):
     clips = jobs.stream_audio_corpus(spark, str(tmp_path / "in")).withColumn("n_samples", F.floor((F.col("length") - 44) / 2))
     jobs.stream_intake(clips, str(tmp_path / "ok"), str(tmp_path / "no"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ok")).count() == 1 and spark.read.parquet(str(tmp_path / "no")).count() == 1
+    raw = jobs.stream_audio_corpus(spark, str(tmp_path / "in"))
+    jobs.stream_intake(raw, str(tmp_path / "ok2"), str(tmp_path / "no2"), str(tmp_path / "cp2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "ok2")).first().n_samples == 2_000 and spark.read.parquet(str(tmp_path / "no2")).count() == 1
     facts = spark.createDataFrame([("r1", "2024-01-01 00:00:00", 200), ("r2", "2024-01-01 05:00:00", 400)], "request_id string, at string, status int")
     full = facts.select("request_id", F.col("at").cast("timestamp").alias("arrival"), *(F.lit(0.1).alias(c) for c in ("queue_s", "decode_s", "inference_s", "duration_s")), F.lit(1).cast("bigint").alias("size_bytes"), F.lit(1).cast("bigint").alias("n_samples"), F.lit("de").alias("model_lang"), F.lit("").alias("hint"), "status")
     full.write.parquet(str(tmp_path / "facts"))
