@@ -1 +1 @@
-"""Speech-transcript data engine on PySpark, with a text-corpus toolkit in ``auricle.llm``."""
+"""Speech-transcript data engine on PySpark."""
