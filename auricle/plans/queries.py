@@ -170,7 +170,7 @@ def feature_norm(flavor: str):
 
 
 def pad_frames(spark: SparkSession, d: str) -> DataFrame:
-    padded = features.pad_to_length(views.frames(spark, d).withColumnRenamed("logits", "mel"), 256, 64)
+    padded = features.pad_to_length(views.frames(spark, d).withColumnRenamed("logits", "mel"), views.PADDED, 64)
     return padded.select("clip_id", "frame", F.posexplode("mel").alias("bin", "value"), "n_valid", "truncated").withColumn("value", F.col("value").cast("double"))
 
 

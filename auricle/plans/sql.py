@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from auricle.operators import metrics
-from auricle.plans.views import FACT_LANGUAGES
+from auricle.plans.views import CLIP_FACTOR, CLIP_IDS, FACT_LANGUAGES, PADDED
 
 #: White space as Unicode counts it, for both ends of a token.
 SPACE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -53,9 +53,10 @@ def block(sign: str) -> str:
 SRT = f"""string_agg((id + 1)::VARCHAR || chr(10) || {block(",")}, '' ORDER BY id)"""
 VTT = f"""'WEBVTT' || chr(10) || chr(10) || string_agg({block(".")}, '' ORDER BY id)"""
 
-FRAMES = """
+FRAMES = f"""
+clipped AS (SELECT label::BIGINT * {CLIP_FACTOR} + vec_id // {CLIP_IDS} AS clip_id, vec_id, embedding FROM embeddings),
 frames AS (
-  SELECT label::BIGINT AS clip_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS frame, embedding AS logits FROM embeddings),
+  SELECT clip_id, (row_number() OVER (PARTITION BY clip_id ORDER BY vec_id) - 1)::INT AS frame, embedding AS logits FROM clipped),
 ids AS (SELECT clip_id, frame, (list_position(logits, list_max(logits)) - 1)::INT AS token_id FROM frames),
 lagged AS (SELECT *, lag(token_id) OVER (PARTITION BY clip_id ORDER BY frame) AS previous FROM ids),
 collapsed AS (
@@ -283,8 +284,8 @@ WITH {FACTS}, {LOGS}, {SPANS} SELECT l.request_id, l.trace_id, s.us AS root_us F
     "feature_norm_torch": feature_norm("stddev_samp"),
     "feature_norm_tdt": feature_norm("stddev_pop"),
     "pad_frames": f"""
-WITH {FRAMES}, n AS (SELECT clip_id, count(*) AS n FROM frames GROUP BY clip_id), g AS (SELECT clip_id, n, unnest(range(256))::INT AS frame FROM n)
-SELECT clip_id, frame, bin, coalesce(logits[bin + 1], 0)::DOUBLE AS value, least(n, 256)::INT AS n_valid, n > 256 AS truncated FROM g LEFT JOIN frames USING (clip_id, frame), (SELECT unnest(range(64))::INT AS bin)""",
+WITH {FRAMES}, n AS (SELECT clip_id, count(*) AS n FROM frames GROUP BY clip_id), g AS (SELECT clip_id, n, unnest(range({PADDED}))::INT AS frame FROM n)
+SELECT clip_id, frame, bin, coalesce(logits[bin + 1], 0)::DOUBLE AS value, least(n, {PADDED})::INT AS n_valid, n > {PADDED} AS truncated FROM g LEFT JOIN frames USING (clip_id, frame), (SELECT unnest(range(64))::INT AS bin)""",
     "frame_counts": "SELECT doc_id AS clip_id, (CASE WHEN strlen(text) // 2 < 400 THEN 1 ELSE 1 + strlen(text) // 2 // 160 END)::INT AS frames FROM documents WHERE text IS NOT NULL",
     "echo_transcribe": """
 SELECT vec_id AS clip_id, CASE WHEN vec_id % 50 = 0 THEN '' ELSE '[echo] ' || len(embedding) || ' samples at 16000Hz, ' || printf('%.1f', len(embedding) / 16000) || 's' END AS text,

@@ -11,6 +11,9 @@ from auricle.operators import features, timing
 #: Language values of request facts: the known codes, and three that are not.
 FACT_LANGUAGES = (*LANGUAGES, "unknown", "xx", "")
 BLANK_ID = 63
+CLIP_IDS, CLIP_FACTOR = 400, 1_000_000_000
+#: Frames that clips are padded or cut to.
+PADDED = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +34,11 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as logits: a label is a clip, its vectors in order of id are frames."""
-    rows = table(spark, sf_dir, "embeddings")
-    number = F.row_number().over(features.Window.partitionBy("label").orderBy("vec_id")) - 1
-    return rows.select(F.col("label").cast("bigint").alias("clip_id"), number.cast("int").alias("frame"), F.col("embedding").alias("logits"))
+    """Embeddings as logits: a label's vectors among CLIP_IDS successive ids are a clip's frames, in order of id, so clips stay short."""
+    clip = F.col("label").cast("bigint") * CLIP_FACTOR + F.expr(f"vec_id div {CLIP_IDS}")
+    rows = table(spark, sf_dir, "embeddings").select(clip.alias("clip_id"), "vec_id", "embedding")
+    number = F.row_number().over(features.Window.partitionBy("clip_id").orderBy("vec_id")) - 1
+    return rows.select("clip_id", number.cast("int").alias("frame"), F.col("embedding").alias("logits"))
 
 
 def frame_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
