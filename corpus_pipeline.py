@@ -1,4 +1,10 @@
-"""Corpus pipeline: toxicity, near-duplicates, personal data, mixing, tokenization."""
+"""Corpus pipeline: toxicity, near-duplicates, personal data, mixing, tokenization.
+
+Every stage works on all rows it is given. Null and empty texts are ordinary documents, of one group in the
+near-copy stage; null ids, sources and other columns pass through; rows repeated in full are copies
+of each other; texts of any length are read whole; an empty table stays empty. Further columns of any
+name are kept as they are, but for ids and n_ids, which the last stage gives.
+"""
 
 from __future__ import annotations
 
@@ -14,33 +20,34 @@ TILT = (4, 3, 3)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that score THRESHOLD or more."""
+    """Rejects documents that score THRESHOLD or more; without confirmed toxic labels none is rejected."""
     model = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = fresh(docs, "score")
     return toxicity.score_documents(spark, docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
+    """Keeps one document of each near-duplicate group: that of smallest (doc_id, text hash), nulls last. Ties are rows repeated in full, of which one stays."""
     return simhash.one_per_group(spark, docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind."""
+    """Replaces personal data by its kind, and n_chars to match; texts without any stay as they are."""
     return pii.redact_personal_data(spark, docs)
 
 
 def tilted(sources: DataFrame) -> DataFrame:
+    """(key, size) with weight: the size times TILT, so that every source is taken once to twice."""
     return mixing.repeating_weights(sources, TILT).withColumn("weight", F.col("weight") * F.greatest(F.col("size"), F.lit(1)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that the sources come near their target weights."""
+    """Repeats documents so that the sources come near their target weights. Each is taken once or twice; null sources are one source; rows equal in id and text are taken alike."""
     return mixing.mix_documents(spark, docs, tilted)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document: the columns of documents without the text, n_ids, ids."""
+    """Token ids of every document: the columns of documents without the text, n_ids, ids (columns of these names are replaced). Null and empty texts give no ids."""
     return unigram.encode_documents(spark, docs)
 
 
