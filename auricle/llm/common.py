@@ -34,13 +34,13 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """``df`` as a written table. Spark removes the shuffle files of the job that writes it when it is done."""
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.parquet(path, compression=compression)
         finally:
             self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -87,13 +87,16 @@ def hot_keys(counts: DataFrame, key: str) -> list:
 
 
 def spread_join(rows: DataFrame, few: DataFrame, key: str, hot: list, by: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``few`` (a row a key) on ``key``; the rows of hot keys are dealt over SALTS parts by the columns ``by``."""
+    """``rows`` joined with ``few`` (a row a key) on ``key``; the rows of hot keys are dealt over SALTS parts by the columns ``by``.
+
+    ``few`` is the side to hash, as its keys are distinct and so spread evenly; ``rows`` need no sort then.
+    """
     if not hot:
-        return rows.join(few, key, how)
+        return rows.join(few.hint("shuffle_hash"), key, how)
     is_hot = F.col(key).isin(hot)
     left = rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     right = few.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [key, "salt"], how).drop("salt")
+    return left.join(right.hint("shuffle_hash"), [key, "salt"], how).drop("salt")
 
 
 def edge_checksum(edges: DataFrame) -> tuple:

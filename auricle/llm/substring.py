@@ -101,7 +101,7 @@ def _anchor_rows(docs: DataFrame, min_words: int, k: int, bits: int) -> DataFram
 
 
 def _passage_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_hash, text, seeds array<struct<first,count>>) to one row a seed, extended both ways on the words."""
+    """(doc_id, text_hash, text, seeds array<struct<first,count,anchor>>) to one row a seed, extended both ways on the words."""
 
     def make():
         def on_batch(batch: pa.RecordBatch):
@@ -118,15 +118,15 @@ def _passage_rows(docs: DataFrame, min_words: int) -> DataFrame:
                     out += [b" ".join(words[a:b]) for a, b in zip(f[at:end].tolist(), stop[at:end], strict=True)]
                     at = end
                 owner = pa.array(np.repeat(np.arange(piece.num_rows), np.diff(np.concatenate([[0], ends]))))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), piece.column(0).take(owner), piece.column(1).take(owner), first, count], ["words", "doc_id", "text_hash", "first", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), piece.column(0).take(owner), piece.column(1).take(owner), first, count, flat.field(2)], ["words", "doc_id", "text_hash", "first", "count", "anchor"])
 
         return on_batch
 
-    return map_batches(docs, make, "words string, doc_id long, text_hash long, first int, count int")
+    return map_batches(docs, make, "words string, doc_id long, text_hash long, first int, count int, anchor long")
 
 
 def passages(docs: DataFrame, min_words: int, k: int, bits: int, scratch: Scratch) -> DataFrame:
-    """(words, code, doc_id, text_hash, first, count): occurrences of anchors that documents share, extended both ways.
+    """(words, code, doc_id, text_hash, first, count, anchor): occurrences of anchors that documents share, extended both ways.
 
     Documents are joined on their winnowed anchors: an anchor that occurs once is dropped, as every window of a repeat
     picks an anchor that occurs again. An occurrence is extended over all words of the windows that pick it.
@@ -135,12 +135,13 @@ def passages(docs: DataFrame, min_words: int, k: int, bits: int, scratch: Scratc
     seen = scratch.save(_anchor_rows(docs.select("doc_id", "text_hash", "text"), min_words, k, bits), "anchors")
     common = scratch.save(seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "common")
     shared = spread_join(seen, common.select("anchor"), "anchor", hot_keys(common, "anchor"), ["doc_id", "text_hash", "first"], "left_semi")
-    lists = shared.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "count")).alias("seeds"))
+    lists = shared.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "count", "anchor")).alias("seeds"))
     lists = scratch.save(lists.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "seeds"), "seeds")
     scratch.drop("anchors", "common")
     texts = docs.join(lists, docs["doc_id"].eqNullSafe(lists["_id"]) & (docs["text_hash"] == lists["_hash"])).select("doc_id", "text_hash", "text", "seeds")
     code = F.xxhash64("words").bitwiseAND(F.lit((1 << min(bits, 63)) - 1))
-    found = scratch.save(_passage_rows(texts, min_words).withColumn("code", code), "passages")
+    # a passage's words are mostly its neighbour's too, which zstd makes use of
+    found = scratch.save(_passage_rows(texts, min_words).withColumn("code", code), "passages", "zstd")
     scratch.drop("seeds")
     return found
 
@@ -148,9 +149,11 @@ def passages(docs: DataFrame, min_words: int, k: int, bits: int, scratch: Scratc
 def partial_repeats(firsts: DataFrame, min_words: int, bits: int, scratch: Scratch) -> DataFrame:
     """(id, mask): windows of each distinct passage that another passage of smaller document id holds too, as bits by offset.
 
-    This finds where a repeat starts or ends inside a passage. Windows whose hash occurs once are
-    dropped; the others are grouped by their words.
+    This finds where a repeat starts or ends inside a passage. Equal windows pick equal anchors, so only passages
+    of anchors with several are looked at. Windows whose hash occurs once are dropped; the others are grouped by their words.
     """
+    kinds = scratch.save(firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "kinds")
+    firsts = scratch.save(spread_join(firsts, kinds.select("anchor"), "anchor", hot_keys(kinds, "anchor"), ["id"], "left_semi"), "mixed", "zstd")
     split = firsts.select("id", "lowest", F.split("words", " ").alias("list"), F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("offset"))
     text = F.array_join(F.slice("list", F.col("offset") + 1, min_words), " ")
     hashed = scratch.save(split.select("id", "offset", F.xxhash64(text).bitwiseAND(F.lit((1 << min(bits, 63)) - 1)).alias("hash")), "hashes")
@@ -164,7 +167,7 @@ def partial_repeats(firsts: DataFrame, min_words: int, bits: int, scratch: Scrat
     salted = windows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(WINDOW_SALTS)).cast("int"))
     hit = salted.join(lows.select("window", "low", salts), ["window", "salt"]).where("lowest is null or low < lowest")
     masks = scratch.save(hit.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask")), "masks")
-    scratch.drop("windows")
+    scratch.drop("windows", "kinds", "mixed")
     return masks
 
 
@@ -180,17 +183,18 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, min_words: int = MIN_
     scratch = Scratch(spark, "substring")
     found = passages(docs, min_words, k, bits, scratch)
     # a passage whose documents all lack an id has no lowest one
-    grouped = found.groupBy("words", "code").agg(F.min("doc_id").alias("lowest"), F.min("count").alias("count"), F.count("*").alias("n"))
-    firsts = scratch.save(grouped.withColumn("id", F.monotonically_increasing_id()), "firsts")
+    grouped = found.groupBy("words", "code", "anchor").agg(F.min("doc_id").alias("lowest"), F.min("count").alias("count"), F.count("*").alias("n"))
+    firsts = scratch.save(grouped.withColumn("id", F.monotonically_increasing_id()), "firsts", "zstd")
     masks = partial_repeats(firsts, min_words, bits, scratch)
     decided = scratch.save(firsts.select("id", "code", "lowest", "n").join(masks, "id", "left"), "decided")
     by_code = scratch.save(decided.groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")), "codes")
-    own = decided.join(by_code.where("kinds = 1").select("code"), "code", "left_semi").select("code", "lowest", "mask")
-    gone = spread_join(found.drop("words"), own, "code", hot_keys(by_code.where("kinds = 1"), "code"), ["doc_id", "text_hash", "first"])
+    # what occurs once, and has no window that recurs, goes nowhere
+    own = decided.where("n > 1 or mask is not null").join(by_code.where("kinds = 1").select("code"), "code", "left_semi").select("code", "lowest", "mask")
+    gone = spread_join(found.drop("words", "anchor"), own, "code", hot_keys(by_code.where("kinds = 1"), "code"), ["doc_id", "text_hash", "first"])
     several = by_code.where("kinds > 1").select("code")
     if not several.isEmpty():  # passages that share a code are told apart by their words
         told = firsts.join(several, "code", "left_semi").select("id", "words", "code").join(decided.select("id", "lowest", "mask"), "id").drop("id")
-        gone = gone.unionByName(found.join(several, "code", "left_semi").join(told, ["code", "words"]).drop("words"))
+        gone = gone.unionByName(found.drop("anchor").join(several, "code", "left_semi").join(told, ["code", "words"]).drop("words"))
     every = F.expr("shiftleft(1L, `count`) - 1")
     mask = F.when(F.col("lowest").isNotNull() & (F.col("doc_id").isNull() | (F.col("lowest") < F.col("doc_id"))), every).otherwise(F.col("mask"))
     gone = gone.select("doc_id", "text_hash", "first", mask.alias("mask")).where("mask <> 0")
