@@ -258,6 +258,16 @@ def test_token_tables(spark):
     assert unigram.encode_documents(spark, docs.limit(0)).count() == 0
 
 
+def test_token_queries_are_the_library(spark, data_dir):
+    """Every row of both registered queries against the library."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_proto=unigram.read_model())
+    want = {r.doc_id: library.encode(r.text or "") for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
+    assert {r.doc_id: r.ids for r in queries.QUERIES["op10_sentencepiece"](spark, data_dir).collect()} == want
+    assert {r.doc_id: r.n_tokens for r in queries.QUERIES["op2_token_counts"](spark, data_dir).collect()} == {i: len(ids) for i, ids in want.items()}
+
+
 def test_encoding_query_decodes(spark, data_dir):
     got = queries.QUERIES["op10_sentencepiece"](spark, data_dir)
     assert got.columns == ["doc_id", "n_ids", "ids", "decoded_sha256", "same"]
@@ -333,6 +343,27 @@ def test_pii_rounds(spark):
     assert want and added_spans(spark, texts) == want and any(p.startswith("3") for p in trusted)
 
 
+@pytest.mark.parametrize("name", ["op3_personal_data", "op5_secrets"])
+def test_span_queries_by_brute_force(spark, data_dir, name):
+    """Every row of both registered queries: base spans by plain patterns, added ones by sets."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
+    ids = list(texts)
+    if name == "op3_personal_data":
+        kinds, base, added = pii.ALL_KINDS, base_by_regex, added_by_brute_force(list(texts.values()))[0]
+    else:
+        kinds, base, added = secrets.ALL_KINDS, secrets.base_spans, accepted_by_brute_force(list(texts.values()))
+    more = defaultdict(list)
+    for n, s, e in added:
+        more[ids[n]].append((s, len(kinds) - 1, e))
+    got = {r.doc_id: r for r in queries.QUERIES[name](spark, data_dir).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        own = sorted(base(text))
+        line = lambda spans: ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans)
+        assert got[i].base_sha256 == hashlib.sha256(line(own).encode()).hexdigest() and got[i].spans == line(sorted(own + more[i]))
+        assert [got[i][f"n_{k}"] for k in kinds[:-1]] == [sum(s[1] == n for s in own) for n in range(len(kinds) - 1)]
+
+
 def test_pii_unseen_forms(spark):
     """Grouped numbers, addresses without a domain, and others that no fixed pattern takes; other kinds in a kind's context stay."""
     texts = [f"Mail: user{i}@mail.example.com please" for i in range(40)] + [f"Mail: 2024-01-{11 + i} please" for i in range(9)]
