@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from auricle.functions.timecode import srt_time, vtt_time
 
-FORMATS = ("json", "text", "verbose_json", "srt", "vtt")
-
 
 def srt_block(s: Column) -> Column:
     return F.concat((s["id"] + 1).cast("string"), F.lit("\n"), srt_time(s["start"]), F.lit(" --> "), srt_time(s["end"]), F.lit("\n"), s["text"], F.lit("\n\n"))
