@@ -22,9 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result per document: its words in pieces of four characters, the first with a leading space, 80 ms apart."""
-    pieces = """flatten(transform(filter(split(text, '[ \\t\\n\\r]+'), x -> x <> ''),
-        w -> transform(sequence(0, int((length(w) - 1) div 4)), i -> concat(if(i = 0, ' ', ''), substr(w, i * 4 + 1, 4)))))"""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.expr(pieces).alias("tokens"))
+    spaced = F.concat(F.lit(" "), F.regexp_replace("text", "[ \\t\\n\\r]+", " "))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.regexp_extract_all(spaced, F.lit(" ?[^ ]{1,4}"), F.lit(0)).alias("tokens"))
     return rows.withColumn("timestamps", F.transform("tokens", lambda _, i: (i * F.lit(0.08)).cast("float")))
 
 
