@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,53 +137,116 @@ def queued_over_time(facts: DataFrame) -> DataFrame:
     return gauge(rows.select(F.col("arrival").alias("start"), later(F.col("arrival"), F.col("queue_s")).alias("stop")))
 
 
-def overload_report(facts: DataFrame, limits: Limits | None = None, window: str = "1 day") -> DataFrame:
-    """Per time window from the first to the last: requests, rejections (429), timeouts in the queue (408), peaks of both gauges, and whether a peak passes its limit.
+#: Time that instants are folded in before windows: a group holds a million of them at most.
+FOLD_S = 1
+
+
+def _folded(rows: DataFrame, into: str, keep: dict[str, F.Column]) -> DataFrame:
+    """Groups of ``into``: the sums of the changes ``busy`` and ``waiting`` and the highest sums of their beginnings in order of ``at``.
 
-    A level that a window begins with counts for its peak, so windows without arrivals or changes are there too. Only
-    window rows, one a window, meet in one task.
+    ``rows`` (into, at, busy, busy_top, waiting, waiting_top) are such sums already, so folds nest: tops of the parts,
+    each raised by the sums before it. ``keep`` are further aggregates.
     """
-    limits = limits or Limits()
-    step = F.expr(f"interval {window}")
-    span = lambda column: F.window(column, window)["start"].alias("window_start")
-    counts = facts.groupBy(span("arrival")).agg(F.count("*").alias("requests"), F.count_if(F.col("status") == 429).alias("rejected"), F.count_if(F.col("status") == 408).alias("timed_out"))
-    before = Window.orderBy("window_start").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.struct("at", "busy", "busy_top", "waiting", "waiting_top")
+    run = lambda acc, x, name: (acc[name] + x[name]).alias(name)
+    top = lambda acc, x, name: F.greatest(acc[f"{name}_top"], acc[name] + x[f"{name}_top"]).alias(f"{name}_top")
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("busy", "busy_top", "waiting", "waiting_top")])
+    grouped = rows.groupBy(into).agg(F.sort_array(F.collect_list(part)).alias("parts"), *[c.alias(name) for name, c in keep.items()])
+    sums = F.aggregate("parts", zero, lambda acc, x: F.struct(run(acc, x, "busy"), top(acc, x, "busy"), run(acc, x, "waiting"), top(acc, x, "waiting")))
+    return grouped.select(into, sums.alias("sums"), *keep).select(into, "sums.*", *keep)
 
-    def peaks(moves: DataFrame, name: str) -> DataFrame:
-        return moves.groupBy(span("at")).agg(F.max("level").alias(f"{name}_top"), F.max_by("level", "at").alias(f"{name}_last"))
 
-    seen = counts.join(peaks(in_progress_over_time(facts), "busy"), "window_start", "full").join(peaks(queued_over_time(facts), "waiting"), "window_start", "full")
-    every = seen.agg(F.min("window_start").alias("a"), F.max("window_start").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b", step)).alias("window_start"))
-    rows = every.join(seen, "window_start", "left")
+def overload_report(facts: DataFrame, limits: Limits | None = None, window: str = "1 day") -> DataFrame:
+    """Per time window from the first to the last: requests, rejections (429), timeouts in the queue (408), peaks of both gauges, and whether a peak passes its limit.
 
-    def peak(name: str) -> F.Column:
-        return F.coalesce(F.greatest(F.col(f"{name}_top"), F.last(f"{name}_last", ignorenulls=True).over(before)), F.lit(0))
+    A level that a window begins with counts for its peak, so windows without arrivals or changes are there too.
 
-    none = F.lit(0)
-    rows = rows.select("window_start", *[F.coalesce(c, none).alias(c) for c in ("requests", "rejected", "timed_out")], peak("busy").alias("peak_in_progress"), peak("waiting").alias("peak_queued"))
-    return rows.withColumn("over_limit", (F.col("peak_in_progress") > limits.max_concurrent) | (F.col("peak_queued") > limits.max_queue))
+    One scan: each request becomes its changes of both gauges, which are summed by instant (partial sums first, so a crowded instant
+    is one row), then folded in order by second and by window into sums and highest levels. No window function sees
+    an instant; only window rows, one a window, meet in one task.
+    """
+    limits = limits or Limits()
+    start = later(F.col("arrival"), F.col("queue_s"))
+    stop = later(start, F.col("decode_s") + F.col("inference_s"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def move(at: F.Column, busy: F.Column = zero, waiting: F.Column = zero, counts: tuple[F.Column, ...] = (zero, zero, zero)) -> F.Column:
+        named = zip(("requests", "rejected", "timed_out"), counts, strict=True)
+        return F.struct(F.unix_micros(at).alias("at"), busy.alias("busy"), waiting.alias("waiting"), *[c.alias(n) for n, c in named])
+
+    taken, queued = F.col("status") != 429, (F.col("status") != 429) & (F.col("queue_s") > 0)
+    told = (one, (F.col("status") == 429).cast("long"), (F.col("status") == 408).cast("long"))
+    moves = F.array(move(F.col("arrival"), waiting=queued.cast("long"), counts=told), F.when(taken, move(start, busy=one, waiting=-queued.cast("long"))), F.when(taken, move(stop, busy=-one)))
+    counts = ("requests", "rejected", "timed_out")
+    rows = facts.select(F.inline(F.filter(moves, lambda m: m["at"].isNotNull())))
+    instants = rows.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("busy", "waiting", *counts)])
+    span = F.window(F.timestamp_micros("at"), window)
+    placed = instants.select(F.struct(F.unix_micros(span["start"]).alias("window_start"), F.floor(F.col("at") / (FOLD_S * 1_000_000)).alias("second")).alias("second"), "at", "busy", "waiting", F.unix_micros(span["end"]).alias("window_end"), *counts)
+    sums = {c: F.sum(c) for c in counts} | {"window_end": F.max("window_end")}
+    tops = [F.col("busy").alias("busy_top"), F.col("waiting").alias("waiting_top")]
+    seconds = _folded(placed.select("*", *tops), "second", sums)
+    windows = _folded(seconds.select(F.col("second.window_start").alias("window_start"), F.col("second.second").alias("at"), "busy", "busy_top", "waiting", "waiting_top", "window_end", *counts), "window_start", sums)
+    order = Window.orderBy("window_start")
+
+    def before(name: str) -> F.Column:
+        return F.coalesce(F.sum(name).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    peaks = [(before(n) + F.col(f"{n}_top")).alias(f"{n}_peak") for n in ("busy", "waiting")]
+    after = [(before(n) + F.col(n)).alias(f"{n}_after") for n in ("busy", "waiting")]
+    step = F.col("window_end") - F.col("window_start")
+    known = windows.select("window_start", step.alias("step"), *counts, *peaks, *after, F.coalesce(F.lead("window_start").over(order), F.col("window_end")).alias("next"))
+    starts = known.select("*", F.explode(F.sequence(F.col("window_start"), F.col("next") - F.col("step"), F.col("step"))).alias("at"))
+    own = F.col("at") == F.col("window_start")
+    filled = [F.when(own, F.col(c)).otherwise(0).alias(c) for c in counts]
+    levels = [F.when(own, F.col(f"{n}_peak")).otherwise(F.col(f"{n}_after")).alias(name) for n, name in (("busy", "peak_in_progress"), ("waiting", "peak_queued"))]
+    return starts.select(F.timestamp_micros("at").alias("window_start"), *filled, *levels).withColumn("over_limit", (F.col("peak_in_progress") > limits.max_concurrent) | (F.col("peak_queued") > limits.max_queue))
+
+
+def info_labels(limits: Limits, version: str = "dev", commit: str = "none", build_time: str = "unknown") -> dict[str, str]:
+    """Labels, as JSON, of the metrics that describe the model and the build."""
+    compact = lambda labels: json.dumps(labels, separators=(",", ":"), ensure_ascii=False)
+    return {
+        "model_info": compact({"name": limits.model_dir, "provider": limits.provider, "threads": str(limits.num_threads)}),
+        "build_info": compact({"version": version, "commit": commit, "build_time": build_time}),
+    }
 
 
 def info_rows(facts: DataFrame, limits: Limits, version: str = "dev", commit: str = "none", build_time: str = "unknown") -> DataFrame:
     """Two rows of value 1 whose labels describe the model and the build."""
-    labels = [
-        F.struct(F.lit("model_info").alias("name"), F.to_json(F.struct(F.lit(limits.model_dir).alias("name"), F.lit(limits.provider).alias("provider"), F.lit(limits.num_threads).cast("string").alias("threads"))).alias("labels")),
-        F.struct(F.lit("build_info").alias("name"), F.to_json(F.struct(F.lit(version).alias("version"), F.lit(commit).alias("commit"), F.lit(build_time).alias("build_time"))).alias("labels")),
-    ]
-    one = facts.sparkSession.range(1)
-    return one.select(F.inline(F.array(*labels))).withColumn("value", F.lit(1.0))
+    rows = [F.struct(F.lit(name).alias("name"), F.lit(labels).alias("labels"), F.lit(1.0).alias("value")) for name, labels in info_labels(limits, version, commit, build_time).items()]
+    return facts.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
 def union_metrics(facts: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """All metrics as (name, labels, le, value)."""
+    """All metrics as (name, labels, le, value).
+
+    One scan and one exchange of groups: requests are grouped by status and language with their parts of every histogram, then the groups,
+    a few hundred, are added up and told as rows. A gauge's last level is the sum of all its changes, null without any.
+    """
     limits = limits or Limits()
     none = F.lit(None).cast("string")
-    totals = requests_total(facts).select(F.lit("requests_total").alias("name"), F.to_json(F.struct(F.col("status").cast("string").alias("status"), "lang")).alias("labels"), none.alias("le"), F.col("value").cast("double"))
-    parts = [totals, histograms(facts).select("name", none.alias("labels"), "le", "value")]
-    last = lambda df, name: df.agg(F.max_by("level", "at").cast("double").alias("value")).select(F.lit(name).alias("name"), none.alias("labels"), none.alias("le"), "value")
-    parts += [last(in_progress_over_time(facts), "requests_in_progress"), last(queued_over_time(facts), "requests_queued")]
-    parts.append(info_rows(facts, limits).select("name", "labels", none.alias("le"), "value"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    line = lambda name, labels, le, v: F.struct(F.lit(name).alias("name"), labels.cast("string").alias("labels"), F.lit(le).cast("string").alias("le"), v.cast("double").alias("value"))
+    parts, lines = {"n": F.count("*")}, []
+    for h, (name, buckets) in enumerate(HISTOGRAMS.items()):
+        x = histogram_value(name)
+        bounds = [*(f"{b:g}" for b in buckets), "+Inf"]
+        parts |= {f"h{h}_{i}": c for i, c in enumerate([*bucket_counts(x, buckets), F.count(x), F.sum(x)])}
+        lines += [line(f"{name}_bucket", none, le, F.col(f"h{h}_{i}")) for i, le in enumerate(bounds)]
+        lines += [line(f"{name}_sum", none, None, F.col(f"h{h}_{len(buckets) + 1}")), line(f"{name}_count", none, None, F.col(f"h{h}_{len(buckets)}"))]
+    parts["bytes"] = F.sum(F.when(F.col("status") == 200, F.col("size_bytes")))
+    taken = F.col("status") != 429
+    start = later(F.col("arrival"), F.col("queue_s"))
+    gauges = {"requests_in_progress": [start, later(start, F.col("decode_s") + F.col("inference_s"))], "requests_queued": [F.col("arrival"), start]}
+    for name, ends in gauges.items():
+        chosen = taken if name == "requests_in_progress" else taken & (F.col("queue_s") > 0)
+        known = [chosen & end.isNotNull() for end in ends]
+        parts[f"{name}_moves"] = sum((F.count_if(k) for k in known[1:]), F.count_if(known[0]))
+        parts[name] = F.count_if(known[0]) - F.count_if(known[1])
+    grouped = with_lang(facts).groupBy("status", "lang").agg(*[c.alias(name) for name, c in parts.items()])
+    total = F.to_json(F.struct(F.col("status").cast("string").alias("status"), "lang"))
+    added = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in parts if name != "n"]
+    one = grouped.agg(F.collect_list(line("requests_total", total, None, F.col("n"))).alias("totals"), *added)
+    lines.append(line("audio_bytes_total", none, None, F.col("bytes")))
+    lines += [line(name, none, None, F.when(F.col(f"{name}_moves") > 0, F.col(name))) for name in gauges]
+    lines += [line(name, F.lit(labels), None, F.lit(1.0)) for name, labels in info_labels(limits).items()]
+    return one.select(F.inline(F.concat("totals", F.array(*lines))))
