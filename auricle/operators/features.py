@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Samples a second, transform size, window, hop, floor of the power, added to deviations.
-SAMPLE_RATE, N_FFT, WINDOW, HOP = 16_000, 512, 400, 160
+from auricle.functions.audio import SAMPLE_RATE, wav_pcm, wav_sample_count
+
+# Transform size, window, hop, floor of the power, added to deviations.
+N_FFT, WINDOW, HOP = 512, 400, 160
 LOG_FLOOR = 1e-5
 EPSILON = 1e-5
 
@@ -76,43 +78,19 @@ def pack_f32le(df: DataFrame, column: str = "samples") -> DataFrame:
     return df.select(*names).mapInArrow(run, schema)
 
 
-def wav_samples(raw: bytes) -> np.ndarray | None:
-    """Samples of a RIFF clip of 16-bit mono PCM at 16 kHz; None for any other."""
-    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
-        return None
-    at, good = 12, False
-    while at + 8 <= len(raw):
-        name, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
-        body = raw[at + 8 : at + 8 + size]
-        if name == b"fmt " and len(body) >= 16:
-            kind, channels, rate = (int.from_bytes(body[a:b], "little") for a, b in ((0, 2), (2, 4), (4, 8)))
-            good = (kind, channels, rate, int.from_bytes(body[14:16], "little")) == (1, 1, SAMPLE_RATE, 16)
-        elif name == b"data":
-            return pcm16(body) if good else None
-        at += 8 + size + size % 2
-    return None
-
-
 def wav_corpus_to_samples(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(samples, needs_transcode) of clips (path, content): decoded WAV clips, and the paths of all others."""
-    made = _with_array(clips.select("path", "content"), "content", "samples", wav_samples).drop("content")
-    return made.where("samples is not null").withColumn("sample_rate", F.lit(SAMPLE_RATE)), made.where("samples is null").select("path")
+    """(samples, needs_transcode) of clips (path, content): decoded WAV clips, and the paths of all others.
 
+    The sample bytes are found in Spark, so Python gets these alone, and nothing of clips that need a decoder.
+    """
+    found = clips.select("path", wav_pcm(F.col("content")).alias("pcm"))
+    decoded = pcm16_to_float(found.where("pcm is not null")).drop("pcm").withColumn("sample_rate", F.lit(SAMPLE_RATE))
+    return decoded, found.where("pcm is null").select("path")
 
-def count_wav_samples(clips: DataFrame) -> DataFrame:
-    """``clips`` with n_samples long: samples of 16 kHz mono WAV content; null for any other, which needs a decoder."""
-    names = clips.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in clips.schema.fields), "n_samples long"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = []
-            for raw in batch.column(names.index("content")):
-                samples = wav_samples(raw.as_py() or b"")
-                sizes.append(None if samples is None else len(samples))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], [*names, "n_samples"])
 
-    return clips.mapInArrow(run, schema)
+def count_wav_samples(clips: DataFrame) -> DataFrame:
+    """``clips`` with n_samples long: samples of 16 kHz mono WAV content; null for any other, which needs a decoder. No Python stage."""
+    return clips.withColumn("n_samples", wav_sample_count(F.col("content")))
 
 
 def mel_filterbank(n_mels: int, sample_rate: int = SAMPLE_RATE, n_fft: int = N_FFT) -> np.ndarray:

@@ -233,21 +233,33 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     return intake.attach_manifest(rows, corpus).select("path", "n_chars", "has_file")
 
 
+def _stream_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table's files as a stream; a pattern, as the table may be one file, which a stream can't take as its base."""
+    schema = views.table(spark, d, name).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/{name[:-1]}[{name[-1]}].parquet")
+
+
 def _stream_events(spark: SparkSession, d: str) -> DataFrame:
-    """The facts as a stream over the events' files; a pattern, as the table may be one file, which a stream can't take as its base."""
-    schema = views.table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/event[s].parquet")
-    return views.facts_of(events)
+    """The facts as a stream over the events' files."""
+    return views.facts_of(_stream_table(spark, d, "events"))
 
 
 def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """All that a stream in append mode gives for the files there are, through a written table."""
-    at = _folder(spark)
-    stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+def _drained(spark: SparkSession, stream: DataFrame, conf: dict[str, str] | None = None) -> DataFrame:
+    """All that a stream in append mode gives for the files there are, through a written table; ``conf`` is set while it starts."""
+    at, before = _folder(spark), {}
+    try:
+        for key, value in (conf or {}).items():
+            before[key] = spark.conf.get(key, None)
+            spark.conf.set(key, value)
+        running = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
@@ -273,18 +285,52 @@ def windowed(spark: SparkSession, d: str) -> DataFrame:
     return _closed(jobs.stream_windowed(views.facts(spark, d)))
 
 
-def timeouts(spark: SparkSession, d: str) -> DataFrame:
-    """Requests without an end in time: those that fail never end, slow ones end late."""
-    rows = views.facts(spark, d)
+def _started_and_ended(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that start, and ends: those that fail never end, slow ones end late."""
     starts = rows.select("request_id", F.col("arrival").alias("started"))
-    ends = rows.where("status = 200").select("request_id", metrics.later(F.col("arrival"), F.col("duration_s") * 3).alias("ended"))
-    return jobs.stream_timeouts(starts, ends).select("request_id", F.unix_micros("started").alias("started_us"))
+    return starts, rows.where("status = 200").select("request_id", metrics.later(F.col("arrival"), F.col("duration_s") * 3).alias("ended"))
+
+
+def timeouts(spark: SparkSession, d: str) -> DataFrame:
+    """Requests without an end in time."""
+    return jobs.stream_timeouts(*_started_and_ended(views.facts(spark, d))).select("request_id", F.unix_micros("started").alias("started_us"))
+
+
+def stream_timeouts(spark: SparkSession, d: str) -> DataFrame:
+    """The same from two streams, as far as their watermarks close."""
+    starts, ends = _started_and_ended(_stream_events(spark, d))
+    found = _drained(spark, jobs.stream_timeouts(starts, ends))
+    return found.select("request_id", F.unix_micros("started").alias("started_us"))
+
+
+def stream_routed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as arriving WAV clips, gated into two sinks: what each holds of every clip."""
+    at = _folder(spark)
+    clips = views.wav_clips(_stream_table(spark, d, "documents"))
+    jobs.stream_intake(clips, f"{at}/valid", f"{at}/rejects", f"{at}/state").awaitTermination()
+    valid, rejects = jobs.read_intake(spark, f"{at}/valid", f"{at}/rejects")
+    return valid.select("clip_id", "format", "n_samples", F.lit(200).alias("code"), F.lit(None).cast("string").alias("message"), F.sha2("content", 256).alias("content_sha256")).unionByName(
+        rejects.select("clip_id", "format", "n_samples", "outcome.code", "outcome.message", F.lit(None).cast("string").alias("content_sha256"))
+    )
+
+
+def wav_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as WAV clips: samples of those that decode, and the rest, which a decoder has to take."""
+    clips = views.wav_clips(views.table(spark, d, "documents"))
+    samples, rest = features.wav_corpus_to_samples(clips)
+    ticks = F.transform("samples", lambda x: F.round(x * 32767).cast("long"))
+    total = F.aggregate(ticks, F.lit(0).cast("long"), lambda a, x: a + x)
+    weighted = F.aggregate(F.transform(ticks, lambda x, i: x * (i % 1000 + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    decoded = samples.select("path", F.lit(False).alias("needs_transcode"), F.size("samples").cast("long").alias("n_samples"), total.alias("total"), weighted.alias("weighted"))
+    none = F.lit(None).cast("long")
+    return decoded.unionByName(rest.select("path", F.lit(True).alias("needs_transcode"), none.alias("n_samples"), none.alias("total"), none.alias("weighted")))
 
 
 def deduped(spark: SparkSession, d: str) -> DataFrame:
-    """A stream in which requests recur, one record of each; state goes a day after."""
-    rows = _stream_events(spark, d).select(F.concat(F.lit("user-"), F.expr("event_id div 3")).alias("request_id"), F.col("arrival").alias("time"))
-    return _drained(spark, jobs.stream_dedupe(rows, delay="1 day")).select("request_id")
+    """A stream in which requests recur: the earliest record of each that a day of the watermark has passed."""
+    user = F.concat(F.lit("user-"), F.expr("event_id div 3"))
+    rows = _stream_events(spark, d).select(user.alias("request_id"), F.col("arrival").alias("time"), "event_id", "status", "duration_s", "model_lang")
+    return _drained(spark, jobs.stream_dedupe(rows, delay="1 day"), jobs.ROCKSDB).withColumn("time", F.unix_micros("time"))
 
 
 QUERIES = {
@@ -346,5 +392,8 @@ QUERIES = {
     "stream_windowed": stream_windowed,
     "windowed_counts": windowed,
     "timeouts": timeouts,
+    "stream_timeouts": stream_timeouts,
+    "stream_intake": stream_routed,
+    "wav_corpus": wav_samples,
     "stream_dedupe": deduped,
 }

@@ -190,6 +190,27 @@ labelled AS (
     WHEN b1 & 240 = 240 AND b2 >> 6 <> 3 THEN 'aac' END AS format
   FROM bytes)"""
 
+def _le32(n: str) -> str:
+    return f"unhex(printf('%02x%02x%02x%02x', {n} & 255, ({n} >> 8) & 255, ({n} >> 16) & 255, ({n} >> 24) & 255))"
+
+
+def _format_chunk(channels: int, more: str = "") -> str:
+    n = 16 + len(more) // 2
+    return f"encode('fmt ') || unhex('{n:02x}0000000100{channels:02x}00803e0000{(32_000 * channels).to_bytes(4, 'little').hex()}{2 * channels:02x}001000{more}')"
+
+
+_ODD = "encode('LIST') || unhex('05000000') || encode('notes') || unhex('00')"
+_HEAD = f"encode('RIFF') || {_le32('(size + 36)')} || encode('WAVE')"
+_DATA = f"encode('data') || {_le32('size')} || data"
+WAVS = f"""
+raw AS (SELECT doc_id AS clip_id, doc_id % 6 AS make, encode(text) AS data, octet_length(encode(text))::BIGINT AS size FROM documents),
+wavs AS (
+  SELECT clip_id, make, data, CASE WHEN make IN (0, 1, 2, 4) THEN size // 2 END AS n, CASE make
+    WHEN 0 THEN {_HEAD} || {_format_chunk(1)} || {_DATA} WHEN 1 THEN {_HEAD} || {_ODD} || {_format_chunk(1)} || {_ODD} || {_DATA}
+    WHEN 2 THEN {_HEAD} || {_format_chunk(1, "0000")} || {_DATA} WHEN 3 THEN {_HEAD} || {_format_chunk(2)} || {_DATA}
+    WHEN 4 THEN {_HEAD} || {_format_chunk(1)} || encode('data') || {_le32('(size + 1000)')} || data ELSE encode('ID3') || data END AS content
+  FROM raw)"""
+
 OUTCOMES = """
 o AS (
   SELECT *, CASE WHEN event_id % 109 = 0 THEN NULL ELSE n_samples * 2 END AS n, (CASE WHEN event_id % 109 = 0 THEN NULL ELSE n_samples * 2 END::FLOAT / 16000::FLOAT)::FLOAT AS duration FROM facts),
@@ -333,5 +354,25 @@ WHERE window_start + 3600000000 <= (SELECT max(arrival_us) // 1000 * 1000 - 6000
     "windowed_counts": f"WITH {FACTS}, {WINDOWED} SELECT window_start, status, requests, {BUCKET_NAMES} FROM windowed",
     "timeouts": f"""
 WITH {FACTS} SELECT request_id, arrival_us AS started_us FROM facts WHERE NOT (status = 200 AND {_micros("(duration_s * 3)")} BETWEEN 0 AND 300000000)""",
-    "stream_dedupe": "SELECT DISTINCT 'user-' || (event_id // 3) AS request_id FROM events",
+    "stream_timeouts": f"""
+WITH {FACTS}, ended AS (SELECT *, arrival_us + {_micros("(duration_s * 3)")} AS ended_us FROM facts),
+mark AS (SELECT least(max(arrival_us) // 1000 * 1000, (max(ended_us) FILTER (status = 200)) // 1000 * 1000) - 600000000 AS mark FROM ended)
+SELECT request_id, arrival_us AS started_us FROM ended, mark
+WHERE NOT (status = 200 AND ended_us BETWEEN arrival_us AND arrival_us + 300000000) AND arrival_us + 300000000 <= mark""",
+    "stream_intake": f"""
+WITH {WAVS}, m AS (
+  SELECT *, CASE WHEN coalesce(n, 0) < 1 THEN 'audio decode failed: no audio' WHEN n < 1600 THEN 'audio too short (minimum 100ms required)' END AS message FROM wavs)
+SELECT clip_id, CASE WHEN make = 5 THEN 'mp3' ELSE 'wav' END AS format, n AS n_samples, CASE WHEN message IS NULL THEN 200 ELSE 400 END AS code, message,
+  CASE WHEN message IS NULL THEN sha256(content) END AS content_sha256 FROM m""",
+    "wav_corpus": f"""
+WITH {WAVS}, h AS (SELECT clip_id, hex(data) AS h, n FROM wavs WHERE n IS NOT NULL),
+s AS (SELECT clip_id, h, unnest(range(n)) AS pos FROM h),
+v AS (SELECT clip_id, pos, ('0x' || substr(h, pos * 4 + 3, 2) || substr(h, pos * 4 + 1, 2))::INT AS u FROM s),
+t AS (SELECT clip_id, sum(CASE WHEN u >= 32768 THEN u - 65536 ELSE u END)::BIGINT AS total, sum((CASE WHEN u >= 32768 THEN u - 65536 ELSE u END) * (pos % 1000 + 1))::BIGINT AS weighted FROM v GROUP BY clip_id)
+SELECT 'clip/' || clip_id AS path, n IS NULL AS needs_transcode, n AS n_samples, CASE WHEN n IS NOT NULL THEN coalesce(total, 0) END AS total, CASE WHEN n IS NOT NULL THEN coalesce(weighted, 0) END AS weighted
+FROM wavs LEFT JOIN t USING (clip_id)""",
+    "stream_dedupe": f"""
+WITH {FACTS}, g AS (SELECT 'user-' || (event_id // 3) AS request_id, min(arrival_us) AS time, (max(max(arrival_us)) OVER ()) // 1000 * 1000 - 86400000000 AS mark FROM facts GROUP BY event_id // 3)
+SELECT g.request_id, time, event_id, status, duration_s, model_lang FROM g JOIN facts f ON g.request_id = 'user-' || (f.event_id // 3) AND f.arrival_us = g.time
+WHERE time + 86400000000 <= mark""",
 }

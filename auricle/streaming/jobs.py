@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import heapq
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from auricle import schemas
 from auricle.operators import features, intake, metrics
@@ -21,28 +25,50 @@ def stream_request_facts(spark: SparkSession, path: str, format: str = "parquet"
     return spark.readStream.schema(schemas.REQUEST_FACTS).option("maxFilesPerTrigger", files_per_trigger).format(format).load(path)
 
 
+def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def _finished(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the batches under ``path`` that were written to their end."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
 def stream_intake(clips: DataFrame, valid_path: str, reject_path: str, checkpoint: str, limits: Limits | None = None) -> StreamingQuery:
     """Gates arriving clips and writes each batch's valid rows and rejects under ``batch=<id>``.
 
     Clips without a column ``n_samples`` get it from their own content, where that is WAV; others count as not decoded.
 
-    A batch that is run again after a failure overwrites its own folders, so each clip ends up in
-    one of the two exactly once.
+    Each clip ends up in one of the two exactly once. A batch that fails before its checkpoint is run again with the same clips
+    and the same id. Rejects are written last and complete it: without them, both folders are overwritten; with them, nothing
+    is written again. ``read_intake`` reads complete batches only, so it never sees a clip's batch in one sink alone.
     """
+    spark = clips.sparkSession
 
     def route(batch: DataFrame, batch_id: int) -> None:
+        if any(folder.endswith(f"/batch={batch_id}") for folder in _finished(spark, reject_path)):
+            return
         counted = batch if "n_samples" in batch.columns else features.count_wav_samples(batch)
-        gated = intake.gate(intake.with_format(counted), limits).persist()
-        try:
-            valid, rejects = intake.split_by_outcome(gated)
-            valid.drop("outcome").write.mode("overwrite").parquet(f"{valid_path}/batch={batch_id}")
-            rejects.drop("content").write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
-        finally:
-            gated.unpersist()
+        valid, rejects = intake.split_by_outcome(intake.gate(intake.with_format(counted), limits))
+        _write_batch(valid.drop("outcome"), valid_path, batch_id)
+        _write_batch(rejects.drop("content"), reject_path, batch_id)
 
     return clips.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_intake(spark: SparkSession, valid_path: str, reject_path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(valid, rejects) of the batches that ``stream_intake`` has completed, with their ``batch``; None before the first."""
+    done = _finished(spark, reject_path)
+    if not done:
+        return None
+    names = [folder.rsplit("/", 1)[1] for folder in done]
+    read = lambda path: spark.read.option("basePath", path).parquet(*[f"{path}/{name}" for name in names])
+    return read(valid_path), read(reject_path)
+
+
 def stream_requests_total(facts: DataFrame) -> DataFrame:
     """Running counts by status and language, for update or complete mode."""
     return metrics.requests_total(facts)
@@ -69,8 +95,73 @@ def stream_timeouts(starts: DataFrame, ends: DataFrame, timeout_s: int = 300, de
     return s.join(e, within, "leftOuter").where("end_id is null").select("request_id", "started")
 
 
-def stream_dedupe(records: DataFrame, time: str = "time", delay: str = "10 minutes") -> DataFrame:
-    """One record per request_id; on a batch, the earliest."""
-    if records.isStreaming:
-        return records.withWatermark(time, delay).dropDuplicatesWithinWatermark(["request_id"])
-    return records.groupBy("request_id").agg(F.min_by(F.struct(*records.columns), time).alias("r")).select("r.*")
+#: State store that timers and lists of state need.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+class EarliestRecord(StatefulProcessor):
+    """Keeps the earliest record of a key, and gives it when no copy of it can arrive any more.
+
+    A record within the delay of a kept one is its copy and stays only if it is earlier; one further off is a record of its own. State is a
+    row a kept record, and an event-time timer each.
+    """
+
+    def __init__(self, columns: list[str], time: str, schema: StructType, delay_us: int) -> None:
+        self.columns, self.time, self.schema, self.delay_us = columns, time, schema, delay_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", self.schema)
+
+    def _us(self, row: tuple) -> int:
+        at = row[self.columns.index(self.time)]
+        return round(at.timestamp() * 1_000_000)
+
+    def _rank(self, row: tuple) -> tuple:
+        return self._us(row), tuple((v is not None, str(v)) for v in row)
+
+    def _due_ms(self, row: tuple) -> int:
+        return -(-(self._us(row) + self.delay_us) // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = [tuple(r) for r in self.kept.get()]
+        kept: list[tuple] = []
+        for row in heapq.merge(sorted(before, key=self._rank), sorted((tuple(r[c] for c in self.columns) for r in rows), key=self._rank), key=self._rank):
+            if not kept or self._us(row) - self._us(kept[-1]) > self.delay_us:
+                kept.append(row)
+        if kept != before:
+            for due in {self._due_ms(r) for r in before} - {self._due_ms(r) for r in kept}:
+                self.handle.deleteTimer(due)
+            for due in {self._due_ms(r) for r in kept} - {self._due_ms(r) for r in before}:
+                self.handle.registerTimer(due)
+            self.kept.put(kept)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        kept = [tuple(r) for r in self.kept.get()]
+        later = [r for r in kept if self._due_ms(r) > due]
+        if later:
+            self.kept.put(later)
+        else:
+            self.kept.clear()
+        return iter([Row(**dict(zip(self.columns, r, strict=True))) for r in kept if self._due_ms(r) <= due])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_dedupe(records: DataFrame, time: str = "time", delay: str = "10 minutes", key: str = "request_id") -> DataFrame:
+    """The earliest record of each ``key``, whole; of records at one time, the one whose values come first as text.
+
+    On a stream, records within ``delay`` of each other are copies, and the earliest comes out once the watermark has passed it by ``delay``,
+    so copies that arrive late but within the watermark count, later ones are dropped. Records without a time
+    are dropped there. The stream needs the state store of ``ROCKSDB``. On a batch all records of a key are copies.
+    """
+    if not records.isStreaming:
+        shown = F.struct(F.col(time).isNull(), time, *[F.struct(F.col(c).isNotNull(), F.col(c).cast("string")) for c in records.columns])
+        return records.groupBy(key).agg(F.min_by(F.struct(*records.columns), shown).alias("r")).select("r.*")
+    span = records.sparkSession.sql(f"SELECT CAST(unix_micros(timestamp_seconds(0) + INTERVAL {delay}) AS BIGINT)").first()[0]
+    keep = EarliestRecord(records.columns, time, records.schema, span)
+    rows = records.where(F.col(time).isNotNull()).withWatermark(time, delay)
+    return rows.groupBy(key).transformWithState(keep, records.schema, "Append", "EventTime")
