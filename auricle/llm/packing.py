@@ -8,6 +8,7 @@ so only these are cut again, and less than a window is left, which waits for the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +25,6 @@ END_ID = 0
 BLOCK_IDS = 1 << 22
 #: Rows of a batch that are encoded, and rows that are given, at a time.
 SLICE, ROWS = 500, 4096
-#: Words whose ids a task remembers, and the longest of them.
-MEMO, MEMO_CHARS = 200_000, 64
 #: Texts are encoded in parts of about this many characters.
 PART = 1 << 18
 
@@ -51,34 +50,42 @@ def read_tokenizer(path: str | None = None) -> bytes:
         return f.read()
 
 
+def byte_ranks(model: dict) -> dict[bytes, int] | None:
+    """Bytes of each token to its id, of a parsed byte-level BPE file; None unless merges come in the order of the ids they make."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    letter = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    vocabulary = model["model"]["vocab"]
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"])
+    made = [vocabulary["".join(m)] for m in pairs]
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)):
+        return None
+    special = {t["content"] for t in model["added_tokens"]}
+    return {bytes(letter[c] for c in token): n for token, n in vocabulary.items() if token not in special}
+
+
 class Encoder:
-    """The ids of the tokenizers library as little-endian unsigned 32-bit numbers; ids of recurring words are remembered."""
+    """The ids of the tokenizers library as little-endian unsigned 32-bit numbers.
+
+    Merging goes through tiktoken on the same file's vocabulary, which is several times as fast and gives the same ids; texts with characters that
+    the libraries may class differently, or with a special token, go through the tokenizers library itself.
+    """
 
     def __init__(self, model: bytes) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(model)
-        self.words = regex.compile(WORDS)
-        encoder = self
-
-        class Memo(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = encoder.library(word)
-                if len(word) <= MEMO_CHARS:
-                    if len(self) >= MEMO:
-                        self.clear()
-                    self[word] = ids
-                return ids
-
-        self.memo = Memo()
+        ranks = byte_ranks(json.loads(model))
+        self.merge = None if ranks is None else tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def part(self, text: str) -> bytes:
-        if SPECIAL in text or EXOTIC.search(text):
+        if self.merge is None or SPECIAL in text or EXOTIC.search(text):
             return self.library(text)
-        return b"".join(map(self.memo.__getitem__, self.words.findall(text)))
+        return np.array(self.merge(text), "<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         """Ids of a whole text, encoded in parts that end where words do. Null and empty texts have none."""
