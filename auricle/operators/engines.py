@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import multiprocessing
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from auricle import schemas
 from auricle.functions.audio import fixed_decimals
-from auricle.operators import decode
+from auricle.operators import decode, intake
 from auricle.operators.features import float_views
+from auricle.schemas import Limits
 
 
 class Engine(Protocol):
@@ -30,11 +32,77 @@ class Engine(Protocol):
 RESULT_TYPE = pa.struct([("text", pa.string()), ("language", pa.string()), ("duration", pa.float32()), ("inference_ms", pa.int64()), ("tokens", pa.list_(pa.string())), ("timestamps", pa.list_(pa.float32()))])
 
 
-def transcribe(samples: DataFrame, make_engine: Callable[[], Engine]) -> DataFrame:
-    """(clip_id, text, language, duration, inference_ms, tokens, timestamps, error) of samples (clip_id, sample_rate, samples).
+class TimedEngine:
+    """An engine in a process of its own, which is killed when a clip takes too long and started again for the next clip."""
+
+    def __init__(self, make_engine: Callable[[], Engine], timeout_s: float, start_s: float = 300) -> None:
+        self.make_engine, self.timeout_s, self.start_s = make_engine, timeout_s, start_s
+        self.process = None
+
+    def _serve(self, pipe) -> None:
+        engine = self.make_engine()
+        pipe.send(("ready", None))
+        while True:
+            clip = pipe.recv()
+            if clip is None:
+                break
+            try:
+                pipe.send(("result", engine.transcribe(*clip)))
+            except Exception as e:
+                pipe.send(("error", f"{type(e).__name__}: {e}"))
+        engine.close()
+
+    def _answer(self, seconds: float) -> tuple:
+        if not self.pipe.poll(seconds):
+            self._kill()
+            raise TimeoutError(f"no answer within {seconds:g} s")
+        try:
+            return self.pipe.recv()
+        except EOFError:
+            self._kill()
+            raise RuntimeError("the engine's process ended") from None
+
+    def _start(self) -> None:
+        own = multiprocessing.get_context("fork")
+        self.pipe, theirs = own.Pipe()
+        self.process = own.Process(target=self._serve, args=(theirs,), daemon=True)
+        self.process.start()
+        theirs.close()
+        self._answer(self.start_s)
+
+    def _kill(self) -> None:
+        self.process.kill()
+        self.process.join()
+        self.pipe.close()
+        self.process = None
+
+    def transcribe(self, samples: np.ndarray, sample_rate: int) -> dict:
+        """The engine's result; TimeoutError after the limit, or the engine's own failure as RuntimeError."""
+        if self.process is None:
+            self._start()
+        self.pipe.send((samples, sample_rate))
+        kind, got = self._answer(self.timeout_s)
+        if kind == "error":
+            raise EngineError(got)
+        return got
+
+    def close(self) -> None:
+        if self.process is not None:
+            self.pipe.send(None)
+            self.process.join(1)
+            self._kill()
+
+
+class EngineError(Exception):
+    """A failure in an engine's own process, in its words."""
+
+
+def transcribe(samples: DataFrame, make_engine: Callable[[], Engine], timeout_s: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(clip_id, text, language, duration, inference_ms, tokens, timestamps, error) of samples (clip_id, sample_rate, samples), and the columns ``keep`` as they are.
 
     ``make_engine`` runs once a task. A clip on which the engine fails keeps its row with
-    ``error`` set (the gate makes it a 408), so a job never fails for a clip. Empty audio gives an
+    ``error`` set (the gate makes it a 408), so a job never fails for a clip. With ``timeout_s`` the engine runs in a process beside the task's, and
+    a clip that takes longer fails likewise, however the engine hangs. Empty audio gives an
     empty result without calling the engine; no speech gives empty text and no tokens. An engine over
     tables (``TableEngine``) takes its own table instead of samples, and no Python stage.
     """
@@ -42,7 +110,7 @@ def transcribe(samples: DataFrame, make_engine: Callable[[], Engine]) -> DataFra
         return make_engine.results(samples).withColumn("error", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = make_engine()
+        engine = make_engine() if timeout_s is None else TimedEngine(make_engine, timeout_s)
         try:
             for batch in batches:
                 clips, rates, arrays = batch.column(0).to_pylist(), batch.column(1).to_pylist(), float_views(batch.column(2))
@@ -53,6 +121,8 @@ def transcribe(samples: DataFrame, make_engine: Callable[[], Engine]) -> DataFra
                     if len(x):
                         try:
                             got = engine.transcribe(x, rate) or {}
+                        except EngineError as e:
+                            error = str(e)
                         except Exception as e:
                             error = f"{type(e).__name__}: {e}"
                     results.append({
@@ -61,11 +131,27 @@ def transcribe(samples: DataFrame, make_engine: Callable[[], Engine]) -> DataFra
                     })
                     errors.append(error)
                 struct = pa.array(results, RESULT_TYPE)
-                yield pa.RecordBatch.from_arrays([pa.array(clips, pa.int64()), *struct.flatten(), pa.array(errors, pa.string())], ["clip_id", *(f.name for f in RESULT_TYPE), "error"])
+                yield pa.RecordBatch.from_arrays([pa.array(clips, pa.int64()), *struct.flatten(), pa.array(errors, pa.string()), *batch.columns[3:]], ["clip_id", *(f.name for f in RESULT_TYPE), "error", *keep])
         finally:
             engine.close()
 
-    return samples.select("clip_id", "sample_rate", "samples").mapInArrow(run, f"{schemas.RESULTS}, error string")
+    kept = "".join(f", `{c}` {samples.schema[c].dataType.simpleString()}" for c in keep)
+    return samples.select("clip_id", "sample_rate", "samples", *keep).mapInArrow(run, f"{schemas.RESULTS}, error string{kept}")
+
+
+def transcribe_gated(clips: DataFrame, make_engine: Callable[[], Engine], limits: Limits | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Results of all clips and their ``outcome`` (code, type, message), in one plan without a join.
+
+    ``clips`` (clip_id, sample_rate, samples, length, format, n_samples, and what else the gate looks at) pass the gate first; rejected ones never reach the engine. A clip whose
+    engine fails, or takes longer than the limits' request timeout, fails the gate's last check: 408.
+    """
+    limits = limits or Limits()
+    gated = intake.gate(clips, limits)
+    told = ("malformed", "has_file", "readable", "length", "format", "n_samples")
+    sent = gated.withColumn("samples", F.when(F.col("outcome.code") == 200, F.col("samples")))
+    done = transcribe(sent, make_engine, limits.request_timeout_s, tuple(dict.fromkeys((*told, *keep))))
+    judged = done.withColumn("inferred", F.col("error").isNull()).withColumn("outcome", intake.intake_outcome(limits))
+    return judged.drop(*(c for c in told if c not in keep), "inferred")
 
 
 def echo_results(samples: DataFrame) -> DataFrame:

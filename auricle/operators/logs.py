@@ -11,7 +11,7 @@ from auricle.functions.labels import LEVELS, level_rank
 def filter_level(records: DataFrame, level: str) -> DataFrame:
     """Records at or above ``level``; empty means info; records of unknown level are dropped."""
     if level not in (*LEVELS, ""):
-        raise ValueError(f"unknown log level {level!r} (expected debug, info, warn, error)")
+        raise ValueError(f"records have the levels {', '.join(LEVELS)}, not {level!r}")
     return records.where(level_rank(F.col("level")) >= LEVELS[level or "info"])
 
 

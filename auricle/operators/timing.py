@@ -1,7 +1,8 @@
 """Word timing and segments.
 
 Results with a clip a row (tokens and timestamps as arrays) are timed row by row in one Arrow stage,
-without any exchange. Tokens in long form (a token a row) take windows that share one exchange on clip_id.
+without any exchange. Tokens in long form (a token a row) are scanned in ranges: windows run within a range of a clip, and
+a row a range carries what the next ones need, so a clip with half of all tokens is still many tasks' work.
 """
 
 from __future__ import annotations
@@ -14,23 +15,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auricle.shared import Scratch
+
 # Length of a clip's last token, words in a segment without a sentence end.
 LAST_TOKEN_S = 0.1
 MAX_SEGMENT_WORDS = 15
 MARK = "▁"
-TRIM = "(?U)^\\s+|\\s+$"
-#: The same white space, spelled out.
+#: White space of any script.
 WHITE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Places of a clip that one group of a scan holds.
+RANGE = 8192
 #: Clips that a Python worker times at a time.
 SLICE = 1_000
 WORD_TYPE = "array<struct<word:string,start:double,end:double>>"
 SEGMENT_TYPE = "array<struct<id:int,start:double,end:double,text:string>>"
 
 
-def by_pos():
-    return Window.partitionBy("clip_id").orderBy("pos")
-
-
 def explode_tokens(results: DataFrame, strict: bool = False) -> DataFrame:
     """(clip_id, pos, token, ts) of results with tokens and timestamps.
 
@@ -43,25 +43,101 @@ def explode_tokens(results: DataFrame, strict: bool = False) -> DataFrame:
     return long.select("clip_id", "pos", (token if strict else F.replace(token, F.lit(MARK), F.lit(" "))).alias("token"), "ts")
 
 
-def token_intervals(tokens: DataFrame) -> DataFrame:
-    """``tokens`` with start and end: a token ends where the next starts, the last after 0.1 s. Null tokens are then dropped."""
+def _ranged(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with their range: RANGE places of a clip, so a clip of any length is many small groups."""
+    return rows.withColumn("range", F.floor(F.col(by) / RANGE).cast("long"))
+
+
+def _in_range(by: str):
+    return Window.partitionBy("clip_id", "range").orderBy(by)
+
+
+def _ranges():
+    """Over a clip's ranges, of which there is a row each."""
+    return Window.partitionBy("clip_id").orderBy("range")
+
+
+def _earlier():
+    return _ranges().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _with_carries(rows: DataFrame, of_range: dict[str, F.Column], *carries: dict[str, F.Column]) -> DataFrame:
+    """``rows`` with what each range takes over from the others of its clip: ``of_range`` aggregates a range, each of ``carries`` runs over these.
+
+    Aggregates are partial before any exchange, so one row a range is all that runs over a clip.
+    """
+    sums = rows.groupBy("clip_id", "range").agg(*[c.alias(name) for name, c in of_range.items()])
+    for step in carries:
+        sums = sums.withColumns(step)
+    return rows.join(sums.select("clip_id", "range", *[name for step in carries for name in step]), ["clip_id", "range"])
+
+
+def _time_carries() -> tuple[dict[str, F.Column], dict[str, F.Column]]:
+    """Aggregate and carry of a clip's time: a range's last token ends where the next range's first one starts."""
+    return {"head_ts": F.min_by("ts", "pos")}, {"after": F.lead("head_ts").over(_ranges())}
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    following = F.coalesce(F.lead(F.struct("ts")).over(_in_range("pos")), F.struct(F.col("after").alias("ts")))["ts"]
     start = F.col("ts").cast("double")
-    end = F.coalesce(F.lead("ts").over(by_pos()).cast("double"), start + LAST_TOKEN_S)
-    return tokens.withColumns({"start": start, "end": end}).where("token is not null")
+    return rows.withColumns({"start": start, "end": F.coalesce(following.cast("double"), start + LAST_TOKEN_S)})
+
+
+def token_intervals(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with start and end: a token ends where the next starts, the last after 0.1 s. Null tokens are then dropped.
+
+    Places (``pos``) of a clip differ. A range of a clip's tokens takes the time of the next range's first one, so long clips are spread over tasks.
+    """
+    rows = _with_carries(_ranged(tokens, "pos"), *_time_carries())
+    return _timed(rows).where("token is not null").select(*tokens.columns, "start", "end")
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with the trimmed token, null if blank, and whether it opens a word."""
+    clean = F.btrim("token", F.lit(WHITE))
+    return rows.withColumn("clean", F.when(clean != "", clean)).withColumn("opens", F.when(F.col("clean").isNotNull(), F.col("token").startswith(" ").cast("long")))
+
+
+def _word_carries() -> tuple[dict[str, F.Column], dict[str, F.Column]]:
+    """Aggregates and carries of a clip's words, which are numbered from 0 whether its first token opens one or not."""
+    head = F.min_by("opens", F.when(F.col("opens").isNotNull(), F.col("pos")))
+    before = F.coalesce(F.sum("opened").over(_earlier()), F.lit(0))
+    first = F.first("head", ignorenulls=True).over(_ranges().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return {"opened": F.coalesce(F.sum("opens"), F.lit(0)), "head": head}, {"before": before - first, "high": before - first + F.col("opened")}
+
+
+def _united(rows: DataFrame, number: str, name: str, text: F.Column, sign: str) -> DataFrame:
+    """Rows of a range put together by ``number``, and those that may go on in another range, its first and last ones, by clip.
+
+    What a range gives needs no further exchange; two rows a range are exchanged. The ranges' rows are written to the shared folder in between.
+    """
+    inside = rows.groupBy("clip_id", "range", number)
+    edge = F.bool_or((F.col(number) == F.col("low_edge")) | (F.col(number) == F.col("high_edge")))
+    parts = inside.agg(text.alias(name), F.min("start").alias("start"), F.max_by("end", "at").alias("end"), edge.alias("edge"))
+    parts = Scratch(rows.sparkSession, "timing").save(parts, name)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", name))), lambda p: p[name]), sign)
+    across = parts.where("edge").groupBy("clip_id", number).agg(joined.alias(name), F.min_by("start", "range").alias("start"), F.max_by("end", "range").alias("end"))
+    columns = ("clip_id", number, name, "start", "end")
+    return parts.where("not edge").select(*columns).unionByName(across.select(*columns))
+
+
+def _in_order(name: str) -> F.Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("at", name))), lambda t: t[name])
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    """Words of marked and timed tokens with their carries."""
+    number = F.col("before") + F.sum("opens").over(_in_range("pos").rowsBetween(Window.unboundedPreceding, 0))
+    kept = rows.where("clean is not null").select("clip_id", "range", number.cast("int").alias("word_id"), F.col("pos").alias("at"), "clean", "start", "end", F.col("before").alias("low_edge"), F.col("high").alias("high_edge"))
+    return _united(kept, "word_id", "word", F.array_join(_in_order("clean"), ""), "")
 
 
 def build_words(intervals: DataFrame) -> DataFrame:
-    """(clip_id, word_id, word, start, end): tokens with a leading space open a word, blank ones are skipped."""
-    kept = intervals.withColumn("clean", F.regexp_replace("token", TRIM, "")).where("clean <> ''")
-    opens = F.col("token").startswith(" ").cast("int")
-    number = F.sum(opens).over(by_pos().rowsBetween(Window.unboundedPreceding, 0))
-    parts = kept.withColumn("n", number)
-    words = parts.groupBy("clip_id", "n").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "clean"))), lambda t: t["clean"]), "").alias("word"),
-        F.min_by("start", "pos").alias("start"),
-        F.max_by("end", "pos").alias("end"),
-    )
-    return words.withColumn("word_id", (F.row_number().over(Window.partitionBy("clip_id").orderBy("n")) - 1).cast("int")).select("clip_id", "word_id", "word", "start", "end")
+    """(clip_id, word_id, word, start, end): tokens with a leading space open a word, blank ones are skipped.
+
+    Each range counts the words it opens and goes on from those before it. Words are written to the shared folder.
+    """
+    return _words(_with_carries(_marked(_ranged(intervals, "pos")), *_word_carries()))
 
 
 def sentence_end(word: F.Column) -> F.Column:
@@ -69,24 +145,36 @@ def sentence_end(word: F.Column) -> F.Column:
 
 
 def build_segments(words: DataFrame) -> DataFrame:
-    """(clip_id, id, start, end, text): cut after a word that ends a sentence, and after 15 words."""
-    by_word = Window.partitionBy("clip_id").orderBy("word_id")
-    before = by_word.rowsBetween(Window.unboundedPreceding, -1)
-    rows = words.withColumn("sentence", F.coalesce(F.sum(sentence_end(F.col("word")).cast("int")).over(before), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("clip_id", "sentence").orderBy("word_id")) - 1
-    rows = rows.withColumn("part", F.floor(place / MAX_SEGMENT_WORDS))
-    segments = rows.groupBy("clip_id", "sentence", "part").agg(
-        F.min_by("start", "word_id").alias("start"),
-        F.max_by("end", "word_id").alias("end"),
-        words_to_text().alias("text"),
-    )
-    number = F.row_number().over(Window.partitionBy("clip_id").orderBy("sentence", "part")) - 1
-    return segments.withColumn("id", number.cast("int")).select("clip_id", "id", "start", "end", "text")
-
-
-def words_to_text() -> F.Column:
-    """Aggregate: words in order, joined by one space."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "word"))), lambda w: w["word"]), " ")
+    """(clip_id, id, start, end, text): cut after a word that ends a sentence, and after 15 words. A clip's word ids run without gaps.
+
+    A range of words knows the cuts after its first sentence end by itself; those before it follow from where the sentence it begins in
+    has begun. So ranges take over that place and the number of cuts before them. Segments are written to the shared folder.
+    """
+    whole = lambda n: F.ceil(n / MAX_SEGMENT_WORDS)
+    stop = F.when(sentence_end(F.col("word")), F.col("word_id"))
+    rows = _ranged(words, "word_id")
+    of_range = {"stops": F.sort_array(F.collect_list(stop)), "low": F.min("word_id"), "high": F.max("word_id")}
+    bounds = F.concat("stops", F.array("high"))
+    inner = F.aggregate(F.zip_with(F.slice(bounds, 2, F.size("stops")), "stops", lambda b, a: whole(b - a)), F.lit(0).cast("long"), lambda n, x: n + x)
+    earlier = {"stopped": F.max(F.array_max("stops")).over(_earlier()), "first": F.first("low").over(_ranges())}
+    place = F.col("low") - F.coalesce(F.col("stopped") + 1, F.col("first"))
+    lead = F.coalesce(F.get("stops", F.lit(0)), F.col("high")) - F.col("low") + 1
+    cuts = {"cuts": whole(place + lead) - whole(place) + F.when(F.size("stops") > 0, inner).otherwise(0)}
+    rows = _with_carries(rows, of_range, earlier, cuts, {"before": F.coalesce(F.sum("cuts").over(_earlier()), F.lit(0))})
+    stopped = F.coalesce(F.max(stop).over(_in_range("word_id").rowsBetween(Window.unboundedPreceding, -1)), F.col("stopped"))
+    cut = (F.col("word_id") - F.coalesce(stopped + 1, F.col("first"))) % MAX_SEGMENT_WORDS == 0
+    number = F.col("before") + F.sum(F.col("cut").cast("long")).over(_in_range("word_id").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    edges = [(F.col("before") - 1).alias("low_edge"), (F.col("before") + F.col("cuts") - 1).alias("high_edge")]
+    rows = rows.withColumn("cut", cut).select("clip_id", "range", number.cast("int").alias("id"), F.col("word_id").alias("at"), "word", "start", "end", *edges)
+    return _united(rows, "id", "text", F.array_join(_in_order("word"), " "), " ")
+
+
+def time_tokens(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words, segments) of tokens in long form. Tokens are read twice, for their ranges' sums and for themselves, and exchanged once, by range."""
+    aggregates, carries = zip(_time_carries(), _word_carries(), strict=True)
+    rows = _with_carries(_marked(_ranged(tokens, "pos")), aggregates[0] | aggregates[1], carries[0] | carries[1])
+    words = _words(_timed(rows))
+    return words, build_segments(words)
 
 
 def nest_timing(clips: DataFrame, words: DataFrame, segments: DataFrame) -> DataFrame:

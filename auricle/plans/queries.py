@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auricle.functions.audio import clip_duration
+from auricle.functions.audio import clip_duration, wav_pcm
 from auricle.functions.labels import error_envelope, request_id, resolve_language, sanitize_filename, sanitize_lang, trace_context, valid_model_name
 from auricle.operators import decode, engines, features, intake, logs, metrics, models, render, timing
 from auricle.plans import views
 from auricle.schemas import Limits
-from auricle.shared import shared_dir
+from auricle.shared import Scratch, shared_dir
+from auricle.sources import sinks
 from auricle.sources.scans import parse_request_logs
 from auricle.streaming import jobs
 
@@ -21,6 +22,12 @@ def timed(spark: SparkSession, d: str) -> DataFrame:
     return timing.with_timing(views.results(spark, d))
 
 
+def segments_long(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of tokens in long form, from a table of them, as they are read more than once."""
+    tokens = Scratch(spark, "tokens").save(views.tokens(spark, d), "tokens")
+    return timing.time_tokens(tokens)[1]
+
+
 def rendered(make):
     """Clips with segments, each rendered from its own row."""
     return lambda spark, d: timed(spark, d).where("segments is not null").select("clip_id", make(F.col("segments")))
@@ -175,7 +182,14 @@ def pad_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_mel(flavor: str):
-    return lambda spark, d: features.log_mel(views.long_samples(spark, d), flavor, "pcm")
+    """A frame a row, its bins in thousandths."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        mel = features.log_mel(views.long_samples(spark, d), flavor, "pcm")
+        thousandths = F.transform("mel", lambda x: F.round(x.cast("double") * 1000).cast("bigint").cast("string"))
+        return mel.select("clip_id", "frame", F.array_join(thousandths, " ").alias("mel_thousandths"))
+
+    return run
 
 
 def pcm(spark: SparkSession, d: str) -> DataFrame:
@@ -197,6 +211,15 @@ def echo(spark: SparkSession, d: str) -> DataFrame:
     return got.select("clip_id", "text", "language", F.col("duration").cast("double").alias("duration"), F.size("tokens").alias("n_tokens"), "error")
 
 
+def transcribed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as WAV clips through gate, engine and deadline: some clips hang, some fail, all have an outcome."""
+    clips = views.wav_clips(views.table(spark, d, "documents"))
+    found = intake.with_format(clips.withColumn("pcm", wav_pcm(F.col("content")))).withColumn("n_samples", F.floor(F.length("pcm") / 2).cast("long"))
+    samples = features.pcm16_to_float(found.drop("content")).withColumn("sample_rate", F.lit(16_000))
+    done = engines.transcribe_gated(samples, views.StallingEngine, Limits(request_timeout_s=3))
+    return done.select("clip_id", "text", "error", "outcome.code", "outcome.message")
+
+
 def echo_columns(spark: SparkSession, d: str) -> DataFrame:
     return engines.echo_results(views.samples(spark, d)).select("clip_id", "text", "language", F.col("duration").cast("double").alias("duration"))
 
@@ -226,6 +249,16 @@ def pending(spark: SparkSession, d: str) -> DataFrame:
     return intake.pending_clips(corpus, done).select("path", "doc_id")
 
 
+def transcripts_written(spark: SparkSession, d: str) -> DataFrame:
+    """Documents transcribed in three runs into one folder: the even ones, then all, then all again, which adds nothing."""
+    at = _folder(spark)
+    docs = views.table(spark, d, "documents")
+    corpus = docs.select(F.concat(F.lit("clip/"), F.col("doc_id")).alias("path"), F.col("n_chars").alias("modificationTime"), "doc_id", "text", F.col("lang").alias("language"))
+    for rows in (corpus.where("doc_id % 2 = 0"), corpus, corpus):
+        sinks.write_pending(rows, at, lambda clips: clips)
+    return sinks.read_transcripts(spark, at).select("path", "lang", F.sha2("text", 256).alias("text_sha256"), F.col("batch").cast("int").alias("batch"))
+
+
 def manifest(spark: SparkSession, d: str) -> DataFrame:
     """Labels as the manifest of documents."""
     rows = views.table(spark, d, "labels").select(F.concat(F.lit("clip/"), F.expr("doc_id + if(quality = 0, 1000000000, 0)")).alias("path"))
@@ -337,7 +370,7 @@ QUERIES = {
     "token_intervals": lambda spark, d: timing.timed_tokens(views.results(spark, d)).withColumn("ts", F.col("ts").cast("double")),
     "build_words": lambda spark, d: timing.words_of(timed(spark, d)),
     "build_segments": lambda spark, d: timing.segments_of(timed(spark, d)),
-    "build_segments_long": lambda spark, d: timing.build_segments(timing.build_words(timing.token_intervals(views.tokens(spark, d)))),
+    "build_segments_long": segments_long,
     "render_srt": rendered(lambda s: render.srt(s).alias("srt")),
     "render_vtt": rendered(lambda s: render.vtt(s).alias("vtt")),
     "render_verbose_json": verbose_json,
@@ -382,12 +415,14 @@ QUERIES = {
     "mel_means": mel_means,
     "echo_transcribe": echo,
     "echo_columns": echo_columns,
+    "transcribe_outcomes": transcribed,
     "model_type_of": model_types,
     "model_integrity": integrity,
     "checksum_status": checksums,
     "artifact_checksum": artifact_hashes,
     "pending_clips": pending,
     "attach_manifest": manifest,
+    "write_pending": transcripts_written,
     "stream_requests_total": stream_requests_total,
     "stream_windowed": stream_windowed,
     "windowed_counts": windowed,

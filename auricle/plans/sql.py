@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from auricle.operators import metrics
-from auricle.plans.views import CLIP_FACTOR, CLIP_IDS, FACT_LANGUAGES, PADDED
+from auricle.plans.views import CLIP_FACTOR, CLIP_IDS, FACT_LANGUAGES, PADDED, STALLS
 
 #: White space as Unicode counts it, for both ends of a token.
 SPACE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -71,6 +71,7 @@ intervals AS (
 
 _LANGS = "[" + ", ".join(f"'{x}'" for x in FACT_LANGUAGES) + "]"
 _N = len(FACT_LANGUAGES)
+_CODES = ", ".join(f"'{x}'" for x in FACT_LANGUAGES if x not in ("xx", ""))
 FACTS = f"""
 facts AS (
   SELECT event_id, 'req-' || event_id AS request_id, ts AS arrival, epoch_us(ts) AS arrival_us, (event_id % 5)::DOUBLE AS queue_s, value / 1000 AS decode_s, value / 100 AS inference_s,
@@ -173,6 +174,37 @@ inventory AS (
 
 BUCKETS = ", ".join(f"count_if(decode_s + inference_s <= {b!r}::DOUBLE)::BIGINT AS le_{str(b).replace('.', '_')}" for b in metrics.REQUEST_BUCKETS)
 BUCKET_NAMES = ", ".join(f"le_{str(b).replace('.', '_')}" for b in metrics.REQUEST_BUCKETS)
+
+
+def log_mel(n_mels: int, shift: int) -> str:
+    """Frames (clip_id, frame, mel) by a relational transform: frames meet the rows of two matrices of cosines and sines, their powers those of the filters.
+
+    ``shift`` is where the window of 400 samples begins in a frame of 512.
+    """
+    return f"""
+h AS (SELECT doc_id AS clip_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL),
+v AS (SELECT clip_id, h, unnest(range(length(h) // 4)) AS pos FROM h),
+u AS (SELECT clip_id, pos, ('0x' || substr(h, pos * 4 + 3, 2) || substr(h, pos * 4 + 1, 2))::INT AS u FROM v),
+wave AS (SELECT clip_id, count(*) AS n, list(((CASE WHEN u >= 32768 THEN u - 65536 ELSE u END)::FLOAT / 32767::FLOAT)::DOUBLE ORDER BY pos) AS x FROM u GROUP BY clip_id),
+padded AS (SELECT clip_id, n, list_reverse(x[2:257]) || x || list_reverse(x[n - 256:n - 1]) AS x FROM wave WHERE n >= 400),
+cut AS (SELECT clip_id, frame, x[frame * 160 + {shift + 1}:frame * 160 + {shift + 400}] AS x FROM (SELECT clip_id, x, unnest(range(1 + n // 160))::INT AS frame FROM padded)),
+matrix AS (
+  SELECT b, list((0.5 - 0.5 * cos(2 * pi() * k / 400)) * cos(2 * pi() * b * k / 512) ORDER BY k) AS re, list((0.5 - 0.5 * cos(2 * pi() * k / 400)) * sin(2 * pi() * b * k / 512) ORDER BY k) AS im
+  FROM range(257) t(b), range(400) s(k) GROUP BY b),
+power AS (SELECT clip_id, frame, list(pow(list_inner_product(x, re), 2) + pow(list_inner_product(x, im), 2) ORDER BY b) AS p FROM cut, matrix GROUP BY clip_id, frame),
+edges AS (SELECT i, 700 * (pow(10, i * log10(1 + 8000 / 700::DOUBLE) / {n_mels + 1}) - 1) AS f FROM range({n_mels + 2}) t(i)),
+bank AS (
+  SELECT l.i AS m, list(greatest(least((b * 31.25 - l.f) / (c.f - l.f + 1e-10), (r.f - b * 31.25) / (r.f - c.f + 1e-10)), 0) / (r.f - l.f) ORDER BY b) AS w
+  FROM edges l JOIN edges c ON c.i = l.i + 1 JOIN edges r ON r.i = l.i + 2, range(257) t(b) GROUP BY l.i),
+mels AS (
+  SELECT clip_id, frame, list(ln(greatest(list_inner_product(p, w), 1e-5))::FLOAT::DOUBLE ORDER BY m) AS mel FROM power, bank GROUP BY clip_id, frame
+  UNION ALL SELECT h.clip_id, 0, list_transform(range({n_mels}), lambda i: 0::DOUBLE) FROM h LEFT JOIN wave USING (clip_id) WHERE coalesce(n, 0) < 400)"""
+
+
+def log_mel_rows(n_mels: int, shift: int) -> str:
+    return f"""WITH {log_mel(n_mels, shift)} SELECT clip_id, frame, array_to_string(list_transform(mel, lambda v: round(v * 1000)::BIGINT), ' ') AS mel_thousandths FROM mels"""
+
+
 WINDOWED = f"windowed AS (SELECT arrival_us // 3600000000 * 3600000000 AS window_start, status, count(*) AS requests, {BUCKETS} FROM facts GROUP BY 1, 2)"
 
 CLIPS = """
@@ -308,6 +340,11 @@ WITH {FACTS}, {LOGS}, {SPANS} SELECT l.request_id, l.trace_id, s.us AS root_us F
 WITH {FRAMES}, n AS (SELECT clip_id, count(*) AS n FROM frames GROUP BY clip_id), g AS (SELECT clip_id, n, unnest(range({PADDED}))::INT AS frame FROM n)
 SELECT clip_id, frame, bin, coalesce(logits[bin + 1], 0)::DOUBLE AS value, least(n, {PADDED})::INT AS n_valid, n > {PADDED} AS truncated FROM g LEFT JOIN frames USING (clip_id, frame), (SELECT unnest(range(64))::INT AS bin)""",
     "frame_counts": "SELECT doc_id AS clip_id, (CASE WHEN strlen(text) // 2 < 400 THEN 1 ELSE 1 + strlen(text) // 2 // 160 END)::INT AS frames FROM documents WHERE text IS NOT NULL",
+    "log_mel_80": log_mel_rows(80, 56),
+    "log_mel_128": log_mel_rows(128, 0),
+    "mel_means": f"""
+WITH {log_mel(80, 56)}, bins AS (SELECT unnest(range(80))::INT AS bin, unnest(mel) AS value FROM mels)
+SELECT bin, round(avg(value), 3) AS mean, count(*) AS frames FROM bins GROUP BY bin""",
     "echo_transcribe": """
 SELECT vec_id AS clip_id, CASE WHEN vec_id % 50 = 0 THEN '' ELSE '[echo] ' || len(embedding) || ' samples at 16000Hz, ' || printf('%.1f', len(embedding) / 16000) || 's' END AS text,
   CASE WHEN vec_id % 50 = 0 THEN '' ELSE 'en' END AS language, (CASE WHEN vec_id % 50 = 0 THEN 0 ELSE len(embedding) / 16000 END)::FLOAT::DOUBLE AS duration, 0::INT AS n_tokens, NULL::VARCHAR AS error FROM embeddings""",
@@ -347,6 +384,8 @@ SELECT path, doc_id FROM corpus ANTI JOIN done USING (path, version)""",
     "attach_manifest": """
 WITH m AS (SELECT 'clip/' || (doc_id + CASE WHEN quality = 0 THEN 1000000000 ELSE 0 END) AS path FROM labels), c AS (SELECT 'clip/' || doc_id AS path, n_chars, true AS there FROM documents)
 SELECT path, n_chars, coalesce(there, false) AS has_file FROM m LEFT JOIN c USING (path)""",
+    "write_pending": f"""
+SELECT 'clip/' || doc_id AS path, CASE WHEN lang IN ({_CODES}) THEN lang ELSE 'other' END AS lang, sha256(text) AS text_sha256, (doc_id % 2)::INT AS batch FROM documents""",
     "stream_requests_total": f"WITH {FACTS} SELECT status, lang, count(*) AS value FROM tagged GROUP BY status, lang",
     "stream_windowed": f"""
 WITH {FACTS}, {WINDOWED} SELECT window_start, status, requests, {BUCKET_NAMES} FROM windowed
@@ -364,6 +403,13 @@ WITH {WAVS}, m AS (
   SELECT *, CASE WHEN coalesce(n, 0) < 1 THEN 'audio decode failed: no audio' WHEN n < 1600 THEN 'audio too short (minimum 100ms required)' END AS message FROM wavs)
 SELECT clip_id, CASE WHEN make = 5 THEN 'mp3' ELSE 'wav' END AS format, n AS n_samples, CASE WHEN message IS NULL THEN 200 ELSE 400 END AS code, message,
   CASE WHEN message IS NULL THEN sha256(content) END AS content_sha256 FROM m""",
+    "transcribe_outcomes": f"""
+WITH {WAVS}, m AS (
+  SELECT clip_id, n, CASE WHEN coalesce(n, 0) < 1 THEN 'audio decode failed: no audio' WHEN n < 1600 THEN 'audio too short (minimum 100ms required)' END AS rejected,
+    CASE n % {STALLS} WHEN 0 THEN 'TimeoutError: no answer within 3 s' WHEN 1 THEN 'ValueError: not in the mood' END AS failed FROM wavs)
+SELECT clip_id, CASE WHEN rejected IS NULL AND failed IS NULL THEN '[echo] ' || n || ' samples at 16000Hz, ' || printf('%.1f', n / 16000) || 's' ELSE '' END AS text,
+  CASE WHEN rejected IS NULL THEN failed END AS error, CASE WHEN rejected IS NOT NULL THEN 400 WHEN failed IS NOT NULL THEN 408 ELSE 200 END AS code,
+  coalesce(rejected, CASE WHEN failed IS NOT NULL THEN 'transcription timed out' END) AS message FROM m""",
     "wav_corpus": f"""
 WITH {WAVS}, h AS (SELECT clip_id, hex(data) AS h, n FROM wavs WHERE n IS NOT NULL),
 s AS (SELECT clip_id, h, unnest(range(n)) AS pos FROM h),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auricle.functions.labels import LANGUAGES
-from auricle.operators import features, timing
+from auricle.operators import engines, features, timing
 
 #: Language values of request facts: the known codes, and three that are not.
 FACT_LANGUAGES = (*LANGUAGES, "unknown", "xx", "")
@@ -106,6 +108,21 @@ def wav_clips(docs: DataFrame) -> DataFrame:
     return rows.withColumn("length", F.length("content").cast("bigint"))
 
 
+#: Clips whose sample count this divides stall the engine below.
+STALLS = 211
+
+
+class StallingEngine(engines.EchoEngine):
+    """Echo, which never answers on some clips and fails on others."""
+
+    def transcribe(self, samples, sample_rate: int) -> dict:
+        while len(samples) % STALLS == 0:
+            time.sleep(60)
+        if len(samples) % STALLS == 1:
+            raise ValueError("not in the mood")
+        return super().transcribe(samples, sample_rate)
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts_of(table(spark, sf_dir, "events"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auricle import schemas
+from auricle.sources.artifacts import ArtifactSource
 
 # White space that parts fields, and control characters taken out of tokens.
 WHITE = "[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
@@ -69,7 +70,7 @@ def parse_request_logs(lines: DataFrame, format: str) -> DataFrame:
     if format == "json":
         return lines.select(F.from_json("value", schemas.LOG_RECORDS, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
     if format not in ("text", "journal"):
-        raise ValueError(f"unknown log format {format!r} (expected text, json or journal)")
+        raise ValueError(f"log lines can be read as json, text or journal, not as {format!r}")
     keys = F.transform(F.regexp_extract_all("value", F.lit(LINE_FIELD), F.lit(1)), F.lower)
     raw = F.regexp_extract_all("value", F.lit(LINE_FIELD), F.lit(2))
     values = F.transform(raw, lambda v: F.when(v.startswith('"'), F.regexp_replace(v.substr(F.lit(2), F.length(v) - 2), r"\\(.)", "$1")).otherwise(v))
@@ -81,12 +82,10 @@ def scan_request_logs(spark: SparkSession, path: str, format: str) -> DataFrame:
     return parse_request_logs(spark.read.text(path), format)
 
 
-def scan_model_inventory(spark: SparkSession, root: str, checksums: bool = False) -> DataFrame:
+def scan_model_inventory(spark: SparkSession, root: str, checksums: bool = False, heads: bool = True) -> DataFrame:
     """Files of model directories: directory, name, length, first two bytes, and SHA-256 if asked for.
 
-    The hash reads every byte of every file, so it is off unless needed.
+    Files may be larger than 2 GB: two bytes of each are read, or with ``checksums`` all of it, a range at a time; without either, lengths are listed alone.
     """
-    parts = F.split("path", "/")
-    files = scan_audio_corpus(spark, root)
-    digest = F.sha2("content", 256) if checksums else F.lit(None).cast("string")
-    return files.select(F.element_at(parts, -2).alias("model_dir"), F.element_at(parts, -1).alias("file"), "length", F.substring("content", 1, 2).alias("head"), digest.alias("sha256"))
+    spark.dataSource.register(ArtifactSource)
+    return spark.read.format(ArtifactSource.name()).option("heads", str(heads)).option("checksums", str(checksums)).load(root)

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from auricle import schemas
 from auricle.operators import features, intake, metrics
 from auricle.schemas import Limits
+from auricle.shared import finished_batches
 
 
 def stream_audio_corpus(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -29,14 +30,6 @@ def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def _finished(spark: SparkSession, path: str) -> list[str]:
-    """Folders of the batches under ``path`` that were written to their end."""
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
-    return sorted(f.getPath().getParent().toString() for f in found or [])
-
-
 def stream_intake(clips: DataFrame, valid_path: str, reject_path: str, checkpoint: str, limits: Limits | None = None) -> StreamingQuery:
     """Gates arriving clips and writes each batch's valid rows and rejects under ``batch=<id>``.
 
@@ -49,7 +42,7 @@ def stream_intake(clips: DataFrame, valid_path: str, reject_path: str, checkpoin
     spark = clips.sparkSession
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        if any(folder.endswith(f"/batch={batch_id}") for folder in _finished(spark, reject_path)):
+        if batch_id in finished_batches(spark, reject_path):
             return
         counted = batch if "n_samples" in batch.columns else features.count_wav_samples(batch)
         valid, rejects = intake.split_by_outcome(intake.gate(intake.with_format(counted), limits))
@@ -61,11 +54,10 @@ def stream_intake(clips: DataFrame, valid_path: str, reject_path: str, checkpoin
 
 def read_intake(spark: SparkSession, valid_path: str, reject_path: str) -> tuple[DataFrame, DataFrame] | None:
     """(valid, rejects) of the batches that ``stream_intake`` has completed, with their ``batch``; None before the first."""
-    done = _finished(spark, reject_path)
+    done = sorted(finished_batches(spark, reject_path))
     if not done:
         return None
-    names = [folder.rsplit("/", 1)[1] for folder in done]
-    read = lambda path: spark.read.option("basePath", path).parquet(*[f"{path}/{name}" for name in names])
+    read = lambda path: spark.read.option("basePath", path).parquet(*[f"{path}/batch={n}" for n in done])
     return read(valid_path), read(reject_path)
 
 
