@@ -2,61 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auricle.shared import shared_dir
+from auricle.shared import Scratch
+
+__all__ = ["WORD", "Scratch", "column_bytes", "connected_components", "edge_checksum", "fresh", "hot_keys", "map_batches", "spread_join"]
 
 #: ASCII white space, the separator of words throughout (``bytes.split`` uses the same set).
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A key is hot if it has over one in so many rows; there can't be more hot keys than this.
 HOT_KEYS = 1000
 SALTS = 64
 
 
-class Scratch:
-    """Intermediate tables written to the shared folder.
-
-    A written table cuts lineage, so it outlives lost executors, and is read column by
-    column. ``drop`` deletes one early; all are deleted when Python exits.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._delete, self.root)
-
-    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        """``df`` as a written table. Spark removes the shuffle files of the job that writes it when it is done."""
-        path = f"{self.root}/{name}"
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
-        try:
-            df.write.parquet(path, compression=compression)
-        finally:
-            self.spark.conf.set(CLEANUP, before)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._delete(f"{self.root}/{name}")
-
-    def _delete(self, path: str) -> None:
-        sc = self.spark.sparkContext
-        if sc._jsc is None:
-            return
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def column_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     return column.cast(pa.binary()).to_pylist()
