@@ -38,6 +38,7 @@ WIDE_EMAIL = re.compile(r"(?<![^\s<>\"'()\[\],;:])[^\s<>\"'()\[\],;:@]++(?:@[\w-
 WIDE_IP = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])|(?<![\w.])[0-9]++(?:\.[0-9]++){3}(?![\w.])")
 #: Digits in one group or several, with single signs (or a sign and a blank) between groups.
 NUMBER = re.compile(r"(?<![\w.,:/$€£%-])[+(]?[0-9]++(?:(?:[ .()/-]|\) |\)-| \(|[.-] )[0-9]++)*+(?![\w%$€£]|[.,:/-][0-9])")
+DIGIT_GROUP = re.compile(r"[0-9]++")
 DATE = re.compile(r"[0-9]{4}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](?:[0-9]{4}|[0-9]{2})")
 RIGHT = re.compile(r"([^\w]{1,3})([^\W\d_]+)")
 
@@ -76,14 +77,33 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def number_list(number: str) -> bool:
+    """Whether a number reads as a list of numbers: years, even steps (of its digits, if it has no groups), or single digits behind its first group.
+
+    Context alone would confirm any number that follows "call"; a phone or card number's groups have two digits or more and
+    no order among them.
+    """
+    groups = DIGIT_GROUP.findall(number)
+    values = [int(g) for g in (groups[0] if len(groups) == 1 else groups)]
+    even = len(values) > 2 and len({b - a for a, b in zip(values, values[1:], strict=False)}) == 1
+    if len(groups) < 3:
+        return even
+    return even or any(len(g) < 2 for g in groups[1:]) or all(len(g) == 4 and g[:2] in ("19", "20") for g in groups)
+
+
 def wide_kinds(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of strings that could be of a kind by their form: the candidates."""
+    """(start, kind, end) of strings that could be of a kind by their form: the candidates.
+
+    Phone numbers have 6 to 15 digits, cards 12 to 19; neither reads as a list of numbers.
+    """
     out = []
     if "@" in text or " at " in text or "at]" in text or "at)" in text:
         out += [(m.start(), 0, m.end()) for m in WIDE_EMAIL.finditer(text)]
     out += [(m.start(), 1, m.end()) for m in WIDE_IP.finditer(text) if m[0].count(":") != 2 or "::" in m[0]]
     for m in NUMBER.finditer(text):
         digits = sum("0" <= c <= "9" for c in m[0])
+        if number_list(m[0]):
+            continue
         if 6 <= digits <= 15 and m[0].count(".") != 1 and not DATE.fullmatch(m[0]):
             out.append((m.start(), 3, m.end()))
         if 12 <= digits <= 19 and "." not in m[0]:
