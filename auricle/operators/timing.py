@@ -64,12 +64,14 @@ def _earlier():
 def _with_carries(rows: DataFrame, of_range: dict[str, F.Column], *carries: dict[str, F.Column]) -> DataFrame:
     """``rows`` with what each range takes over from the others of its clip: ``of_range`` aggregates a range, each of ``carries`` runs over these.
 
-    Aggregates are partial before any exchange, so one row a range is all that runs over a clip.
+    Aggregates are partial before any exchange, so one row a range is all that runs over a clip. Rows are exchanged by range for the join, which
+    the windows within ranges then share.
     """
     sums = rows.groupBy("clip_id", "range").agg(*[c.alias(name) for name, c in of_range.items()])
     for step in carries:
         sums = sums.withColumns(step)
-    return rows.join(sums.select("clip_id", "range", *[name for step in carries for name in step]), ["clip_id", "range"])
+    carried = sums.select("clip_id", "range", *[name for step in carries for name in step])
+    return rows.join(carried.hint("shuffle_hash"), ["clip_id", "range"])
 
 
 def _time_carries() -> tuple[dict[str, F.Column], dict[str, F.Column]]:
@@ -117,8 +119,7 @@ def _united(rows: DataFrame, number: str, name: str, text: F.Column, sign: str)
     parts = Scratch(rows.sparkSession, "timing").save(parts, name)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", name))), lambda p: p[name]), sign)
     across = parts.where("edge").groupBy("clip_id", number).agg(joined.alias(name), F.min_by("start", "range").alias("start"), F.max_by("end", "range").alias("end"))
-    columns = ("clip_id", number, name, "start", "end")
-    return parts.where("not edge").select(*columns).unionByName(across.select(*columns))
+    return parts.where("not edge").select(*across.columns).unionByName(across)
 
 
 def _in_order(name: str) -> F.Column:
@@ -129,7 +130,7 @@ def _words(rows: DataFrame) -> DataFrame:
     """Words of marked and timed tokens with their carries."""
     number = F.col("before") + F.sum("opens").over(_in_range("pos").rowsBetween(Window.unboundedPreceding, 0))
     kept = rows.where("clean is not null").select("clip_id", "range", number.cast("int").alias("word_id"), F.col("pos").alias("at"), "clean", "start", "end", F.col("before").alias("low_edge"), F.col("high").alias("high_edge"))
-    return _united(kept, "word_id", "word", F.array_join(_in_order("clean"), ""), "")
+    return _united(kept, "word_id", "word", F.array_join(_in_order("clean"), ""), "").select("clip_id", "word_id", "word", "start", "end")
 
 
 def build_words(intervals: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def build_segments(words: DataFrame) -> DataFrame:
     number = F.col("before") + F.sum(F.col("cut").cast("long")).over(_in_range("word_id").rowsBetween(Window.unboundedPreceding, 0)) - 1
     edges = [(F.col("before") - 1).alias("low_edge"), (F.col("before") + F.col("cuts") - 1).alias("high_edge")]
     rows = rows.withColumn("cut", cut).select("clip_id", "range", number.cast("int").alias("id"), F.col("word_id").alias("at"), "word", "start", "end", *edges)
-    return _united(rows, "id", "text", F.array_join(_in_order("word"), " "), " ")
+    return _united(rows, "id", "text", F.array_join(_in_order("word"), " "), " ").select("clip_id", "id", "start", "end", "text")
 
 
 def time_tokens(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
