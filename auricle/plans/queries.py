@@ -13,7 +13,7 @@ from auricle.operators import decode, engines, features, intake, logs, metrics,
 from auricle.plans import views
 from auricle.schemas import Limits
 from auricle.shared import Scratch, shared_dir
-from auricle.sources import sinks
+from auricle.sources import scans, sinks
 from auricle.sources.scans import parse_request_logs
 from auricle.streaming import jobs
 
@@ -73,6 +73,40 @@ def detokenized(spark: SparkSession, d: str) -> DataFrame:
     return decode.detokenize(rows)
 
 
+def vocabulary_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as lines of token and id, with all kinds of white space around, some without an id; written and scanned again."""
+    at = _folder(spark)
+    token = F.replace("p_name", F.lit(" "), F.lit("_"))
+    line = F.when(F.col("p_partkey") % 50 == 0, F.concat(F.lit("\t"), token)).when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("\t "), token, F.lit("\t"), F.col("p_partkey"), F.lit("  ignored\u00a0"))).otherwise(F.concat_ws(" ", token, "p_partkey"))
+    views.table(spark, d, "part").select(line.alias("value")).write.text(at)
+    return scans.scan_vocab_pairs(spark, at)
+
+
+def manifests(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as manifest lines, written as JSON and scanned again; fields that a line lacks are null."""
+    at = _folder(spark)
+    docs = views.table(spark, d, "documents")
+    docs.select(F.concat(F.lit("clip/"), "doc_id").alias("path"), F.concat("source", F.lit(' "quoted" é.wav')).alias("filename"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("language"), F.lit("srt").alias("response_format"), F.lit(7).alias("other")).write.json(at)
+    return scans.scan_manifest(spark, at)
+
+
+def stored_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results of documents, stored and scanned again: every token and time, through digests."""
+    at = _folder(spark)
+    views.results(spark, d).withColumn("text", F.lit("")).write.parquet(at)
+    rows = scans.scan_results(spark, at)
+    times = F.array_join(F.transform("timestamps", lambda t: F.round(t.cast("double") * 100).cast("bigint").cast("string")), ",")
+    return rows.where("tokens is not null").select("clip_id", F.sha2(F.array_join("tokens", "|"), 256).alias("tokens_sha256"), F.sha2(times, 256).alias("times_sha256"), "language")
+
+
+def stored_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of request facts, written as JSON and scanned again."""
+    at = _folder(spark)
+    views.spans(views.facts(spark, d)).write.json(at, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    rows = scans.scan_spans(spark, at)
+    return rows.select("trace_id", "parent_id", "name", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"))
+
+
 def sniffed(spark: SparkSession, d: str) -> DataFrame:
     return intake.with_format(views.clips(spark, d)).select("clip_id", "format", "length")
 
@@ -382,6 +416,10 @@ QUERIES = {
     "detect_blank": lambda spark, d: decode.detect_blank_id(views.part_vocabulary(spark, d)),
     "token_lookup": token_lookup,
     "detokenize": detokenized,
+    "scan_vocab_pairs": vocabulary_pairs,
+    "scan_manifest": manifests,
+    "scan_results": stored_results,
+    "scan_spans": stored_spans,
     "sniff_format": sniffed,
     "format_profile": profile,
     "intake_outcome": outcomes,

@@ -143,7 +143,7 @@ span_rows AS (
   SELECT request_id, 'transcribe' AS name, began AS start_us, began + d + i + 1000 AS stop_us FROM timed_spans
   UNION ALL SELECT request_id, 'audio.decode', began, began + d FROM timed_spans UNION ALL SELECT request_id, 'model.inference', began + d, began + d + i FROM timed_spans),
 spans AS (
-  SELECT md5(request_id) AS trace_id, name, CASE WHEN name <> 'transcribe' THEN left(md5(request_id || 'transcribe'), 16) END AS parent_id, stop_us - start_us AS us FROM span_rows)"""
+  SELECT md5(request_id) AS trace_id, name, CASE WHEN name <> 'transcribe' THEN left(md5(request_id || 'transcribe'), 16) END AS parent_id, stop_us - start_us AS us, start_us, stop_us FROM span_rows)"""
 
 
 def uuid_of(key: str) -> str:
@@ -288,6 +288,13 @@ SELECT l_orderkey, l_linenumber, token_id::INT AS token_id, CASE WHEN p_partkey
     "detokenize": f"""
 WITH {TOKENS}, joined AS (SELECT clip_id, replace(string_agg(CASE WHEN token[1] = ' ' THEN '▁' || token[2:] ELSE token END, '' ORDER BY pos), '▁', ' ') AS token FROM tokens GROUP BY clip_id)
 SELECT clip_id, {TRIMMED} AS text FROM joined""",
+    "scan_vocab_pairs": "SELECT p_partkey::INT AS token_id, replace(p_name, ' ', '_') AS token FROM part WHERE p_partkey % 50 <> 0",
+    "scan_manifest": """
+SELECT 'clip/' || doc_id AS path, source || ' "quoted" é.wav' AS filename, CASE WHEN doc_id % 3 > 0 THEN lang END AS language, 'srt' AS response_format,
+  NULL::VARCHAR AS request_id, NULL::VARCHAR AS litellm_call_id FROM documents""",
+    "scan_results": f"""
+WITH {TOKENS} SELECT clip_id, sha256(array_to_string(toks, '|')) AS tokens_sha256, sha256(array_to_string(list_transform(range(len(toks)), lambda i: i * 8), ',')) AS times_sha256, NULL::VARCHAR AS language FROM listed""",
+    "scan_spans": f"WITH {FACTS}, {SPANS} SELECT trace_id, parent_id, name, start_us, stop_us AS end_us FROM spans",
     "sniff_format": f"WITH {FORMATS} SELECT clip_id, format, length::BIGINT AS length FROM labelled",
     "format_profile": f"WITH {FORMATS} SELECT coalesce(format, 'unknown') AS format, format IS NOT NULL AS accepted, count(*) AS clips, sum(length)::BIGINT AS bytes FROM labelled GROUP BY 1, 2",
     "intake_outcome": f"""
