@@ -71,7 +71,8 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str, b: str)
     """(node, root) for every node of an undirected edge list: root is the smallest node reachable.
 
     Alternating large-star and small-star rounds. Each round takes minima with partial
-    aggregation and joins them back, so a hub is never gathered into one group, and is
+    aggregation and joins them back: a hub's edges stream past its one minimum, in one task
+    unless adaptive execution splits them, and are never held as a group. Each round is
     written to the shared folder. Rows with a null end are ignored; no edges give no rows.
     """
     scratch = Scratch(spark, "components")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -254,24 +253,3 @@ def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: doc_id, n_words, n_removed, kept_sha256."""
     cut = dedup_substrings(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(docs: list[tuple[int | None, str | None]], min_words: int = MIN_WORDS) -> list[tuple[int | None, int, int, str]]:
-    """The same result for a few documents, from a table of all windows; for tests."""
-    first: dict[tuple, int] = {}
-    split = [(i, (t or "").encode().split()) for i, t in docs]
-    for i, words in split:
-        for s in range(len(words) - min_words + 1):
-            key = tuple(words[s : s + min_words])
-            if i is not None:
-                first[key] = min(first.get(key, i), i)
-    out = []
-    for i, words in split:
-        gone = set()
-        for s in range(len(words) - min_words + 1):
-            low = first.get(tuple(words[s : s + min_words]))
-            if low is not None and (i is None or low < i):
-                gone.update(range(s, s + min_words))
-        kept = b" ".join(w for p, w in enumerate(words) if p not in gone)
-        out.append((i, len(words), len(gone), hashlib.sha256(kept).hexdigest()))
-    return out
