@@ -52,8 +52,14 @@ def argmax(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ctc_text(spark: SparkSession, d: str) -> DataFrame:
-    results = engines.ctc_engine(views.frames(spark, d), views.frame_vocabulary(spark, d), views.BLANK_ID)
-    return results.select("clip_id", "text", F.size("tokens").alias("n_tokens"), F.element_at("timestamps", -1).cast("double").alias("last_ts"))
+    """Stored logits through the registered engine over tables: text, every token and every time, in hundredths of a second."""
+    frames = views.frames(spark, d)
+    results = engines.transcribe(frames, engines.engine("ctc", vocabulary=views.frame_vocabulary(spark, d), blank_id=views.BLANK_ID))
+    times = F.transform("timestamps", lambda t: F.round(t.cast("double") * 100).cast("bigint").cast("string"))
+    return results.select(
+        "clip_id", "text", F.size("tokens").alias("n_tokens"), F.element_at("timestamps", -1).cast("double").alias("last_ts"),
+        F.array_join("tokens", "|").alias("tokens"), F.array_join(times, ",").alias("times"), "error",
+    )
 
 
 def ctc_segments(spark: SparkSession, d: str) -> DataFrame:

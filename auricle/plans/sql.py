@@ -278,7 +278,8 @@ FROM k LEFT JOIN r ON r.clip_id = k.doc_id""",
     "ctc_collapse": f"WITH {FRAMES} SELECT clip_id, frame, token_id, ts::DOUBLE AS ts FROM collapsed",
     "ctc_text": f"""
 WITH {FRAMES}, sizes AS (SELECT clip_id FROM frames GROUP BY clip_id)
-SELECT s.clip_id, coalesce(trim(replace(string_agg(token, '' ORDER BY frame), '▁', ' ')), '') AS text, count(token)::INT AS n_tokens, arg_max(ts, frame)::DOUBLE AS last_ts
+SELECT s.clip_id, coalesce(trim(replace(string_agg(token, '' ORDER BY frame), '▁', ' ')), '') AS text, count(token)::INT AS n_tokens, arg_max(ts, frame)::DOUBLE AS last_ts,
+  coalesce(string_agg(token, '|' ORDER BY frame), '') AS tokens, coalesce(string_agg((frame * 8)::VARCHAR, ',' ORDER BY frame), '') AS times, NULL::VARCHAR AS error
 FROM sizes s LEFT JOIN named n USING (clip_id) GROUP BY s.clip_id""",
     "ctc_segments": f'WITH {FRAMES}, {CTC_INTERVALS}, {TIMING} SELECT clip_id, id, start, "end", text FROM segments',
     "detect_blank": "SELECT coalesce(min(p_partkey) FILTER (p_partkey % 977 = 976 OR p_name IN ('<blk>', '<blank>', '[blank]')), max(p_partkey))::INT AS blank_id FROM part",
