@@ -60,7 +60,8 @@ def test_oracle(spark, duck, data_dir, name):
     assert comparable(queries.QUERIES[name](spark, data_dir).toArrow()) == comparable(duck.execute(queries.ORACLE_SQL[name]).to_arrow_table())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
+# op12 gives a row a piece rather than a document, and has this test among its own
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL) - {"op12_packing"}))
 def test_runs(spark, data_dir, name):
     first = queries.QUERIES[name](spark, data_dir).toArrow()
     assert first.num_rows == 200

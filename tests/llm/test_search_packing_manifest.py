@@ -163,6 +163,12 @@ def test_packing_whole_table(spark, data_dir):
     assert got == {(p["doc_id"], p["start"], p["length"], zlib.crc32(p["ids"]), p["sequence_id"], p["offset"]) for p in pieces}
 
 
+def test_packing_runs_again(spark, data_dir):
+    first = packing.pack_query(spark, data_dir).toArrow()
+    assert len(set(first.column("doc_id").to_pylist())) == 200
+    assert comparable(first) == comparable(packing.pack_query(spark, data_dir).toArrow())
+
+
 def test_encoding_in_parts(monkeypatch):
     encode = packing.encoder(packing.read_tokenizer())
     r = random.Random(3)
