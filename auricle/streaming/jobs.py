@@ -45,9 +45,13 @@ def stream_intake(clips: DataFrame, valid_path: str, reject_path: str, checkpoin
         if batch_id in finished_batches(spark, reject_path):
             return
         counted = batch if "n_samples" in batch.columns else features.count_wav_samples(batch)
-        valid, rejects = intake.split_by_outcome(intake.gate(intake.with_format(counted), limits))
-        _write_batch(valid.drop("outcome"), valid_path, batch_id)
-        _write_batch(rejects.drop("content"), reject_path, batch_id)
+        gated = intake.gate(intake.with_format(counted), limits).persist()  # both sinks' writes read it
+        try:
+            valid, rejects = intake.split_by_outcome(gated)
+            _write_batch(valid.drop("outcome"), valid_path, batch_id)
+            _write_batch(rejects.drop("content"), reject_path, batch_id)
+        finally:
+            gated.unpersist()
 
     return clips.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
