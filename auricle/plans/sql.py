@@ -426,7 +426,10 @@ t AS (SELECT clip_id, sum(CASE WHEN u >= 32768 THEN u - 65536 ELSE u END)::BIGIN
 SELECT 'clip/' || clip_id AS path, n IS NULL AS needs_transcode, n AS n_samples, CASE WHEN n IS NOT NULL THEN coalesce(total, 0) END AS total, CASE WHEN n IS NOT NULL THEN coalesce(weighted, 0) END AS weighted
 FROM wavs LEFT JOIN t USING (clip_id)""",
     "stream_dedupe": f"""
-WITH {FACTS}, g AS (SELECT 'user-' || (event_id // 3) AS request_id, min(arrival_us) AS time, (max(max(arrival_us)) OVER ()) // 1000 * 1000 - 86400000000 AS mark FROM facts GROUP BY event_id // 3)
-SELECT g.request_id, time, event_id, status, duration_s, model_lang FROM g JOIN facts f ON g.request_id = 'user-' || (f.event_id // 3) AND f.arrival_us = g.time
-WHERE time + 86400000000 <= mark""",
+WITH RECURSIVE {FACTS}, keyed AS (SELECT 'user-' || (event_id // 3) AS request_id, arrival_us AS time, event_id, status, duration_s, model_lang FROM facts WHERE arrival_us IS NOT NULL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY time, event_id::VARCHAR NULLS FIRST, status::VARCHAR NULLS FIRST, duration_s::VARCHAR NULLS FIRST, model_lang NULLS FIRST) AS n FROM keyed),
+pointed AS (SELECT *, min(n) OVER (PARTITION BY request_id ORDER BY time RANGE BETWEEN {DAY} + 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM ranked),
+kept AS (SELECT * FROM pointed WHERE n = 1 UNION ALL SELECT p.* FROM kept k JOIN pointed p ON p.request_id IS NOT DISTINCT FROM k.request_id AND p.n = k.following)
+SELECT request_id, time, event_id, status, duration_s, model_lang FROM kept WHERE time + {DAY} <= (SELECT max(time) // 1000 * 1000 - {DAY} FROM keyed)""",
 }

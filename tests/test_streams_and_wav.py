@@ -3,12 +3,15 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
+from conftest import comparable
 from pyspark.sql import functions as F
 from test_transcripts import wav
 
 from auricle.functions.audio import FIRST_CHUNKS, wav_pcm, wav_sample_count
 from auricle.operators import features
+from auricle.plans import queries, sql
 from auricle.streaming import jobs
 
 START = dt.datetime(2024, 5, 1)
@@ -198,3 +201,17 @@ def test_stream_timeouts_across_batches(spark, tmp_path):
     ends.put([("in time", at(4)), ("slow", at(6)), ("mark", at(31))])
     out = run_append(spark, jobs.stream_timeouts(starts.stream(), ends.stream()), tmp_path)
     assert sorted(r.request_id for r in out.collect()) == ["never", "slow"]
+
+
+def test_stream_dedupe_query_and_sql(spark, tmp_path):
+    """Records of a request over a day after a kept one, and ties: the SQL states the stream's rule."""
+    day, at = dt.timedelta(days=1), START.replace(microsecond=5)
+    times = [0, 0.5, 1.2, 0, 1, 2, 0, 3, 6, 2, 2, 2, 30, 30, 30]  # three to a request, in days
+    rows = [(8 + i, at + t * day, i, "click", 1.0 + i) for i, t in enumerate(times, 1)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = comparable(queries.QUERIES["stream_dedupe"](spark, str(tmp_path)).toArrow())
+    assert got == comparable(con.execute(sql.ORACLE_SQL["stream_dedupe"]).to_arrow_table())
+    kept = [r[0] for r in con.execute(f"SELECT event_id FROM ({sql.ORACLE_SQL['stream_dedupe']}) ORDER BY time, event_id").fetchall()]
+    assert sorted(kept) == [9, 11, 12, 14, 15, 16, 17, 18]
