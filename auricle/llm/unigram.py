@@ -77,6 +77,7 @@ class Vocabulary:
                 raise ValueError("BPE models with user-defined or unused pieces are not supported")
         self.pairs: dict[int, bool] = {}
         self.special = frozenset(i for i, t in enumerate(self.types) if t in (BYTE, UNKNOWN, CONTROL))
+        self.is_special = np.isin(np.arange(len(self.pieces)), list(self.special))
         for p, i in kinds:
             if self.bpe and p.type == NORMAL and len(p.piece) > 1 and self.merged(p.piece) != [p.piece]:
                 continue  # no merges lead to it
@@ -168,19 +169,25 @@ def encode_segment(vocab: Vocabulary, segment: str) -> list[int]:
         stream = StreamingViterbi(vocab)
         stream.search(segment)
         return stream.finish()
-    last: list = [None] * (n + 1)  # None: the start, or an unknown character
-    steps = [1] * (n + 1)
+    last: list = [None] * n  # by the boundary's last character, so the start comes last; None: the start, or an unknown character
+    last.append(None)
+    steps = [1] * n
+    known = pairs.get
     for end, (length, _, piece) in vocab.automaton.iter(segment):
-        if last[end + 1] is None:
-            before = last[end + 1 - length]
-            ok = before is None or pairs.get(before << 20 | piece)
-            if ok or (ok is None and fits(before, piece)):
-                last[end + 1], steps[end + 1] = piece, length
-    out, at = [], n
-    while at:
-        out += vocab.unknown_ids(segment[at - 1])[::-1] if last[at] is None else (last[at],)
+        if last[end] is None:
+            before = last[end - length]
+            if before is None or ((ok := known(before << 20 | piece)) or (ok is None and fits(before, piece))):
+                last[end], steps[end] = piece, length
+    out, at = [], n - 1
+    while at >= 0:
+        piece = last[at]
+        if piece is None:
+            out += vocab.unknown_ids(segment[at])[::-1]
+        else:
+            out.append(piece)
         at -= steps[at]
-    return out[::-1]
+    out.reverse()
+    return out
 
 
 class StreamingViterbi:
@@ -226,7 +233,7 @@ class StreamingViterbi:
         self.held = found.pop()
         self.commits += len(found)
         memo = self.memo
-        out += [memo[x] for x in found] if memo is not None else [packed(encode_segment(self.vocab, x)) for x in found]
+        out += map(memo.__getitem__, found) if memo is not None else [packed(encode_segment(self.vocab, x)) for x in found]
         if len(self.held) > LONG:
             self.begin()
             out.append(packed(self.search(self.held)))
@@ -341,7 +348,7 @@ def decode(vocab: Vocabulary, ids: list[int]) -> str:
     spaces, for models that drop them).
     """
     if vocab.special.isdisjoint(ids):
-        text = "".join([vocab.pieces[i] for i in ids])
+        text = "".join(map(vocab.pieces.__getitem__, ids))
     else:
         parts, pending = [], bytearray()
         for i in ids:
@@ -357,10 +364,29 @@ def decode(vocab: Vocabulary, ids: list[int]) -> str:
                 parts.append(vocab.pieces[i])
         parts.append(pending.decode(errors="replace"))
         text = "".join(parts)
+    return spaced(vocab, text)
+
+
+def spaced(vocab: Vocabulary, text: str) -> str:
+    """Joined pieces with spaces for their marks, without the one that was put before the text."""
     text = text.replace(SPACE, " ")
     return text[1:] if vocab.dummy_prefix and text.startswith(" ") else text
 
 
+def decode_lists(vocab: Vocabulary, lists: pa.Array) -> list[str | None]:
+    """``decode`` of each list of ids: texts of ordinary pieces alone, nearly all, are joined straight from the flat ids."""
+    offsets, valid = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False)
+    offsets = offsets - offsets[0]
+    before = np.concatenate([[0], np.cumsum(vocab.is_special[flat])])
+    plain = before[offsets[1:]] == before[offsets[:-1]]
+    name, out = vocab.pieces.__getitem__, []
+    for a, b, there, simple in zip(offsets[:-1].tolist(), offsets[1:].tolist(), valid.tolist(), plain.tolist(), strict=True):
+        ids = flat[a:b].tolist()
+        out.append(None if not there else spaced(vocab, "".join(map(name, ids))) if simple else decode(vocab, ids))
+    return out
+
+
 class Memo(dict):
     """Segment to its value, worked out on first use; emptied when full, so its size is bounded."""
 
@@ -459,7 +485,7 @@ def decode_documents(spark: SparkSession, rows: DataFrame, ids: str = "ids", mod
         def on_batch(batch: pa.RecordBatch):
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                texts = [None if x is None else decode(vocab, x) for x in piece.column(piece.num_columns - 1).to_pylist()]
+                texts = decode_lists(vocab, piece.column(piece.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(texts, pa.string())], [*rest, "text"])
 
         return on_batch

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import comparable
@@ -822,3 +823,12 @@ def test_components(spark):
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
     assert connected_components(spark, spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_lists_of_ids_are_decoded_like_each(spark):
+    """Null, empty and sliced lists, with and without byte, unknown and control pieces."""
+    vocab = unigram.vocabulary(unigram.read_model())
+    texts = ["plain words here", "", None, "tab\tand ✓ 𝄞 bytes", "  spaces ", "last"]
+    ids = [None if t is None else unigram.encode(vocab, t) for t in texts]
+    for at in range(3):
+        assert unigram.decode_lists(vocab, pa.array(ids, pa.list_(pa.int32())).slice(at)) == texts[at:]
