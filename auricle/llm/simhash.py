@@ -13,6 +13,8 @@ from auricle.llm.common import Scratch, column_bytes, connected_components, fres
 SHINGLE_WORDS = 3
 HASH_SEED = 42
 MAX_BITS = 2
+#: Texts that a Python worker holds at a time.
+SLICE = 500
 #: A variant bucket with more distinct fingerprints than this is joined on whole flipped fingerprints instead.
 BUCKET_CAP = 64
 
@@ -44,8 +46,10 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def make():
         def on_batch(batch: pa.RecordBatch):
-            values = np.array([fingerprint(x) for x in column_bytes(batch.column(batch.num_columns - 1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.int64())], [*rest, "fp"])
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                values = np.array([fingerprint(x) for x in column_bytes(piece.column(piece.num_columns - 1))], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(values, pa.int64())], [*rest, "fp"])
 
         return on_batch
 
@@ -78,9 +82,11 @@ def link_fingerprints(spark: SparkSession, prints: DataFrame, scratch: Scratch,
     shared by more than ``cap`` fingerprints would give quadratically many candidates; its
     members are joined on equal single-bit flips of the whole fingerprint instead (x and y
     differ by at most two bits if and only if x or a flip of x equals y or a flip of y), where
-    no key can hold over 65 fingerprints.
+    no key can hold over 65 fingerprints. Fingerprints are dealt over all partitions before they become
+    64 rows each, as the files they lie in are few.
     """
-    keys = prints.select("fp", F.explode(variant_keys()).alias("key"))
+    dealt = prints.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keys = dealt.select("fp", F.explode(variant_keys()).alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = scratch.save(keys.join(sizes, "key"), "met")
 

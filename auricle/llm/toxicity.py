@@ -18,6 +18,8 @@ from auricle.llm.common import Scratch, column_bytes, map_batches
 MAX_POSITIVE = 3_000
 MAX_UNLABELLED = 9_000
 MAX_WORDS = 20_000
+#: Texts that a Python worker holds at a time.
+SLICE = 500
 #: A word is a feature if this many sampled documents have it and its count among the confirmed ones lies this many standard errors off chance.
 MIN_DOCUMENTS = 10
 MIN_ERRORS = 5.0
@@ -207,7 +209,9 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Classifier, col
         score = shared.value.scorer()
 
         def on_batch(batch: pa.RecordBatch):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([score(x) for x in column_bytes(batch.column(at))], pa.float64())], [*names, column])
+            for i in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(i, SLICE)
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([score(x) for x in column_bytes(piece.column(at))], pa.float64())], [*names, column])
 
         return on_batch
 

@@ -832,3 +832,19 @@ def test_lists_of_ids_are_decoded_like_each(spark):
     ids = [None if t is None else unigram.encode(vocab, t) for t in texts]
     for at in range(3):
         assert unigram.decode_lists(vocab, pa.array(ids, pa.list_(pa.int32())).slice(at)) == texts[at:]
+
+
+def test_variants_are_dealt_out(spark, monkeypatch):
+    """Fingerprints of one file are dealt over all partitions before they become 64 rows each."""
+    prints = spark.range(1000).select(F.xxhash64("id").alias("fp")).coalesce(1)
+    seen = []
+    monkeypatch.setattr(simhash, "variant_keys", lambda: F.array(F.spark_partition_id().cast("long")))
+
+    class Kept(simhash.Scratch):
+        def save(self, df, name, compression="snappy"):
+            saved = super().save(df, name, compression)
+            seen.append(saved.select("key").distinct().count())
+            return saved
+
+    simhash.link_fingerprints(spark, prints, Kept(spark, "test"))
+    assert seen[0] > 1
