@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +48,33 @@ def frame_time(frame: Column) -> Column:
     return (frame * F.lit(FRAME_S)).cast("float")
 
 
+def packed_runs(tokens: DataFrame) -> DataFrame:
+    """(clip_id, first, tokens array<string>): tokens (clip_id, pos, token) of successive rows whose places follow each other, put together where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            clips, pos = batch.column(0), batch.column(1)
+            code = clips.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            place, known = pc.fill_null(pos, 0).to_numpy(zero_copy_only=False).astype(np.int64), pos.is_valid().to_numpy(zero_copy_only=False)
+            first = np.ones(batch.num_rows, bool)
+            first[1:] = (code[1:] != code[:-1]) | (place[1:] != place[:-1] + 1) | ~known[1:] | ~known[:-1]
+            at = np.flatnonzero(first)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, batch.num_rows).astype(np.int32)), batch.column(2))
+            yield pa.RecordBatch.from_arrays([clips.take(pa.array(at)), pos.take(pa.array(at)), lists], ["clip_id", "first", "tokens"])
+
+    kinds = {c: tokens.schema[c].dataType.simpleString() for c in ("clip_id", "pos")}
+    return tokens.select("clip_id", "pos", "token").mapInArrow(run, f"clip_id {kinds['clip_id']}, first {kinds['pos']}, tokens array<string>")
+
+
 def detokenize(tokens: DataFrame) -> DataFrame:
-    """(clip_id, text): tokens in order of pos, the mark as a space, trimmed."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    """(clip_id, text): tokens in order of pos, the mark as a space, trimmed. Runs of tokens are exchanged as one row each, whatever order rows lie in."""
+    runs = packed_runs(tokens).groupBy("clip_id").agg(F.collect_list(F.struct("first", "tokens")).alias("runs"))
+    placed = F.transform("runs", lambda r: F.transform(r["tokens"], lambda t, i: F.struct((r["first"] + i).alias("pos"), t.alias("token"))))
+    ordered = F.sort_array(F.flatten(placed))
     text = F.array_join(F.transform(ordered, lambda t: t["token"]), "")
-    return tokens.groupBy("clip_id").agg(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), TRIM, "").alias("text"))
+    return runs.select("clip_id", F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), TRIM, "").alias("text"))
 
 
 def detokenize_array(tokens: Column) -> Column:
