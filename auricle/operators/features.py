@@ -83,11 +83,30 @@ def wav_corpus_to_samples(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The sample bytes are found in Spark, so Python gets these alone, and nothing of clips that need a decoder.
     """
-    found = clips.select("path", wav_pcm(F.col("content")).alias("pcm"))
+    # a row of its own, as a filter on a plain column would be pushed into the clips and make every content anew wherever it is named
+    found = clips.select(F.inline(F.array(F.struct("path", wav_pcm(F.col("content")).alias("pcm")))))
     decoded = pcm16_to_float(found.where("pcm is not null")).drop("pcm").withColumn("sample_rate", F.lit(SAMPLE_RATE))
     return decoded, found.where("pcm is null").select("path")
 
 
+def sample_sums(samples: DataFrame) -> DataFrame:
+    """(path, n_samples, total, weighted) of samples (path, samples): their number, the sum of their 16-bit values, and of these times 1 to 1,000 by place, in turns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                piece = batch.slice(at, 500)
+                sizes, totals, weighted = [], [], []
+                for x in float_views(piece.column(1)):
+                    ticks = np.rint(x * np.float32(32767)).astype(np.int64)
+                    sizes.append(len(ticks))
+                    totals.append(int(ticks.sum()))
+                    weighted.append(int(ticks @ (np.arange(len(ticks)) % 1000 + 1)))
+                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(v, pa.int64()) for v in (sizes, totals, weighted))], ["path", "n_samples", "total", "weighted"])
+
+    return samples.select("path", "samples").mapInArrow(run, "path string, n_samples long, total long, weighted long")
+
+
 def count_wav_samples(clips: DataFrame) -> DataFrame:
     """``clips`` with n_samples long: samples of 16 kHz mono WAV content; null for any other, which needs a decoder. No Python stage."""
     return clips.withColumn("n_samples", wav_sample_count(F.col("content")))
@@ -109,19 +128,30 @@ def log_mel_frames(samples: np.ndarray, filters: np.ndarray, centered: bool) ->
     """
     if len(samples) < WINDOW:
         return np.zeros((1, len(filters)), np.float32)
-    padded = np.pad(samples.astype(np.float64), N_FFT // 2, mode="reflect")
-    frames = np.lib.stride_tricks.sliding_window_view(padded, N_FFT)[::HOP]
-    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(WINDOW) / WINDOW)
+    return log_mel_of(framed(samples, centered), filters)
+
+
+def framed(samples: np.ndarray, centered: bool) -> np.ndarray:
+    """(frames, WINDOW): the samples that each frame's window covers."""
+    x, half = samples.astype(np.float64), N_FFT // 2
+    # a clip is shorter than what is reflected only if it is barely a window long
+    padded = np.concatenate([x[half:0:-1], x, x[-2 : -half - 2 : -1]])
     shift = (N_FFT - WINDOW) // 2 if centered else 0
-    window = np.zeros(N_FFT)
-    window[shift : shift + WINDOW] = hann
-    if centered:
-        spectrum = np.fft.rfft(frames * window, axis=1)
-    else:
-        spectrum = np.fft.rfft(frames[:, :WINDOW] * hann, n=N_FFT, axis=1)
-    return np.log(np.maximum(np.abs(spectrum) ** 2 @ filters.T, LOG_FLOOR)).astype(np.float32)
+    return np.lib.stride_tricks.sliding_window_view(padded, N_FFT)[::HOP, shift : shift + WINDOW]
+
+
+HANN = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(WINDOW) / WINDOW)
+
 
+def log_mel_of(windows: np.ndarray, filters: np.ndarray) -> np.ndarray:
+    """Log power of frames, of one clip or of many. Where the window lies in a frame turns phases alone, which the power does not show."""
+    spectrum = np.fft.rfft(windows * HANN, n=N_FFT, axis=1)
+    power = spectrum.real**2 + spectrum.imag**2
+    return np.log(np.maximum(power @ filters.T, LOG_FLOOR)).astype(np.float32)
 
+
+#: Frames that are transformed at a time.
+FRAMES = 1024
 FLAVORS = {"torch": (80, True), "tdt": (128, False)}
 
 
@@ -134,19 +164,40 @@ def log_mel(samples: DataFrame, flavor: str = "torch", column: str = "samples")
     n_mels, centered = FLAVORS[flavor]
     shared = samples.sparkSession.sparkContext.broadcast(mel_filterbank(n_mels))
 
+    def rows(clips: list, sizes: list, first: int, mel: np.ndarray) -> pa.RecordBatch:
+        """Frames of clips, of so many each, the first clip's from ``first``."""
+        ids, frames = np.repeat(np.array(clips, np.int64), sizes), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        frames[: sizes[0]] += first
+        mels = pa.ListArray.from_arrays(pa.array(np.arange(len(mel) + 1, dtype=np.int32) * mel.shape[1]), pa.array(mel.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(frames), mels], ["clip_id", "frame", "mel"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = shared.value
         for batch in batches:
-            waves = [None if raw is None else pcm16(raw) for raw in batch.column(2).to_pylist()] if packed else float_views(batch.column(2))
+            waves = (None if not raw.is_valid else pcm16(raw.as_py()) for raw in batch.column(2)) if packed else iter(float_views(batch.column(2)))
+            clips, windows, n = [], [], 0  # short clips are transformed together, FRAMES at a time
             for clip, rate, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), waves, strict=True):
                 if x is None:
                     continue
                 if rate != SAMPLE_RATE:
                     raise ValueError(f"expected {SAMPLE_RATE} Hz, got {rate} Hz")
-                mel = log_mel_frames(x, shared.value, centered)
-                for at in range(0, len(mel), 4096):
-                    part = mel[at : at + 4096]
-                    mels = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), clip, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), mels], ["clip_id", "frame", "mel"])
+                if len(x) < WINDOW:
+                    yield rows([clip], [1], 0, np.zeros((1, n_mels), np.float32))
+                    continue
+                own = framed(x, centered)
+                for at in range(0, len(own), FRAMES):
+                    part = own[at : at + FRAMES]
+                    if len(part) == FRAMES or at:
+                        yield rows([clip], [len(part)], at, log_mel_of(part, filters))
+                        continue
+                    clips.append(clip)
+                    windows.append(part)
+                    n += len(part)
+                if n >= FRAMES:
+                    yield rows(clips, [len(w) for w in windows], 0, log_mel_of(np.concatenate(windows), filters))
+                    clips, windows, n = [], [], 0
+            if n:
+                yield rows(clips, [len(w) for w in windows], 0, log_mel_of(np.concatenate(windows), filters))
 
     return samples.select("clip_id", "sample_rate", column).mapInArrow(run, "clip_id long, frame int, mel array<float>")
 
