@@ -25,8 +25,8 @@ MARK = "▁"
 WHITE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Places of a clip that one group of a scan holds.
 RANGE = 8192
-#: Clips that a Python worker times at a time.
-SLICE = 1_000
+#: Tokens that a Python worker times at a time, but for a clip of more.
+SLICE = 100_000
 WORD_TYPE = "array<struct<word:string,start:double,end:double>>"
 SEGMENT_TYPE = "array<struct<id:int,start:double,end:double,text:string>>"
 
@@ -253,25 +253,38 @@ def timed_batch(tokens: pa.Array, stamps: pa.Array, strict: bool) -> tuple[pa.Ar
     return words, _lists(s_row, len(tokens), fields)
 
 
-def with_timing(results: DataFrame, strict: bool = False) -> DataFrame:
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut into pieces of at most ``most`` values in a column of lists, or of one row."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, at, done = np.cumsum(sizes), 0, 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at, done = stop, int(ends[stop - 1])
+
+
+def with_timing(results: DataFrame, strict: bool = False, made: tuple[str, ...] = ("words", "segments"), keep: tuple[str, ...] | None = None) -> DataFrame:
     """``results`` (tokens, timestamps) with arrays ``words`` and ``segments``, null where a clip has none.
 
     One Arrow stage over the rows as they lie: no exchange, no sort. Tokens beyond the timestamps go,
     timestamps beyond the tokens end the last one; null tokens are skipped, timestamps hold no nulls. Null or
-    empty arrays give nulls; columns named like the result's are replaced.
+    empty arrays give nulls; columns named like the result's are replaced. ``made`` and ``keep`` name the arrays and the other columns wanted, all unless given.
     """
-    kept = [f for f in results.schema.fields if f.name not in ("words", "segments")]
+    kept = [f for f in results.schema.fields if f.name not in ("words", "segments") and (keep is None or f.name in keep)]
     names = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"words {WORD_TYPE}", f"segments {SEGMENT_TYPE}"])
-    t, s = names.index("tokens"), names.index("timestamps")
+    types = {"words": WORD_TYPE, "segments": SEGMENT_TYPE}
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{name} {types[name]}" for name in made)])
+
+    read = [*names, *(c for c in ("tokens", "timestamps") if c not in names)]
+    t, s = read.index("tokens"), read.index("timestamps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(at, SLICE)
-                yield pa.RecordBatch.from_arrays([*piece.columns, *timed_batch(piece.column(t), piece.column(s), strict)], [*names, "words", "segments"])
+            for piece in slices(batch, t, SLICE):
+                arrays = dict(zip(types, timed_batch(piece.column(t), piece.column(s), strict), strict=True))
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(names)], *(arrays[name] for name in made)], [*names, *made])
 
-    return results.select(*names).mapInArrow(run, schema)
+    return results.select(*read).mapInArrow(run, schema)
 
 
 def words_of(timed: DataFrame) -> DataFrame:

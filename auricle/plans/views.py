@@ -22,10 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A result per document: its words in pieces of four characters, the first with a leading space, 80 ms apart."""
+def results(spark: SparkSession, sf_dir: str, *more: F.Column) -> DataFrame:
+    """A result per document: its words in pieces of four characters, the first with a leading space, 80 ms apart; and ``more`` columns of the document."""
     spaced = F.concat(F.lit(" "), F.regexp_replace("text", "[ \\t\\n\\r]+", " "))
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.regexp_extract_all(spaced, F.lit(" ?[^ ]{1,4}"), F.lit(0)).alias("tokens"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip_id"), F.regexp_extract_all(spaced, F.lit(" ?[^ ]{1,4}"), F.lit(0)).alias("tokens"), *more)
     return rows.withColumn("timestamps", F.transform("tokens", lambda _, i: (i * F.lit(0.08)).cast("float")))
 
 
