@@ -1,7 +1,8 @@
 """Word timing and segments.
 
 Results with a clip a row (tokens and timestamps as arrays) are timed row by row in one Arrow stage,
-without any exchange. Tokens in long form (a token a row) are scanned in ranges: windows run within a range of a clip, and
+without any exchange. Tokens in long form (a token a row) are put together in runs where they lie; clips of a bounded length are then timed
+as rows are. Longer clips are scanned in ranges: windows run within a range of a clip, and
 a row a range carries what the next ones need, so a clip with half of all tokens is still many tasks' work.
 """
 
@@ -25,6 +26,8 @@ MARK = "▁"
 WHITE = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Places of a clip that one group of a scan holds.
 RANGE = 8192
+#: Clips whose places stay below so many ranges are timed whole.
+WHOLE = 16
 #: Tokens that a Python worker times at a time, but for a clip of more.
 SLICE = 100_000
 WORD_TYPE = "array<struct<word:string,start:double,end:double>>"
@@ -37,8 +40,8 @@ def explode_tokens(results: DataFrame, strict: bool = False) -> DataFrame:
     Timestamps beyond the tokens stay, with a null token, as they end the last one; tokens beyond
     the timestamps go. A leading mark becomes a space, unless ``strict``.
     """
-    rows = results.where("size(tokens) > 0 and size(timestamps) > 0")
-    long = rows.select("clip_id", "tokens", F.posexplode("timestamps").alias("pos", "ts"))
+    # no filter, which would be pushed down to where the arrays are made and make them anew at each mention
+    long = results.select("clip_id", "tokens", F.posexplode(F.when(F.size("tokens") > 0, F.col("timestamps"))).alias("pos", "ts"))
     token = F.get("tokens", F.col("pos"))
     return long.select("clip_id", "pos", (token if strict else F.replace(token, F.lit(MARK), F.lit(" "))).alias("token"), "ts")
 
@@ -115,7 +118,7 @@ def _united(rows: DataFrame, number: str, name: str, text: F.Column, sign: str)
     """
     inside = rows.groupBy("clip_id", "range", number)
     edge = F.bool_or((F.col(number) == F.col("low_edge")) | (F.col(number) == F.col("high_edge")))
-    parts = inside.agg(text.alias(name), F.min("start").alias("start"), F.max_by("end", "at").alias("end"), edge.alias("edge"))
+    parts = inside.agg(text.alias(name), F.min_by("start", "at").alias("start"), F.max_by("end", "at").alias("end"), edge.alias("edge"))
     parts = Scratch(rows.sparkSession, "timing").save(parts, name)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", name))), lambda p: p[name]), sign)
     across = parts.where("edge").groupBy("clip_id", number).agg(joined.alias(name), F.min_by("start", "range").alias("start"), F.max_by("end", "range").alias("end"))
@@ -170,14 +173,89 @@ def build_segments(words: DataFrame) -> DataFrame:
     return _united(rows, "id", "text", F.array_join(_in_order("word"), " "), " ").select("clip_id", "id", "start", "end", "text")
 
 
-def time_tokens(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(words, segments) of tokens in long form. Tokens are read twice, for their ranges' sums and for themselves, and exchanged once, by range."""
+def packed_runs(tokens: DataFrame) -> DataFrame:
+    """(clip_id, first, ranged, tokens, stamps): tokens (clip_id, pos, token, ts) whose places follow each other, put together where they lie.
+
+    A run is ``ranged`` if its clip can't be timed whole: it has places below 0 or beyond WHOLE ranges, or a null time. Rows without a clip or place are left out.
+    """
+    most = WHOLE * RANGE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, pos = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            if not np.all((code[1:] > code[:-1]) | ((code[1:] == code[:-1]) & (pos[1:] > pos[:-1]))):
+                order = np.lexsort((pos, code))
+                batch, code, pos = batch.take(pa.array(order)), code[order], pos[order]
+            at = np.flatnonzero(_changes(code, pos - np.arange(len(pos))))
+            if not len(at):
+                continue
+            ends = np.append(at[1:], len(pos))
+            untimed = np.add.reduceat(batch.column(3).is_null().to_numpy(zero_copy_only=False).astype(np.int64), at)
+            ranged = (pos[at] < 0) | (pos[ends - 1] >= most) | (untimed > 0)
+            offsets = pa.array(np.append(at, len(pos)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, batch.column(i)) for i in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(pos[at]), pa.array(ranged), *lists], ["clip_id", "first", "ranged", "tokens", "stamps"])
+
+    kind = tokens.schema["clip_id"].dataType.simpleString()
+    rows = tokens.where("clip_id is not null and pos is not null").select("clip_id", "pos", "token", "ts")
+    return rows.mapInArrow(run, f"clip_id {kind}, first long, ranged boolean, tokens array<string>, stamps array<{tokens.schema['ts'].dataType.simpleString()}>")
+
+
+def _whole_clips(runs: DataFrame) -> DataFrame:
+    """(clip_id, words, segments) of runs, a clip's in one task: exchanged and sorted as rows of many tokens each."""
+
+    def lists(runs: pa.Array, opens: np.ndarray) -> pa.Array:
+        ends = np.cumsum(pc.list_value_length(runs).to_numpy())
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends])[np.append(opens, len(runs))].astype(np.int32)), runs.flatten())
+
+    def timed(batch: pa.RecordBatch, opens: np.ndarray) -> Iterator[pa.RecordBatch]:
+        clips = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(opens)), lists(batch.column(2), opens), lists(batch.column(3), opens)], ["clip_id", "tokens", "stamps"])
+        for piece in slices(clips, 1, SLICE):
+            yield pa.RecordBatch.from_arrays([piece.column(0), *timed_batch(piece.column(1), piece.column(2), True)], ["clip_id", "words", "segments"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last clip's runs, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            opens = np.flatnonzero(_changes(batch.column(0).dictionary_encode().indices.to_numpy()))
+            held = batch.slice(opens[-1])
+            if len(opens) > 1:
+                yield from timed(batch.slice(0, opens[-1]), opens[:-1])
+        if held is not None:
+            yield from timed(held, np.zeros(1, np.int64))
+
+    rows = runs.select("clip_id", "first", "tokens", "stamps").repartition("clip_id").sortWithinPartitions("clip_id", "first")
+    return rows.mapInArrow(run, f"clip_id {runs.schema['clip_id'].dataType.simpleString()}, words {WORD_TYPE}, segments {SEGMENT_TYPE}")
+
+
+def _scanned(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words, segments), ranges at a time. Tokens are read twice, for their ranges' sums and for themselves, and exchanged once, by range."""
     aggregates, carries = zip(_time_carries(), _word_carries(), strict=True)
     rows = _with_carries(_marked(_ranged(tokens, "pos")), aggregates[0] | aggregates[1], carries[0] | carries[1])
     words = _words(_timed(rows))
     return words, build_segments(words)
 
 
+def time_tokens(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words, segments) of tokens in long form, which are read once, in any order, and written to the shared folder as runs.
+
+    Places (``pos``) of a clip differ. Clips are timed whole, but for those with places beyond WHOLE ranges, which are scanned in ranges.
+    """
+    scratch = Scratch(tokens.sparkSession, "tokens")
+    runs = scratch.save(packed_runs(tokens), "runs")
+    far = runs.where("ranged").select("clip_id").distinct()
+    if far.isEmpty():
+        timed = _whole_clips(runs)
+        return words_of(timed), segments_of(timed)
+    timed = scratch.save(_whole_clips(runs.join(far, "clip_id", "left_anti")), "whole")
+    apart = runs.join(far, "clip_id", "left_semi").select("clip_id", "first", F.posexplode(F.arrays_zip("tokens", "stamps")).alias("i", "t"))
+    words, segments = _scanned(apart.select("clip_id", (F.col("first") + F.col("i")).alias("pos"), F.col("t.tokens").alias("token"), F.col("t.stamps").alias("ts")))
+    return words_of(timed).unionByName(words), segments_of(timed).unionByName(segments)
+
+
 def nest_timing(clips: DataFrame, words: DataFrame, segments: DataFrame) -> DataFrame:
     """``clips`` with arrays words and segments; null where a clip has none."""
     w = words.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "word", "start", "end"))), lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end"))).alias("words"))
@@ -187,8 +265,8 @@ def nest_timing(clips: DataFrame, words: DataFrame, segments: DataFrame) -> Data
 
 def timed_tokens(results: DataFrame, strict: bool = False) -> DataFrame:
     """(clip_id, pos, token, ts, start, end) of results, straight from the arrays: what ``explode_tokens`` and ``token_intervals`` give, without an exchange."""
-    rows = results.where("size(tokens) > 0 and size(timestamps) > 0")
-    long = rows.select("clip_id", "timestamps", F.posexplode(F.slice("tokens", F.lit(1), F.size("timestamps"))).alias("pos", "token"))
+    used = F.when(F.size("timestamps") > 0, F.slice("tokens", F.lit(1), F.size("timestamps")))
+    long = results.select("clip_id", "timestamps", F.posexplode(used).alias("pos", "token"))
     ts = F.get("timestamps", F.col("pos"))
     start = ts.cast("double")
     end = F.coalesce(F.get("timestamps", F.col("pos") + 1).cast("double"), start + LAST_TOKEN_S)
