@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from auricle.shared import Scratch
 
-__all__ = ["WORD", "Scratch", "column_bytes", "connected_components", "edge_checksum", "fresh", "hot_keys", "map_batches", "spread_join"]
+__all__ = ["WORD", "Scratch", "column_bytes", "connected_components", "edge_checksum", "fresh", "hot_keys", "map_batches", "sliced", "spread_join"]
 
 #: ASCII white space, the separator of words throughout (``bytes.split`` uses the same set).
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 #: A key is hot if it has over one in so many rows; there can't be more hot keys than this.
 HOT_KEYS = 1000
+#: Rows with texts that a Python worker works on at a time.
+SLICE = 500
 SALTS = 64
 
 
@@ -43,6 +45,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
+def sliced(on_slice: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """A batch function that gives ``on_slice`` SLICE rows at a time, so a worker holds the texts and results of so many."""
+
+    def on_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, SLICE):
+            yield from on_slice(batch.slice(at, SLICE))
+
+    return on_batch
+
+
 def hot_keys(counts: DataFrame, key: str) -> list:
     """Keys of (key, n) that hold over one in HOT_KEYS of all rows: fewer than HOT_KEYS of them."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auricle.llm.common import fresh, map_batches
+from auricle.llm.common import fresh, map_batches, sliced
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
@@ -27,7 +27,7 @@ def scan(docs: DataFrame, kinds: tuple[str, ...], find: Callable[[str], tuple[li
     schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, {', '.join(f'n_{k} long' for k in kinds)}, base_sha256 string, base array<struct<start:int,kind:int,stop:int>>, extra array<struct<{','.join(':'.join(x.strip().split(' ')) for x in extra.split(','))}>>"
 
     def make():
-        def on_batch(batch: pa.RecordBatch):
+        def on_slice(batch: pa.RecordBatch):
             counts, digests, bases, extras = [[] for _ in kinds], [], [], []
             for text in batch.column(3).to_pylist():
                 base, more = find(text or "")
@@ -39,7 +39,7 @@ def scan(docs: DataFrame, kinds: tuple[str, ...], find: Callable[[str], tuple[li
                 extras.append(more)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(bases, base_type), pa.array(extras, pa.list_(pa.struct(fields)))], names)
 
-        return on_batch
+        return sliced(on_slice)
 
     return map_batches(rows, make, schema)
 
@@ -73,7 +73,7 @@ def redact(docs: DataFrame, found: DataFrame, kinds: tuple[str, ...]) -> DataFra
     size_at = columns_out.index("n_chars") if "n_chars" in columns_out else None
 
     def make():
-        def on_batch(batch: pa.RecordBatch):
+        def on_slice(batch: pa.RecordBatch):
             columns = list(batch.columns)
             texts = columns[at].to_pylist()
             sizes = columns[size_at].to_pylist() if size_at is not None else None
@@ -87,7 +87,7 @@ def redact(docs: DataFrame, found: DataFrame, kinds: tuple[str, ...]) -> DataFra
                 columns[size_at] = pa.array(sizes, columns[size_at].type)
             yield pa.RecordBatch.from_arrays(columns[:-1], columns_out)
 
-        return on_batch
+        return sliced(on_slice)
 
     return map_batches(joined, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
 

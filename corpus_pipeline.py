@@ -8,6 +8,8 @@ name are kept as they are, but for ids and n_ids, which the last stage gives.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +53,29 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return unigram.encode_documents(spark, docs)
 
 
+#: Rows that go to a Python worker at a time, as they hold whole texts; Spark's default of 10,000 keeps tens of MB a task on either side.
+BATCH_ROWS = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` with BATCH_ROWS at most in the session's Arrow batches, from now on: Spark reads the setting when the result is written."""
+
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rows = int(spark.conf.get(BATCH_SETTING))
+        if not 0 < rows <= BATCH_ROWS:
+            spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return call
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash_dedup", drop_near_duplicates),
-    ("personal_data", redact_personal_data),
-    ("mix_sources", mix_sources),
-    ("sentencepiece", encode),
+    ("toxicity", in_small_batches(drop_toxic)),
+    ("simhash_dedup", in_small_batches(drop_near_duplicates)),
+    ("personal_data", in_small_batches(redact_personal_data)),
+    ("mix_sources", in_small_batches(mix_sources)),
+    ("sentencepiece", in_small_batches(encode)),
 ]
 
 #: Trained and iterative stages have no SQL form; tests check them against brute force.

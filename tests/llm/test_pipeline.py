@@ -89,3 +89,26 @@ def test_stages_on_an_empty_table(spark, data_dir):
 
 def test_run(spark, data_dir):
     assert corpus_pipeline.run(spark, data_dir).count() > 0
+
+
+def test_workers_hold_few_texts(spark, monkeypatch):
+    """Stages send at most BATCH_ROWS texts to a worker at a time, a smaller setting stays, and spans are searched SLICE texts at a time."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    from auricle.llm import common
+
+    key, sizes = corpus_pipeline.BATCH_SETTING, []
+    before = spark.conf.get(key)
+    count = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    try:
+        for setting, most in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("300", 300)):
+            spark.conf.set(key, setting)
+            got = corpus_pipeline.in_small_batches(lambda s, docs, d: docs.mapInArrow(count, "n long"))(spark, spark.range(0, 2500, 1, 1), "")
+            found = [r.n for r in got.collect()]
+            assert max(found) == most and sum(found) == 2500
+    finally:
+        spark.conf.set(key, before)
+    one = lambda batch: (sizes.append(batch.num_rows) or batch for _ in range(1))
+    out = list(common.sliced(one)(pa.RecordBatch.from_pydict({"x": list(range(1200))})))
+    assert sizes == [500, 500, 200] and [x for b in out for x in b.column(0).to_pylist()] == list(range(1200))
