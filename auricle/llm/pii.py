@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -197,7 +198,7 @@ def find_personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
     empty table gives no rows. Texts are scanned once; the patterns work on what was found.
     """
     scratch = Scratch(spark, "pii")
-    found = scratch.save(scan(docs, KINDS, find, "start int, stop int, pattern string, instance string, seed boolean"), "found")
+    found = scratch.save(scan(docs, KINDS, partial(map, find), "start int, stop int, pattern string, instance string, seed boolean"), "found")
     seen = found.select("row", F.explode("extra").alias("e")).select("row", "e.*")
     trusted = trusted_patterns(seen.select("pattern", "instance", "seed").distinct(), scratch)
     added = of_patterns(seen.where("not seed"), trusted, "row").select("row", "start", "stop").distinct()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 from operator import mul, ne
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,10 @@ PREFIXED = re.compile(r"(?:[a-z]{1,8}[-_]){1,3}([A-Za-z0-9]{16,})")
 GROUPS = re.compile(r"([A-Za-z0-9]{4,8})(?:[-_][A-Za-z0-9]{4,8}){2,}")
 #: A shorter string, in bits, is no secret however random: numbers of up to 21 digits are cards, accounts, orders and times to the microsecond.
 KEY_BITS = 70
-#: Tokens of one encoding and length band in one text that all get decoys; of further ones, one in so many.
+#: Where decoys are listed beside their tokens, not summed: tokens of one encoding and length band in one text that all have theirs; of further ones, one in so many.
 CALIBRATING = 32
+#: Characters of tokens whose decoys are made and scored together.
+TOGETHER = 1 << 15
 #: Longer tokens are not remembered.
 REMEMBERED = 128
 #: Decoys of each token, enough for one token alone to be accepted (1 in DECOYS + 1 is below FALSE_DISCOVERY), and
@@ -171,6 +175,51 @@ def score_bin(body: str, name: str) -> int:
     return bin_of(randomness(body, name)[1])
 
 
+@lru_cache(256)
+def score_tables(name: str) -> tuple[np.ndarray, list[tuple[np.ndarray, float]]]:
+    """By character code: the place in an encoding; and, for each of its cases, whether it is of that case, with the case's share."""
+    place = np.zeros(128, np.int64)
+    for c, i in INDEX[name].items():
+        place[ord(c)] = i
+    return place, [(np.isin(np.arange(128), list(g)), share) for g, share in cases(name)]
+
+
+ERFC = np.frompyfunc(math.erfc, 1, 1)
+
+
+def chi2_tails(x: np.ndarray, df: int) -> np.ndarray:
+    """``chi2_tail`` of many."""
+    return 0.5 * ERFC((np.cbrt(x / df) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df)) / math.sqrt(2)).astype(float)
+
+
+def score_bins(bodies: list[str], name: str) -> np.ndarray:
+    """``score_bin`` of many strings of one length in the characters of one encoding."""
+    n, m, size = len(bodies[0]), len(bodies), len(INDEX[name])
+    place, case = score_tables(name)
+    codes = np.frombuffer("".join(bodies).encode(), np.uint8).reshape(m, n)
+    x = place[codes]
+    bins = max(2, min(size, n // 4))
+    of, share = map(np.array, bin_shares(name, bins))
+    expected = n * share
+    seen = np.bincount((of[x] + np.arange(m)[:, None] * bins).ravel(), minlength=m * bins).reshape(m, bins)
+    p = [chi2_tails(((seen - expected) ** 2 / expected).sum(1), bins - 1)]
+    if len(case) > 1:
+        p.append(chi2_tails(sum((is_case[codes].sum(1) - n * s) ** 2 / (n * s) for is_case, s in case), len(case) - 1))
+    high = 2 * x >= size
+    up = high.sum(1)
+    mean = 1 + 2 * up * (n - up) / n
+    var = (mean - 1) * (mean - 2) / max(1, n - 1)
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+    away_runs = np.divide(np.abs(runs - mean), np.sqrt(np.maximum(var, 0)), out=np.zeros(m), where=var > 0)
+    p.append(np.where((up > 0) & (up < n), ERFC(away_runs / math.sqrt(2)).astype(float), 2.0 ** (1 - n)))
+    away = x - x.mean(1, keepdims=True)
+    spread = (away * away).sum(1)
+    lag = np.divide(np.abs((away[:, 1:] * away[:, :-1]).sum(1)), spread, out=np.full(m, np.inf), where=spread > 0)
+    p.append(ERFC(lag * math.sqrt(n) / math.sqrt(2)).astype(float))
+    score = chi2_tails(-2 * np.log(np.maximum(p, 1e-300)).sum(0), 2 * len(p))
+    return np.minimum((score * SCORE_BINS).astype(int), SCORE_BINS - 1)
+
+
 def key_of(token: str) -> str:
     """What of a token would be random if it is a key: without padding, words that lead up to it, or separators between groups of one length."""
     body = token.rstrip("=") or token
@@ -195,24 +244,36 @@ def ordinary_words(text: str, start: int, stop: int, length: int) -> tuple[list[
     return (words if sum(map(len, words)) >= 2 * length else words + PROSE), numbers + COUNTS
 
 
-def decoys(text: str, start: int, stop: int, name: str, length: int, n: int = DECOYS) -> Iterator[str]:
-    """Ordinary strings of a token's encoding and length: names run together of nearby words and numbers.
+@lru_cache(64)
+def unknown(name: str) -> dict[int, None] | None:
+    """What of letters and digits an encoding lacks, to be dropped by ``str.translate``; None if it has all."""
+    return str.maketrans("", "", "".join(c for c in DIGITS + LOWER + UPPER if c not in INDEX[name])) or None
+
+
+def written(parts: list[str], as_written: Callable[[str], str], drop: dict[int, None] | None) -> list[str]:
+    text = as_written("\n".join(parts))
+    return (text.translate(drop) if drop else text).split("\n")
+
+
+def decoys(words: list[str], numbers: list[str], name: str, length: int, n: int = DECOYS) -> Iterator[str]:
+    """Ordinary strings of an encoding and length: names run together of words and numbers, those near a token.
 
     They are the most random-looking of ordinary names: words are capitalised where the encoding has
     both cases, a number follows every few words where it has digits, and a symbol stands between
     words where it has symbols.
     """
     index = INDEX[name]
-    words, numbers = ordinary_words(text, start, stop, length)
     symbols = [c for c in "-/_+=" if c in index]
     every = 0 if "2" not in index else 1 if "g" not in index and "G" not in index else 3 if "A" in index and "a" in index else 2
-    as_written = str.capitalize if "A" in index and "a" in index else str.lower if "a" in index else str.upper
+    words = written(words, str.title if "A" in index and "a" in index else str.lower if "a" in index else str.upper, unknown(name))
+    numbers = written(numbers, str, unknown(name))
+    w, v = len(words), len(numbers)
     for k in range(n):
-        out, size, i = [], 0, k * max(1, len(words) // n)
-        for at in range(2 * length + len(words)):
-            part = "".join(c for c in as_written(words[(i + at) % len(words)]) if c in index)
+        out, size, i = [], 0, k * max(1, w // n)
+        for at in range(2 * length + w):
+            part = words[(i + at) % w]
             if every and at % every == every - 1:
-                part += "".join(c for c in numbers[(i + at // every) % len(numbers)] if c in index)
+                part += numbers[(i + at // every) % v]
             if symbols:
                 part += symbols[(k + at // 4) % len(symbols)]
             out.append(part)
@@ -234,10 +295,50 @@ def tested(token: str) -> tuple[str, str, int] | None:
     return None if len(body) * math.log2(len(INDEX[name])) < KEY_BITS else (body, name, score_bin(body, name))
 
 
-def find(text: str) -> tuple[list[Span], list[dict]]:
+class Sums:
+    """Test results of the decoys of many tokens, summed by encoding, length band and bin.
+
+    Tokens with the same words and numbers nearby have the same decoys, which are made once; those of one encoding and length are scored together.
+    """
+
+    def __init__(self) -> None:
+        self.waiting, self.characters = Counter(), 0
+        self.sums, self.spans = Counter(), {}
+
+    def add(self, text: str, start: int, stop: int, name: str, length: int) -> None:
+        band = (stop - start).bit_length()
+        self.spans[name, band] = start, stop
+        words, numbers = ordinary_words(text, start, stop, length)
+        key = name, length, band, tuple(words), tuple(numbers)
+        self.characters += 0 if key in self.waiting else length
+        self.waiting[key] += 1
+        if self.characters >= TOGETHER:
+            self.score()
+
+    def score(self) -> None:
+        alike = defaultdict(list)
+        for (name, length, band, words, numbers), n in self.waiting.items():
+            alike[name, length].append((band, n, list(decoys(words, numbers, name, length))))
+        for (name, _), lots in alike.items():
+            bodies = [d for *_, made in lots for d in made]
+            places = iter(score_bins(bodies, name).tolist() if bodies else ())
+            for band, n, made in lots:
+                for place in islice(places, len(made)):
+                    self.sums[name, band, place] += n
+        self.waiting.clear()
+        self.characters = 0
+
+    def records(self) -> list[dict]:
+        """The sums, each beside the last token of its encoding and band."""
+        self.score()
+        return [{"start": self.spans[name, band][0], "stop": self.spans[name, band][1], "encoding": name, "bin": place, "decoys": n} for (name, band, place), n in self.sums.items()]
+
+
+def find(text: str, sums: Sums | None = None) -> tuple[list[Span], list[dict]]:
     """Base spans; and tokens beside them with their test results, and those of decoys in their encodings.
 
-    Tokens in the lowest bin get no decoys; of others, those of an encoding and length that are many in a text get them for one in CALIBRATING, evenly.
+    With ``sums``, those of every token's decoys are added to it, as limits need them. Without, they are
+    listed beside their tokens, for a look at one text: of many like tokens, for one in CALIBRATING, evenly.
     """
     base = base_spans(text)
     taken = sorted((s, e) for s, _, e in base)
@@ -254,16 +355,28 @@ def find(text: str) -> tuple[list[Span], list[dict]]:
             continue
         body, name, place = result
         seen.append({"start": start, "stop": stop, "encoding": name, "bin": place, "decoys": 0})
-        if not place:
+        length = min(len(body), DECOY_LENGTH)
+        if sums is not None:
+            sums.add(text, start, stop, name, length)
             continue
         cell = name, (stop - start).bit_length()
         many[cell] += 1
         if many[cell] <= CALIBRATING or many[cell] % CALIBRATING == 0:
-            tests = Counter(score_bin(other, name) for other in decoys(text, start, stop, name, min(len(body), DECOY_LENGTH)))
+            made = list(decoys(*ordinary_words(text, start, stop, length), name, length))
+            tests = Counter(score_bins(made, name).tolist() if made else ())
             seen += [{"start": start, "stop": stop, "encoding": name, "bin": b, "decoys": n} for b, n in tests.items()]
     return base, seen
 
 
+def find_all(texts: list[str]) -> list[tuple[list[Span], list[dict]]]:
+    """Base spans and tokens of each text; what the decoys of all their tokens score comes with the last, in sums."""
+    sums = Sums()
+    found = [find(text, sums) for text in texts]
+    if found:
+        found[-1][1].extend(sums.records())
+    return found
+
+
 def accepted(seen: DataFrame) -> DataFrame:
     """Tokens accepted at the wanted false-discovery rate, per encoding and length band (powers of two).
 
@@ -289,7 +402,7 @@ def find_secrets(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Null and empty texts give no spans; texts and tokens of any length are read whole; ids may be null or
     repeated; an empty table gives no rows.
     """
-    found = Scratch(spark, "secrets").save(scan(docs, KINDS, find, "start int, stop int, encoding string, bin int, decoys int"), "found")
+    found = Scratch(spark, "secrets").save(scan(docs, KINDS, find_all, "start int, stop int, encoding string, bin int, decoys int"), "found")
     seen = found.select("row", F.explode("extra").alias("e")).select("row", "e.*")
     return with_added(found, accepted(seen), len(KINDS))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,11 +14,11 @@ from auricle.llm.common import fresh, map_batches, sliced
 Span = tuple[int, int, int]  # start, number of the kind, end
 
 
-def scan(docs: DataFrame, kinds: tuple[str, ...], find: Callable[[str], tuple[list[Span], list[dict]]], extra: str) -> DataFrame:
+def scan(docs: DataFrame, kinds: tuple[str, ...], find: Callable[[list[str]], Iterable[tuple[list[Span], list[dict]]]], extra: str) -> DataFrame:
     """(row, doc_id, text_hash, n_<kind>..., base_sha256, base, extra) of documents (doc_id, text).
 
-    ``find`` gives a whole text's base spans and further records of the struct type
-    ``extra``. ``row`` tells rows apart once the result is written.
+    ``find`` gives, for each of a list of whole texts, its base spans and further records of the
+    struct type ``extra``. ``row`` tells rows apart once the result is written.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]))
@@ -29,8 +29,7 @@ def scan(docs: DataFrame, kinds: tuple[str, ...], find: Callable[[str], tuple[li
     def make():
         def on_slice(batch: pa.RecordBatch):
             counts, digests, bases, extras = [[] for _ in kinds], [], [], []
-            for text in batch.column(3).to_pylist():
-                base, more = find(text or "")
+            for base, more in find([text or "" for text in batch.column(3).to_pylist()]):
                 base.sort()
                 for k, column in enumerate(counts):
                     column.append(sum(s[1] == k for s in base))
