@@ -114,11 +114,14 @@ def score_bounds(queries: np.ndarray, low: np.ndarray, step: np.ndarray, codes:
     return lower, upper
 
 
-def _scan(files: DataFrame, packed: DataFrame, salts: int, on_file, schema: str) -> DataFrame:
-    """Every query block past every file: files are dealt out once, the blocks of queries go to each share."""
-    left = files.withColumn("salt", F.pmod(F.xxhash64("file"), F.lit(salts)).cast("int"))
-    right = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = left.join(right, ["salt", "dim"]).select("dim", "rows", "low", "step", "codes", "asked")
+def _scan(files: DataFrame, packed: DataFrame, on_file, schema: str) -> DataFrame:
+    """Every query block past every file: files are dealt out once, the blocks of queries go to each of them.
+
+    Only the files' numbers are broadcast. The blocks are sent once a file, which Spark's size of them does not
+    tell, so the join is hinted; of a file's blocks one at a time meets it.
+    """
+    sent = packed.join(F.broadcast(files.select("file", "dim")), "dim")
+    met = sent.join(files.hint("merge"), ["file", "dim"]).select("dim", "rows", "low", "step", "codes", "asked")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def make():
@@ -199,18 +202,17 @@ def _scored(pairs: DataFrame) -> DataFrame:
 def candidates(spark: SparkSession, rows: DataFrame, asked: DataFrame, k: int, block: int, scratch: Scratch) -> DataFrame:
     """(query, row, upper, place): per distinct query vector the rows whose upper bound reaches its floor, by falling bound."""
     files = scratch.save(approximation_files(rows, block), "files")
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
     group = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group")
     one = F.struct("row", "exact")
     blocks = asked.groupBy(group, "dim").agg(F.collect_list(one).alias("asked"))
-    lower = _scan(files, blocks, salts, _best_lower(k), "query long, lower double")
+    lower = _scan(files, blocks, _best_lower(k), "query long, lower double")
     by_lower = Window.partitionBy("query").orderBy(F.desc("lower"))
     floors = lower.withColumn("n", F.row_number().over(by_lower)).where(F.col("n") <= k).groupBy("query").agg(F.when(F.count("*") == k, F.min("lower")).alias("floor"))
     floors = scratch.save(floors.select(F.col("query").alias("row"), "floor"), "floors")
     with_floor = asked.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     blocks = with_floor.groupBy(group, "dim").agg(F.collect_list(F.struct("row", "exact", "floor")).alias("asked"))
-    found = scratch.save(_scan(files, blocks, salts, _reaching, "query long, row long, upper double"), "found")
+    found = scratch.save(_scan(files, blocks, _reaching, "query long, row long, upper double"), "found")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("upper"), "row"))
     return scratch.save(found.withColumn("place", place), "candidates")
 
@@ -256,7 +258,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: str, k: int = TOP, b
     lists = best.withColumn("rank", F.row_number().over(order)).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", own.alias("hit")))).alias("hits"))
     answers = lists.join(query, "query").select("q_exact", "hits").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = asking.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    met = salted.join(answers, (salted["exact"] == answers["q_exact"]) & (salted["salt"] == answers["salt"]))
+    # SALTS rows an answer, of which Spark's size of it counts one
+    met = salted.join(answers.hint("merge"), (salted["exact"] == answers["q_exact"]) & (salted["salt"] == answers["salt"]))
     others = F.slice(F.filter("hits", lambda h: h["hit"]["row"] != F.col("row")), 1, k)
     found = met.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("at", "h"))
     return found.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("h.hit.vec_id").alias("vec_id"), F.col("h.hit.score").alias("score"))

@@ -1,0 +1,65 @@
+"""Tables whose rows an explode multiplies are never broadcast: Spark sizes them as before it, by a row's size alone."""
+
+import numpy as np
+
+from auricle.llm import vafile
+from auricle.llm.common import Scratch
+
+
+def nodes_of(plan):
+    """A physical plan's nodes with those below each, through adaptive plans, query stages and reused exchanges."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        below = [plan.executedPlan()]
+    elif name.endswith("QueryStageExec"):
+        below = [plan.plan()]
+    elif name == "ReusedExchangeExec":
+        below = [plan.child()]
+    else:
+        children = plan.children()
+        below = [children.apply(i) for i in range(children.size())]
+    found = [nodes_of(p) for p in below]
+    return name, found
+
+
+def names_below(node):
+    name, below = node
+    return [name, *(n for b in below for n in names_below(b))]
+
+
+def exploded_broadcasts(df):
+    """The broadcasts of a plan, as it stands, that hold what an explode gave."""
+
+    def walk(node):
+        name, below = node
+        own = [names_below(node)] if name == "BroadcastExchangeExec" and "GenerateExec" in names_below(node) else []
+        return own + [x for b in below for x in walk(b)]
+
+    return walk(nodes_of(df._jdf.queryExecution().executedPlan()))
+
+
+def watch_saves(monkeypatch):
+    """A list that gets the exploded broadcasts of every table that is written, as first planned and as run."""
+    seen, save = [], Scratch.save
+
+    def watched(self, df, name, *args):
+        seen.extend(exploded_broadcasts(df))
+        df.collect()
+        seen.extend(exploded_broadcasts(df))
+        return save(self, df, name, *args)
+
+    monkeypatch.setattr(Scratch, "save", watched)
+    return seen
+
+
+def test_query_blocks_and_answers_are_not_broadcast(spark, monkeypatch):
+    seen = watch_saves(monkeypatch)
+    g = np.random.default_rng(31)
+    rows = [(i, np.float32(g.normal(size=8)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = vafile.top_k(spark, df, "vec_id % 50 = 0")
+    seen += exploded_broadcasts(found)
+    exact = np.floor(np.array([x for _, x in rows]) * 256).astype(np.int64)
+    want = [(q, n + 1, i, -s) for q in range(0, 400, 50) for n, (s, i) in enumerate(sorted((-int(exact[q] @ exact[i]), i) for i in range(400) if i != q)[:5])]
+    assert sorted(map(tuple, found.collect())) == want
+    assert seen + exploded_broadcasts(found) == []
