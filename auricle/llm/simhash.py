@@ -83,15 +83,16 @@ def link_fingerprints(spark: SparkSession, prints: DataFrame, scratch: Scratch,
     members are joined on equal single-bit flips of the whole fingerprint instead (x and y
     differ by at most two bits if and only if x or a flip of x equals y or a flip of y), where
     no key can hold over 65 fingerprints. Fingerprints are dealt over all partitions before they become
-    64 rows each, as the files they lie in are few.
+    64 rows each, as the files they lie in are few. Spark sizes what an explode gives by the rows before it, so it would
+    broadcast tables of 64 times that; the joins are hinted to merge sorted rows instead.
     """
     dealt = prints.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
     keys = dealt.select("fp", F.explode(variant_keys()).alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.save(keys.join(sizes, "key"), "met")
+    met = scratch.save(keys.join(sizes.hint("merge"), "key"), "met")
 
     def pairs(rows: DataFrame) -> DataFrame:
-        both = rows.select("key", F.col("fp").alias("a")).join(rows.select("key", F.col("fp").alias("b")), "key")
+        both = rows.select("key", F.col("fp").alias("a")).join(rows.select("key", F.col("fp").alias("b")).hint("merge"), "key")
         return both.where((F.col("a") < F.col("b")) & (differing_bits(F.col("a"), F.col("b")) <= MAX_BITS)).select("a", "b")
 
     crowded = met.where(F.col("n") > cap).select("fp").distinct()

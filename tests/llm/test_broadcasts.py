@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from auricle.llm import vafile
+from auricle.llm import simhash, vafile
 from auricle.llm.common import Scratch
 
 
@@ -63,3 +63,17 @@ def test_query_blocks_and_answers_are_not_broadcast(spark, monkeypatch):
     want = [(q, n + 1, i, -s) for q in range(0, 400, 50) for n, (s, i) in enumerate(sorted((-int(exact[q] @ exact[i]), i) for i in range(400) if i != q)[:5])]
     assert sorted(map(tuple, found.collect())) == want
     assert seen + exploded_broadcasts(found) == []
+
+
+def test_variants_and_flips_are_not_broadcast(spark, monkeypatch):
+    """Fingerprints around two centres, with buckets below and above the cap."""
+    seen = watch_saves(monkeypatch)
+    g = np.random.default_rng(32)
+    prints = {int(c) ^ (1 << i) ^ (1 << j) for c in g.integers(0, 2**63, 2) for i, j in g.integers(0, 63, (12, 2)).tolist()} | set(map(int, g.integers(0, 2**63, 30)))
+    want = {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2}
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    for cap in (simhash.BUCKET_CAP, 2):
+        links = simhash.link_fingerprints(spark, df, Scratch(spark, "test"), cap)
+        seen += exploded_broadcasts(links)
+        assert {tuple(r) for r in links.collect()} == want and len(want) > 12
+        assert seen + exploded_broadcasts(links) == []
