@@ -161,9 +161,13 @@ def pattern_scores(edges: DataFrame, confirmed: DataFrame) -> DataFrame:
 
 
 def of_patterns(occurrences: DataFrame, few: DataFrame, spread: str) -> DataFrame:
-    """``occurrences`` of the patterns in ``few``; a frequent pattern's are dealt over SALTS keys by the column ``spread``."""
+    """``occurrences`` of the patterns in ``few``; a frequent pattern's are dealt over SALTS keys by the column ``spread``.
+
+    ``few`` is hashed where it lies: as Spark's size of it counts one of its SALTS rows a pattern, it could be broadcast too large.
+    """
     salted = occurrences.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return salted.join(few.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["pattern", "salt"], "left_semi").drop("salt")
+    keys = few.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return salted.join(keys.hint("shuffle_hash"), ["pattern", "salt"], "left_semi").drop("salt")
 
 
 def trusted_patterns(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from auricle.llm import simhash, vafile
+from auricle.llm import pii, simhash, vafile
 from auricle.llm.common import Scratch
 
 
@@ -77,3 +77,12 @@ def test_variants_and_flips_are_not_broadcast(spark, monkeypatch):
         seen += exploded_broadcasts(links)
         assert {tuple(r) for r in links.collect()} == want and len(want) > 12
         assert seen + exploded_broadcasts(links) == []
+
+
+def test_trusted_patterns_are_not_broadcast(spark):
+    occurrences = spark.createDataFrame([(i, f"3p{i % 7}_") for i in range(200)], "row long, pattern string")
+    few = spark.createDataFrame([("3p2_",), ("3p5_",), ("3none_",)], "pattern string")
+    kept = pii.of_patterns(occurrences, few, "row").select("row", "pattern")
+    seen = exploded_broadcasts(kept)
+    assert sorted(map(tuple, kept.collect())) == [(i, f"3p{i % 7}_") for i in range(200) if i % 7 in (2, 5)]
+    assert seen + exploded_broadcasts(kept) == []
